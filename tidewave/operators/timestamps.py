@@ -35,49 +35,48 @@ EPOCH = r"^-?\d{9,20}(?:\.\d+)?$"
 FINISHED = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{6}Z$"
 
 
-def parsed(stamp: Column) -> Column:
-    """A struct of local_us (microseconds of the wall clock, or of UTC for an epoch number), offset_us (null without a zone) and
-    region (a named zone that stands without an offset). All null when the text names no instant: empty, a placeholder, an
-    impossible date or time, an unknown zone. Digits beyond microseconds are dropped; missing smaller units are zero; slashed
-    dates are month first. Epoch numbers of up to 11 digits are seconds, 14 milliseconds, 17 microseconds, else nanoseconds."""
+def fields_of(stamp: Column) -> Column:
+    """The parts named in PARTS as an array of texts ('' where missing); for an epoch number, its digits before and after the
+    point; null for any other text."""
     text = F.trim(stamp)
     fields = F.lit(None).cast("array<string>")
     for pattern, groups in reversed(SHAPES.values()):
         joined = F.regexp_replace(text, pattern, "\u0001".join(f"${g}" if g else "" for g in groups))
         fields = F.when(text.rlike(pattern), F.split(joined, "\u0001")).otherwise(fields)
-    fields = F.when(text.rlike(EPOCH), F.split(text, r"\.")).otherwise(fields)
-    return fields
-
-
-def _instant(fields: Column, text: Column) -> Column:
-    part = lambda name: F.get(fields, PARTS.index(name))
-    number = lambda name, missing=0: F.coalesce(F.nullif(part(name), F.lit("")).try_cast("int"), F.lit(missing))
-    is_epoch = F.size(fields) <= 2
-    digits = F.length(F.ltrim(F.get(fields, 0), F.lit("-")))
-    whole = F.get(fields, 0).try_cast("decimal(38,0)")
-    fraction = lambda x: F.substring(F.rpad(F.coalesce(x, F.lit("")), 6, "0"), 1, 6).try_cast("bigint")
-    sign = F.when(F.get(fields, 0).startswith("-"), -1).otherwise(1)
-    epoch = (
-        F.when(digits <= 11, whole.cast("bigint") * US + sign * fraction(F.get(fields, 1)))
-        .when(digits <= 14, whole.cast("bigint") * 1000 + F.floor(sign * fraction(F.get(fields, 1)) / 1000))
-        .when(digits <= 17, whole.cast("bigint"))
-        .otherwise(F.floor(whole / 1000).cast("bigint"))
-    )
-    months = F.create_map(*[x for i, m in enumerate(MONTHS) for x in (F.lit(m[:3]), F.lit(f"{i + 1:02d}"))])
-    month = F.when(part("month").rlike("^[0-9]"), F.lpad(part("month"), 2, "0")).otherwise(F.try_element_at(months, F.substring(part("month"), 1, 3)))
-    date = F.concat_ws("-", part("year"), month, F.lpad(part("day"), 2, "0")).try_cast("date")
-    half = F.lower(part("half"))
-    hour = F.when(half == "", number("hour")).when(number("hour", -1).between(1, 12), number("hour") % 12 + F.when(half == "p", 12).otherwise(0))
-    valid = hour.between(0, 23) & number("minute").between(0, 59) & number("second").between(0, 60)
-    local = F.when(valid, F.unix_date(date).cast("bigint") * DAY_US + (hour * 3600 + number("minute") * 60 + number("second")).cast("bigint") * US + fraction(part("fraction")))
-    zone = part("zone")
-    named = F.try_element_at(F.create_map(*[x for k, v in ABBREVIATIONS.items() for x in (F.lit(k), F.lit(v * 60))]), zone)
-    plain = F.regexp_replace(zone, "[+:-]", "")
-    minutes = F.when(zone.rlike("^[+-]"), F.when(zone.startswith("-"), -1).otherwise(1) * (F.substring(plain, 1, 2).try_cast("int") * 60 + F.coalesce(F.nullif(F.substring(plain, 3, 2), F.lit("")).try_cast("int"), F.lit(0)))).otherwise(named)
-    good = F.when(zone != "", F.when(minutes.isNotNull(), local)).otherwise(local)
-    local_us = F.when(is_epoch, epoch).otherwise(good)
-    offset_us = F.when(is_epoch, F.lit(0)).when(zone != "", minutes.cast("bigint") * 60 * US)
-    return F.struct(local_us.alias("local_us"), offset_us.cast("bigint").alias("offset_us"), F.when(zone == "", F.nullif(part("region"), F.lit(""))).alias("region"))
+    return F.when(text.rlike(EPOCH), F.split(text, r"\.")).otherwise(fields)
+
+
+def _wall_clock(rows: DataFrame) -> DataFrame:
+    """From __fields: __local (microseconds of the wall clock), __offset (minutes east of UTC, null without a readable zone) and __zone.
+
+    Each step is a column of its own, used by name, so that the planner evaluates it once a row."""
+    text = lambda name: F.get("__fields", F.lit(PARTS.index(name)))
+    number = lambda name: F.coalesce(F.get("__numbers", F.lit(PARTS.index(name))), F.lit(0))
+    months = F.create_map(*[x for i, m in enumerate(MONTHS) for x in (F.lit(m[:3]), F.lit(i + 1))])
+    named = F.create_map(*[x for k, v in ABBREVIATIONS.items() for x in (F.lit(k), F.lit(v * 60))])
+    # A failing try_cast costs microseconds (an exception each), so only digits are cast.
+    rows = rows.withColumn("__numbers", F.transform("__fields", lambda x: F.when(x.rlike(r"^\d{1,9}$"), x.cast("int"))))
+    rows = rows.withColumn("__month", F.coalesce(F.get("__numbers", F.lit(1)), F.try_element_at(months, F.substring(text("month"), 1, 3))))
+    rows = rows.withColumn("__day", F.unix_date(F.format_string("%04d-%02d-%02d", number("year"), F.col("__month"), number("day")).try_cast("date")))
+    rows = rows.withColumn("__zone", text("zone")).withColumn("__half", F.lower(text("half")))
+    rows = rows.withColumn("__hour", F.when(F.col("__half") == "", number("hour")).when(number("hour").between(1, 12), number("hour") % 12 + F.when(F.col("__half") == "p", 12).otherwise(0)))
+    valid = F.col("__hour").between(0, 23) & number("minute").between(0, 59) & number("second").between(0, 60) & F.col("__month").isNotNull()
+    micros = F.rpad(F.substring(text("fraction"), 1, 6), 6, "0").try_cast("bigint")
+    rows = rows.withColumn("__clock", F.when(valid, F.col("__day").cast("bigint") * DAY_US + (F.col("__hour") * 3600 + number("minute") * 60 + number("second")).cast("bigint") * US + micros))
+    plain = F.regexp_replace("__zone", "[+:-]", "")
+    hours = F.substring(plain, 1, 2).try_cast("int") * 60 + F.when(F.length(plain) > 2, F.substring(plain, 3, 2).try_cast("int")).otherwise(0)
+    return rows.withColumn("__minutes", F.when(F.col("__zone").rlike("^[+-]"), F.when(F.col("__zone").startswith("-"), -hours).otherwise(hours)).when(F.col("__zone") != "", F.try_element_at(named, F.col("__zone"))))
+
+
+def _epoch_us(fields: Column) -> Column:
+    """Microseconds of an epoch number, given its digits before and after the point."""
+    whole, after = F.get(fields, F.lit(0)), F.rpad(F.substring(F.coalesce(F.get(fields, F.lit(1)), F.lit("")), 1, 6), 6, "0").try_cast("bigint")
+    negative = whole.startswith("-")
+    digits = F.length(whole) - negative.cast("int")
+    after = F.when(negative, -after).otherwise(after)
+    n = whole.try_cast("bigint")
+    # Overlong numbers are null in bigint and name no instant.
+    return F.when(digits <= 11, n * US + after).when(digits <= 14, n * 1000 + F.floor(after / 1000)).when(digits <= 17, n).otherwise(F.floor(n.cast("decimal(20,0)") / 1000).cast("bigint"))
 
 
 def _periods(years: tuple[int, int]):
@@ -130,24 +129,23 @@ def offset_intervals(zones: DataFrame, years: tuple[int, int] = (1970, 2099)) ->
 def to_utc(df: DataFrame, stamp: str, zone: str | None = None, zones: DataFrame | None = None, years: tuple[int, int] = (1970, 2099), drop_finished: bool = False) -> DataFrame:
     """Add utc_us (microseconds since 1970-01-01 UTC) and utc_case to every row of `df`.
 
-    `stamp` is the text column; `zone`, if given, a column with the IANA zone in which a stamp without zone is local time
+    Digits beyond microseconds are dropped and missing smaller units are zero; slashed dates are month first. Epoch numbers of up to
+    11 digits are seconds, 14 milliseconds, 17 microseconds, else nanoseconds. `stamp` is the text column; `zone`, if given, a column with the IANA zone in which a stamp without zone is local time
     (else such stamps are UTC); `zones` may list the zones that occur in it (column tz), to save reading them off `df`. Local times are joined as-of to zone-offset intervals exploded by year: one interval gives
     the offset, two mean that the time occurred twice (the first is taken), none that the clocks skipped it. utc_case is
     'zoned', 'local', 'ambiguous', 'skipped', 'unknown zone' or 'unreadable'; utc_us is null in the last three.
     Rows are neither dropped nor repeated, unless `drop_finished` leaves out stamps already written YYYY-MM-DDTHH:MM:SS.ffffffZ.
-    Null, empty and overlong stamps are unreadable. Working columns are named with two underscores, other columns of `df` stay.
+    Null and empty stamps, placeholders, impossible dates or times and unknown zone letters are unreadable. Working columns are named with two underscores, other columns of `df` stay.
     """
     rows = df.where(~F.coalesce(F.col(stamp).rlike(FINISHED), F.lit(False))) if drop_finished else df
-    rows = rows.withColumn("__fields", parsed(F.col(stamp)))
-    rows = rows.withColumn("__t", _instant(F.col("__fields"), F.col(stamp)))
-    local = F.col("__t.offset_us").isNull() & F.col("__t.local_us").isNotNull()
-    given = F.col(zone) if zone else F.lit(None).cast("string")
-    rows = rows.withColumn("__tz", F.when(local, F.coalesce("__t.region", given)))
-    if zone is None:
-        rows = rows.withColumn("__plain", local & F.col("__tz").isNull())
-    else:
-        rows = rows.withColumn("__plain", F.lit(False))
-    rows = rows.withColumn("__year", F.when(F.col("__tz").isNotNull(), F.year(F.date_from_unix_date(F.floor(F.col("__t.local_us") / DAY_US).cast("int")))))
+    rows = _wall_clock(rows.withColumn("__fields", fields_of(F.col(stamp))))
+    is_epoch = F.size("__fields") <= 2
+    rows = rows.withColumn("__zoned", is_epoch | (F.col("__zone") != ""))
+    rows = rows.withColumn("__at", F.when(is_epoch, _epoch_us(F.col("__fields"))).when(F.col("__zone") != "", F.col("__clock") - F.col("__minutes").cast("bigint") * 60 * US).otherwise(F.col("__clock")))
+    named = F.nullif(F.get("__fields", F.lit(PARTS.index("region"))), F.lit(""))
+    rows = rows.withColumn("__tz", F.when(~F.col("__zoned"), F.coalesce(named, F.col(zone)) if zone else named))
+    rows = rows.withColumn("__plain", F.col("__zoned") | (F.col("__tz").isNull() if zone is None else F.lit(False)))
+    rows = rows.withColumn("__year", F.when(F.col("__tz").isNotNull(), F.year(F.date_from_unix_date("__day"))))
     # Zones written into the text itself, without an offset, are rare: only such texts are parsed for them.
     bare = df.select(F.trim(F.col(stamp)).alias("s")).where(F.col("s").endswith("]") & ~F.col("s").rlike(r"(Z|[A-Z]|[+-]\d{2}(:?\d{2})?)\["))
     found = bare.select(F.regexp_extract("s", r"\[([^\]]+)\]$", 1).alias("tz")).distinct()
@@ -156,14 +154,14 @@ def to_utc(df: DataFrame, stamp: str, zone: str | None = None, zones: DataFrame
     spans = offset_intervals(found, years).select(F.col("tz").alias("__tz"), F.col("local_year").alias("__year"), F.col("intervals").alias("__intervals"))
     # Zones times years bound this side, whatever the rows: see offset_intervals.
     joined = rows.join(F.broadcast(spans), ["__tz", "__year"], "left")
-    at = F.col("__t.local_us")
+    at = F.col("__at")
     hits = F.filter(F.col("__intervals"), lambda i: (i.local_from <= at) & (at < i.local_until))
     joined = joined.withColumn("__hits", F.when(F.col("__intervals").isNotNull(), hits))
     case = (
-        F.when(at.isNull(), "unreadable").when(F.col("__t.offset_us").isNotNull(), "zoned").when(F.col("__plain"), "zoned")
-        .when(F.col("__intervals").isNull(), "unknown zone").when(F.size("__hits") == 0, "skipped").when(F.size("__hits") == 1, "local").otherwise("ambiguous")
+        F.when(at.isNull(), "unreadable").when(F.col("__plain"), "zoned").when(F.col("__intervals").isNull(), "unknown zone")
+        .when(F.size("__hits") == 0, "skipped").when(F.size("__hits") == 1, "local").otherwise("ambiguous")
     )
     # The first of two occurrences is the one with the greater offset.
     by_interval = at - F.array_max(F.transform(F.col("__hits"), lambda i: i.offset))
-    utc = F.when(F.col("__t.offset_us").isNotNull(), at - F.col("__t.offset_us")).when(F.col("__plain"), at).when(F.size("__hits") > 0, by_interval)
-    return joined.withColumn("utc_us", utc).withColumn("utc_case", case).drop("__fields", "__t", "__tz", "__plain", "__year", "__intervals", "__hits")
+    utc = F.when(F.col("__plain"), at).when(F.size("__hits") > 0, by_interval)
+    return joined.withColumn("utc_us", utc).withColumn("utc_case", case).drop(*[c for c in joined.columns if c.startswith("__")])
