@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewave.llm import copies, leakage, lookalikes, packing, terms, turns
+from tidewave.llm import copies, leakage, lookalikes, packing, terms, truncation, turns
 from tidewave.plans.tables import Query, table
 
 
@@ -83,6 +83,23 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return turns.speaker_turns(table(spark, d, "radio_snippet"), table(spark, d, "filler_word"))
 
 
+# -- problem 7: truncation ---------------------------------------------------------------------------------------------
+
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    original = "case when verb = 'share' then object_body end"
+    return truncation.judged(table(spark, d, "elite_tweet_2022"), "activity_id", "body", "generator_name", "long_body", original)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _judged(spark, d).where("truncated").select(F.col("id").alias("activity_id"), F.col("source").alias("generator_name"))
+
+
+def p7_sources(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source truncates."""
+    by_source = _judged(spark, d).groupBy(F.col("source").alias("generator_name")).agg(F.count("*").alias("n_records"), F.sum(F.col("truncated").cast("int")).alias("n_truncated"))
+    return by_source.withColumn("share", F.col("n_truncated") / F.col("n_records"))
+
+
 # -- problem 8: packing ------------------------------------------------------------------------------------------------
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
@@ -124,6 +141,7 @@ QUERIES: dict[str, Query] = {
     "p1_found": p1_found, "p1_counts": p1_counts, "p1_after_deletion": p1_after_deletion,
     "p5_found": p5_found, "p5_collapsed": p5_collapsed,
     "p6_found": p6_found,
+    "p7_found": p7_found, "p7_sources": p7_sources,
     "p8_containers": p8_containers, "p8_usage": p8_usage,
     "p9_found": p9_found, "p9_items": p9_items,
     "p10_found": p10_found, "p10_forms": p10_forms, "p10_classes": p10_classes,
