@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tidewave.plans import corpus, warehouse
+from tidewave.plans import analysis, corpus, warehouse
 from tidewave.plans.tables import Query
 
 FLAGSHIP = "d7_best_episodes"
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-for module in (corpus, warehouse):
+for module in (corpus, warehouse, analysis):
     QUERIES |= module.QUERIES
     SQL |= module.SQL
