@@ -12,7 +12,7 @@ BROKEN = r"""(?:\x{FFFD}|&(?:#x?[0-9a-fA-F]*|a|am|amp|ap|apo|apos|l|lt|g|gt|q|qu
 TOKENS = r"""[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*|[.!?…]+|[,:;—]"""
 REPOST = r"""^RT @\w+: """
 
-SQL = r"""
+TOKENS_SQL = r"""
 with records as (
   select id, r.* from (
     select {id_col} as id, min(struct({body_col} as body, cast({long_col} as string) as long_body, cast({object_col} as string) as object_body, {source_col} as source)) as r
@@ -39,33 +39,42 @@ tokens as (
          when startswith(companion, regexp_replace(core, '{BROKEN}', ''))
               and substring(companion, length(regexp_replace(core, '{BROKEN}', '')) + 1) rlike '[\\p{{L}}\\p{{N}}]' then 'longer'
          when startswith(companion, regexp_replace(core, '{BROKEN}', '')) then 'whole' end as said
-  from cores),
--- Words that at least one record in fifty holds stay themselves in contexts (at most fifty times the words of a mean record); others become their shape.
-frequent as (
-  select collect_set(word) as list from (
-    select word, count(*) as n from (select explode(array_distinct(words)) as word from tokens) group by word
-    having count(*) >= {frequent_share} * (select count(*) from tokens) and not word rlike '^[.!?…]')),
-shapes as (
-  select t.*, concat(array('|'), transform(words, w ->
-      case when w rlike '^[.!?…]' then '|' when try_element_at(f.known, w) then w when w rlike '^\\p{{N}}' then '9' when w rlike '^\\p{{Lu}}' then 'A' else 'a' end)) as marks
-  from tokens t cross join (select /*+ broadcast */ map_from_arrays(list, transform(list, x -> true)) as known from frequent) f),
+  from cores)
+select * from tokens
+"""
+
+# Words that at least one record in `frequent_share` holds: at most 1 / frequent_share times the words of a mean record, whatever their number.
+FREQUENT_SQL = r"""
+select word from (select explode(array_distinct(words)) as word from {{tokens}}) group by word
+having count(*) >= {frequent_share} * (select count(*) from {{tokens}}) and not word rlike '^[.!?…]'
+"""
+
+# Frequent words stay themselves in contexts, others become their shape.
+SHAPES_SQL = r"""
+select *, concat(array('|'), transform(words, w ->
+    case when w rlike '^[.!?…]' then '|' when w in ({frequent}) then w when w rlike '^\\p{{N}}' then '9' when w rlike '^\\p{{Lu}}' then 'A' else 'a' end)) as marks
+from {{tokens}}
+"""
+
+SQL = r"""
+with
 -- Every word with the context that ends in it, and whether a sentence or text ends there.
 seen as (
   select context, count(*) as n, count_if(ends) as n_ends from (
     select explode(flatten(transform(sequence(2, size(marks)), i -> if(marks[i - 1] = '|', array(),
         transform(filter(array({sizes}), k -> k <= i), k -> struct(concat_ws(' ', slice(marks, i - k + 1, k)) as context, coalesce(get(marks, i), '|') = '|' as ends)))))) as c
-    from shapes where size(marks) > 1) lateral view inline(array(c)) x as context, ends
+    from {{shapes}} where size(marks) > 1) lateral view inline(array(c)) x as context, ends
   group by context),
 asked as (
   select id, k, concat_ws(' ', slice(marks, size(marks) - k + 1, k)) as context
-  from shapes lateral view explode(array({sizes})) e as k
+  from {{shapes}} lateral view explode(array({sizes})) e as k
   where ending <> 'stop' and ending <> 'tail' and size(marks) > k - 1 and element_at(marks, -1) <> '|'),
 answers as (
   select id, max_by(n_ends / n, k) as end_share from asked join seen using (context) where n >= {support} group by id),
 -- A last word that never stands inside a text, while longer words begin with it: cut inside the word.
 inner_words as (
-  select word, count(*) as n from (select explode(slice(words, 1, size(words) - 1)) as word from tokens where size(words) > 1) group by word),
-last_words as (select id, element_at(words, -1) as word from tokens where size(words) > 0 and ending not in ('stop', 'tail') and element_at(words, -1) rlike '^\\p{{L}}'),
+  select word, count(*) as n from (select explode(slice(words, 1, size(words) - 1)) as word from {{shapes}} where size(words) > 1) group by word),
+last_words as (select id, element_at(words, -1) as word from {{shapes}} where size(words) > 0 and ending not in ('stop', 'tail') and element_at(words, -1) rlike '^\\p{{L}}'),
 begun as (
   select prefix as word, sum(n) as n_longer from (
     select substring(word, 1, k) as prefix, n from inner_words lateral view explode(sequence(1, least(length(word) - 1, 64))) e as k where length(word) > 1)
@@ -74,7 +83,7 @@ halves as (
   select id, coalesce(n, 0) * 5 < n_longer as half_word from last_words join begun using (word) left join inner_words using (word)),
 -- Lengths at which a source ends far more texts in this way than at the lengths around: its limits.
 lengths as (
-  select source, ending, n_chars, count(*) as n from tokens where ending in ('word', 'dots', 'dots and link') group by source, ending, n_chars),
+  select source, ending, n_chars, count(*) as n from {{shapes}} where ending in ('word', 'dots', 'dots and link') group by source, ending, n_chars),
 limits as (
   select source, ending, n_chars from (
     select *, (sum(n) over (partition by source, ending order by n_chars range between 10 preceding and 10 following) - n) / 20 as around from lengths)
@@ -85,7 +94,7 @@ select t.id, t.source,
        when l.n_chars is not null then true
        when t.ending in ('stop', 'tail') then false
        else coalesce(half_word, false) or coalesce(end_share < {end_share}, false) end as truncated
-from tokens t
+from {{shapes}} t
 left join answers a using (id) left join halves h using (id)
 left join limits l on l.source <=> t.source and l.ending = t.ending and l.n_chars = t.n_chars
 """
@@ -101,9 +110,22 @@ def judged(texts: DataFrame, id_col: str, body_col: str, source_col: str, long_c
     at lengths around. A broken character, entity or escape at the end is a cut; a longer text of the same record decides before all else.
     Authors' own ends - a stop, tag, picture or sign-off, dots after a finished sentence - are none. Null and empty bodies are
     left out; a repeated id counts once (the smallest body); other columns of the table are ignored."""
-    text = SQL
-    for name, value in (("TAIL", TAIL), ("LINKS", LINKS), ("DOTS", DOTS), ("BROKEN", BROKEN), ("TOKENS", TOKENS), ("REPOST", REPOST)):
-        text = text.replace("{" + name + "}", value.replace("\\", "\\\\").replace("'", "\\'").replace("{", "{{").replace("}", "}}"))
-    for name, value in {"id_col": id_col, "body_col": body_col, "source_col": source_col, "long_col": long_col, "object_col": object_col, "support": support, "end_share": end_share, "frequent_share": frequent_share, "sizes": ", ".join(map(str, sizes))}.items():
-        text = text.replace("{" + name + "}", str(value))
-    return texts.sparkSession.sql(text.replace("{{texts}}", "{texts}"), texts=texts)
+    from tidewave.storage import materialize
+
+    spark = texts.sparkSession
+    values = {"id_col": id_col, "body_col": body_col, "source_col": source_col, "long_col": long_col, "object_col": object_col, "support": support, "end_share": end_share, "frequent_share": frequent_share, "sizes": ", ".join(map(str, sizes))}
+
+    def run(text: str, **frames: DataFrame) -> DataFrame:
+        for name, value in (("TAIL", TAIL), ("LINKS", LINKS), ("DOTS", DOTS), ("BROKEN", BROKEN), ("TOKENS", TOKENS), ("REPOST", REPOST)):
+            text = text.replace("{" + name + "}", value.replace("\\", "\\\\").replace("'", "\\'").replace("{", "{{").replace("}", "}}"))
+        for name, value in values.items():
+            text = text.replace("{" + name + "}", str(value))
+        for name in frames:
+            text = text.replace("{{" + name + "}}", "{" + name + "}")
+        return spark.sql(text, **frames)
+
+    tokens = materialize(run(TOKENS_SQL, texts=texts), "tokens")
+    frequent = [r[0] for r in run(FREQUENT_SQL, tokens=tokens).collect()]
+    values["frequent"] = ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in sorted(frequent)) or "''"
+    shapes = materialize(run(SHAPES_SQL, tokens=tokens), "shapes")
+    return run(SQL, shapes=shapes)
