@@ -48,6 +48,8 @@ _PLAIN = regex.compile(r"[\x00-\x7f¡-¬®-ɏ‐-‧‰-⁞₠-₿\p{Extended_Pi
 
 @lru_cache(maxsize=65536)
 def _plain_form(c: str) -> str:
+    if c in _TO_LATIN:
+        return c
     kind = unicodedata.decomposition(c)
     if unicodedata.category(c) == "Zs":
         return " "
