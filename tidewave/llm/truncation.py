@@ -81,22 +81,25 @@ begun as (
   left semi join (select distinct word as prefix from last_words) using (prefix) group by prefix),
 halves as (
   select id, coalesce(n, 0) * 5 < n_longer as half_word from last_words join begun using (word) left join inner_words using (word)),
--- Lengths at which a source ends far more texts in this way than at the lengths around: its limits.
+evidence as (
+  select t.id, t.source, t.ending, t.n_chars, t.said, t.broken, coalesce(half_word, false) or coalesce(end_share < {end_share}, false) as cut
+  from {{shapes}} t left join answers a using (id) left join halves h using (id)),
+-- Lengths at which a source ends far more texts in this way than at the lengths around, most of them in the middle: its limits.
 lengths as (
-  select source, ending, n_chars, count(*) as n from {{shapes}} where ending in ('word', 'dots', 'dots and link') group by source, ending, n_chars),
+  select source, ending, n_chars, count(*) as n, avg(cast(cut as int)) as cut_share from evidence
+  where ending in ('word', 'dots', 'dots and link') group by source, ending, n_chars),
 limits as (
   select source, ending, n_chars from (
     select *, (sum(n) over (partition by source, ending order by n_chars range between 10 preceding and 10 following) - n) / 20 as around from lengths)
-  where n >= around + 6 * sqrt(around + 1) + 3)
-select t.id, t.source,
+  where n >= around + 6 * sqrt(around + 1) + 3 and cut_share >= 0.5)
+select e.id, e.source,
   case when said = 'whole' then false
        when said = 'longer' or broken then true
        when l.n_chars is not null then true
-       when t.ending in ('stop', 'tail') then false
-       else coalesce(half_word, false) or coalesce(end_share < {end_share}, false) end as truncated
-from {{shapes}} t
-left join answers a using (id) left join halves h using (id)
-left join limits l on l.source <=> t.source and l.ending = t.ending and l.n_chars = t.n_chars
+       when e.ending in ('stop', 'tail') then false
+       else cut end as truncated
+from evidence e
+left join limits l on l.source <=> e.source and l.ending = e.ending and l.n_chars = e.n_chars
 """
 
 
@@ -107,7 +110,7 @@ def judged(texts: DataFrame, id_col: str, body_col: str, source_col: str, long_c
     inside texts and at ends of sentences and texts. A text that ends without a stop is truncated if the longest of its final
     contexts seen `support` times ends a sentence in less than `end_share` of the cases, if its last word is only the
     beginning of words known from inside texts, or if its source ends such texts at just this length many times more often than
-    at lengths around. A broken character, entity or escape at the end is a cut; a longer text of the same record decides before all else.
+    at lengths around and most of these look cut by the other signs. A broken character, entity or escape at the end is a cut; a longer text of the same record decides before all else.
     Authors' own ends - a stop, tag, picture or sign-off, dots after a finished sentence - are none. Null and empty bodies are
     left out; a repeated id counts once (the smallest body); other columns of the table are ignored."""
     from tidewave.storage import materialize
