@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,6 +28,11 @@ _TOKEN = regex.compile(
     | (?P<word> [\p{{L}}\p{{N}}]+(?:['‘’ʼ´`＇][\p{{L}}\p{{N}}]+)* )""",
     regex.I | regex.X,
 )
+# Snippets without anything like a label need no look for one at every letter; these say which, and read the others.
+_LABEL_SIGN = re.compile(r"(?:speaker|spkr?|s)[\s_.\-]*(?:\d|" + "|".join(NUMBERS) + ")", re.I)
+_NOISE_SIGN = re.compile(r"[\[({<*♩-♬:]")
+_NOISE = re.compile(r"\[[^\]]*\]|\([^)]*\)|\{[^}]*\}|<[^<>]*>|\*[^*]*\*|[♩-♬][^♩-♬]*[♩-♬]|(?<![^\W_])\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d+)?(?![^\W_])")
+_PLAIN_WORD = re.compile(r"[^\W_]+(?:['‘’ʼ´`＇][^\W_]+)*")
 _CLOCK = regex.compile(r"(?<!\d)(?:(\d{1,2}):)?(\d{1,2}):(\d{2}(?:[.,]\d+)?)(?!\d)")
 RUNS = "snippet_id bigint, audio_key string, at double, cue double, place int, speakers array<int>, words array<int>"
 FRAGMENT = "audio_key string, part int, n int, speaker int, known boolean, first_snippet_id bigint, n_words bigint, first boolean, last boolean"
@@ -52,9 +58,17 @@ class Fillers:
                 stem = w.rstrip(w[-1])
                 n = len(w) - len(stem)
                 self.least[stem, w[-1]] = min(n, self.least.get((stem, w[-1]), n))
+        self.known: dict[str, bool] = {}
 
     def __contains__(self, word: str) -> bool:
-        w = word.lower()
+        known = self.known.get(word)
+        if known is None:
+            if len(self.known) > 100_000:
+                self.known.clear()
+            known = self.known[word] = self._drawn_out(word.lower())
+        return known
+
+    def _drawn_out(self, w: str) -> bool:
         stem = w.rstrip(w[-1])
         least = self.least.get((stem, w[-1]))
         return least is not None and len(w) - len(stem) >= least
@@ -65,8 +79,14 @@ def runs_of(content: str | None, label: str | None, fillers: Fillers) -> list[tu
 
     A closing (speaker, 0) is kept when a label stands after the last word, as it holds from there on."""
     now = label_number(label)
+    if not content:
+        return []
+    if not _LABEL_SIGN.search(content):
+        words = _PLAIN_WORD.findall(_NOISE.sub(" ", content) if _NOISE_SIGN.search(content) else content)
+        n = len(words) - sum(map(fillers.__contains__, words))
+        return [(now, n)] if n else []
     runs: list[list] = []
-    for m in _TOKEN.finditer(content or ""):
+    for m in _TOKEN.finditer(content):
         if m["word"] is not None:
             if m["word"] in fillers:
                 continue
