@@ -169,7 +169,7 @@ def repair_acronyms(text: Column) -> Column:
     return _acronyms(text)
 
 
-_CHAIN = re.compile(r"\b(?:[a-z]\._)+[a-z]\.(?:'s\b)?|\b(?:[a-z]\. ){1,}[a-z]\.(?=\s|$)|(?<!\S)(?:[b-hj-z] ){2,}[b-hj-z](?!\S)")
+_CHAIN = re.compile(r"\b(?:[a-z]\._)+[a-z]\.(?:'s\b)?|\b(?:[a-z]\. ){1,}[a-z]\.(?=\s|$)|(?<!\S)(?:[b-hj-z] ){2,}[b-z](?!\S)")
 _NOISE = re.compile(r"\[[a-z]+\]|<unk>")
 
 
