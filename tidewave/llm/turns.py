@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -29,7 +30,7 @@ _TOKEN = regex.compile(
     regex.I | regex.X,
 )
 # Snippets without anything like a label need no look for one at every letter; these say which, and read the others.
-_LABEL_SIGN = re.compile(r"(?:speaker|spkr?|s)[\s_.\-]*(?:\d|" + "|".join(NUMBERS) + ")", re.I)
+_LABEL_SIGN = re.compile(r"(?<![^\W_])s(?:peaker|pkr?)?[\s_.\-]*(?:\d|" + "|".join(NUMBERS) + ")")
 _NOISE_SIGN = re.compile(r"[\[({<*♩-♬:]")
 _NOISE = re.compile(r"\[[^\]]*\]|\([^)]*\)|\{[^}]*\}|<[^<>]*>|\*[^*]*\*|[♩-♬][^♩-♬]*[♩-♬]|(?<![^\W_])\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d+)?(?![^\W_])")
 _PLAIN_WORD = re.compile(r"[^\W_]+(?:['‘’ʼ´`＇][^\W_]+)*")
@@ -42,6 +43,7 @@ def _number(text: str) -> int:
     return _VALUE[text.lower()] if text.lower() in _VALUE else int(text)
 
 
+@lru_cache(maxsize=10_000)
 def label_number(label: str | None) -> int | None:
     """The number in a whole label ('Speaker One', ' s2 ', 'SPK 003'), or None if it is no label."""
     m = _WHOLE_LABEL.fullmatch(label) if label else None
@@ -81,7 +83,7 @@ def runs_of(content: str | None, label: str | None, fillers: Fillers) -> list[tu
     now = label_number(label)
     if not content:
         return []
-    if not _LABEL_SIGN.search(content):
+    if not _LABEL_SIGN.search(content.lower()):
         words = _PLAIN_WORD.findall(_NOISE.sub(" ", content) if _NOISE_SIGN.search(content) else content)
         n = len(words) - sum(map(fillers.__contains__, words))
         return [(now, n)] if n else []
