@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewave.operators.skew import salted_join
+from tidewave.storage import materialize
 
 # Letters of other scripts and the Latin letters they cannot be told from in common fonts.
 CYRILLIC = {
@@ -158,7 +159,7 @@ def same_look_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Only 128-bit digests of form and text travel. Forms with one spelling drop out in a pre-aggregated step before any pair is
     made; pairs of equal strings are never made a row. Forms held by more than `hot_rows` records are cut into parts.
     Null texts and ids are no records; a repeated id counts once; an empty table gives no pairs."""
-    keys = _keys(docs, id_col, text_col)
+    keys = materialize(_keys(docs, id_col, text_col), "looks")
     mixed = keys.groupBy("form_key").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b")).where(F.col("a") != F.col("b")).select("form_key")
     members = keys.join(mixed, "form_key", "left_semi")
     other = members.select("form_key", F.col("doc_id").alias("other_doc_id"), F.col("text_key").alias("other_key"))
@@ -167,6 +168,6 @@ def same_look_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def look_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per record: doc_id, class_id (the smallest id with the same look), n_members and n_spellings of its class."""
-    keys = _keys(docs, id_col, text_col)
+    keys = materialize(_keys(docs, id_col, text_col), "looks")
     classes = keys.groupBy("form_key", "text_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).groupBy("form_key").agg(F.min("first").alias("class_id"), F.sum("n").alias("n_members"), F.count("*").alias("n_spellings"))
     return keys.join(classes, "form_key").select("doc_id", "class_id", "n_members", "n_spellings")
