@@ -111,7 +111,8 @@ def judged(texts: DataFrame, id_col: str, body_col: str, source_col: str, long_c
     contexts seen `support` times ends a sentence in less than `end_share` of the cases, if its last word is only the
     beginning of words known from inside texts, or if its source ends such texts at just this length many times more often than
     at lengths around and most of these look cut by the other signs. A broken character, entity or escape at the end is a cut; a longer text of the same record decides before all else.
-    Authors' own ends - a stop, tag, picture or sign-off, dots after a finished sentence - are none. Null and empty bodies are
+    Last words above 64 letters are
+    not taken for beginnings. Authors' own ends - a stop, tag, picture or sign-off, dots after a finished sentence - are none. Null and empty bodies are
     left out; a repeated id counts once (the smallest body); other columns of the table are ignored."""
     from tidewave.storage import materialize
 

@@ -35,6 +35,7 @@ _NOISE_SIGN = re.compile(r"[\[({<*♩-♬:]")
 _NOISE = re.compile(r"\[[^\]]*\]|\([^)]*\)|\{[^}]*\}|<[^<>]*>|\*[^*]*\*|[♩-♬][^♩-♬]*[♩-♬]|(?<![^\W_])\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d+)?(?![^\W_])")
 _PLAIN_WORD = re.compile(r"[^\W_]+(?:['‘’ʼ´`＇][^\W_]+)*")
 _CLOCK = regex.compile(r"(?<!\d)(?:(\d{1,2}):)?(\d{1,2}):(\d{2}(?:[.,]\d+)?)(?!\d)")
+MOST_FILLERS = 10_000
 RUNS = "snippet_id bigint, audio_key string, at double, cue double, place int, speakers array<int>, words array<int>"
 FRAGMENT = "audio_key string, part int, n int, speaker int, known boolean, first_snippet_id bigint, n_words bigint, first boolean, last boolean"
 
@@ -183,10 +184,13 @@ def speaker_turns(snippets: DataFrame, filler_words: DataFrame, partitions: int
     Snippets are range partitioned in this order, so a file of any length is cut into partitions; each yields the turns of
     its part, and the first and last turns of a part are stitched to those of the next: at most a few rows a partition.
     Snippets without words (null or empty contents too) take no part, nor do their labels; a repeated id counts once; rows without
-    an audio_key or id belong to no file. `filler_words` (word) is a word list; it is collected."""
+    an audio_key or id belong to no file. `filler_words` (word) is a word list that every worker holds; above MOST_FILLERS words it is refused."""
     spark = snippets.sparkSession
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    words = spark.sparkContext.broadcast([r[0] for r in filler_words.select("word").where("word is not null").distinct().limit(10_000).collect()])
+    listed = [r[0] for r in filler_words.select("word").where("word is not null").distinct().limit(MOST_FILLERS + 1).collect()]
+    if len(listed) > MOST_FILLERS:
+        raise ValueError(f"more than {MOST_FILLERS} filler words")
+    words = spark.sparkContext.broadcast(listed)
     rows = snippets.where(F.col("audio_key").isNotNull() & F.col("snippet_id").isNotNull()).select(
         F.col("snippet_id").cast("bigint"), "audio_key", F.col("audio_file_offset").cast("double"), F.col("audio_file_index").cast("int"), "diary_speaker_id", "content"
     )
