@@ -148,8 +148,8 @@ def test_files(spark, tmp_path):
     with pytest.raises(ValueError):
         files.json_lines_to_columns(lines, "j")
     assert spark.range(1).select(files.without_keys(F.lit('{"a":"1","b":"2"}'), ["a"])).first()[0] == '{"b":"2"}'
-    k = F.lit("speechbox/out/2018-03-03/WARA/15_50_48.raw")
-    assert spark.range(1).select(files.key_station(k), files.key_timestamp(k)).first()[:] == ("WARA", "2018-03-03 15:50:48")
+    k = F.lit("raw/out/2018-03-03/WXYZ/15_50_48.raw")
+    assert spark.range(1).select(files.key_station(k), files.key_timestamp(k)).first()[:] == ("WXYZ", "2018-03-03 15:50:48")
     w = spark.range(1).select(files.words_of_tsv(F.lit("a\t0.1\t0.2\nbad\nb\t1\t2"))).first()[0]
     assert [(x.word, x.start) for x in w] == [("a", 0.1), ("b", 1.0)]
 
