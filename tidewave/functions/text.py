@@ -52,10 +52,14 @@ def approxhash_tokens(text: Column, stopwords: list[str] = STOPWORDS) -> Column:
     return F.base64(F.unhex(F.md5(F.array_join(kept, " "))))
 
 
+# The white space of Unicode, for the inside of a class; \s alone is that of ASCII.
+BLANK = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def approxhash_chars(text: Column, stopwords: list[str] = ("a", "i", "s", "t", "d", "m", "o", "y")) -> Column:
     """The same over characters: single-letter stop words (before lower-casing) go, the rest is stripped and joined by blanks."""
     chars = F.filter(F.split(text, ""), lambda c: (c != "") & ~c.isin(list(stopwords)))
-    return F.base64(F.unhex(F.md5(F.array_join(F.transform(chars, lambda c: F.regexp_replace(F.lower(c), r"^\s+|\s+$", "")), " "))))
+    return F.base64(F.unhex(F.md5(F.array_join(F.transform(chars, lambda c: F.regexp_replace(F.lower(c), f"^[{BLANK}]+|[{BLANK}]+$", "")), " "))))
 
 
 def keyword_hits(text: Column, variants: list[str], mode: str = "substring") -> Column:

@@ -57,6 +57,12 @@ def f21_approxhash_chars(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).where(F.col("text").rlike(r"^[\x00-\x7f]*$")).select("doc_id", tx.approxhash_chars(F.col("text")).alias("hash"))
 
 
+@query()
+def f21_approxhash_chars_all(spark: SparkSession, d: str) -> DataFrame:
+    """The hashes of every text; no SQL, as its characters and lower case are other ones beyond ASCII."""
+    return docs(spark, d).where("text is not null").select("doc_id", tx.approxhash_chars(F.col("text")).alias("hash"))
+
+
 @query(rf"""with w as (select doc_id, substring(array_to_string(list_transform(list_filter(regexp_split_to_array(text, '\s+'),
   lambda w: w <> '' and w <> '<unk>' and w not in ({STOP}) and not contains(w, '[') and length(w) > 2), lambda w: substring(w, 1, 4)), ''), 1, 32) as s from documents where text is not null)
 select doc_id, case when s = '' then '0' else substring(sha256(s), 1, 8) end as signature from w""")
@@ -210,7 +216,15 @@ def w9_relative(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""with o as (select o_custkey as k, o_orderdate as day, o_orderkey as id from orders where o_custkey < 400) select a.id as id1, b.id as id2 from o a join o b using (k) where a.id < b.id and abs(date_diff('day', a.day, b.day)) < 7""")
 def j8_within_days(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").where("o_custkey < 400")
+    return _orders_within_week(table(spark, d, "orders").where("o_custkey < 400"))
+
+
+@query("""with o as (select o_custkey as k, o_orderdate as day, o_orderkey as id from orders) select a.id as id1, b.id as id2 from o a join o b using (k) where a.id < b.id and abs(date_diff('day', a.day, b.day)) < 7""")
+def j8_within_days_all(spark: SparkSession, d: str) -> DataFrame:
+    return _orders_within_week(table(spark, d, "orders"))
+
+
+def _orders_within_week(o: DataFrame) -> DataFrame:
     a = o.select(F.col("o_custkey").alias("k"), F.to_date("o_orderdate").alias("day1"), F.col("o_orderkey").alias("id1"))
     b = o.select(F.col("o_custkey").alias("k"), F.to_date("o_orderdate").alias("day2"), F.col("o_orderkey").alias("id2"))
     return joins.within_days(a, b, ["k"], "day1", "day2", 7).where("id1 < id2").select("id1", "id2")
@@ -231,6 +245,16 @@ def j10_overlapping(spark: SparkSession, d: str) -> DataFrame:
     return joins.overlapping(a, b, ["user_id"], 21600.0, F.col("id1") < F.col("id2")).select("id1", "id2")
 
 
+@query("""with s as (select user_id, event_type, cast(ts as date) as day, min(epoch_us(ts) / 1e6) as s, max(epoch_us(ts) / 1e6) as e from events group by 1, 2, 3)
+select a.user_id as user_id, a.event_type as event_type1, a.day as day1, b.event_type as event_type2, b.day as day2 from s a join s b on a.user_id = b.user_id and b.s < a.e and b.e > a.s where a.event_type < b.event_type or (a.event_type = b.event_type and a.day < b.day)""")
+def j10_overlapping_all(spark: SparkSession, d: str) -> DataFrame:
+    """Spans are named by what they are of, as numbering all of them would take one task."""
+    sec = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    s = table(spark, d, "events").groupBy("user_id", "event_type", F.to_date("ts").alias("day")).agg(F.min(sec).alias("s"), F.max(sec).alias("e"))
+    side = lambda i: s.select("user_id", F.col("s").alias(f"start{i}"), F.col("e").alias(f"end{i}"), F.col("event_type").alias(f"event_type{i}"), F.col("day").alias(f"day{i}"))
+    return joins.overlapping(side(1), side(2), ["user_id"], 21600.0, F.struct("event_type1", "day1") < F.struct("event_type2", "day2")).select("user_id", "event_type1", "day1", "event_type2", "day2")
+
+
 _EDGES = "select distinct o_custkey as source, l_suppkey as target from orders join lineitem on l_orderkey = o_orderkey where o_orderstatus = 'P'"
 
 
@@ -249,6 +273,12 @@ def o7_mutual(spark: SparkSession, d: str) -> DataFrame:
     return joins.mutual_counts(pairs, e)
 
 
+@query(f"""with e as ({_EDGES}) select x.source as a, y.source as b, count(*) as n_mutual from e x join e y using (target) where x.source < y.source group by 1, 2""")
+def o7_mutual_all(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs that share a neighbour, found through it; every other pair has 0."""
+    return joins.cooccurring(supplier_edges(spark, d), "source", ["target"]).toDF("a", "b", "n_mutual")
+
+
 @query(f"""with e as ({_EDGES}) select x.target as item1, y.target as item2, count(*) as n_groups from e x join e y using (source) where x.target < y.target group by 1, 2 having count(*) >= 3""")
 def g6_cooccurrence(spark: SparkSession, d: str) -> DataFrame:
     return joins.cooccurring(supplier_edges(spark, d), "target", ["source"], 3)
@@ -279,16 +309,34 @@ def ring_edges(spark: SparkSession, d: str) -> DataFrame:
     return v
 
 
+_ALL_RING = "ring as (select vec_id as a, (vec_id * 7 + 3) % 500 as b from embeddings)"
+
+
+def all_ring_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The same over every vector."""
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("source"), ((F.col("vec_id") * 7 + 3) % 500).alias("target"))
+
+
 @query(_SIMPLE + ", r as (select a as node, a as seen from e union select r.node, e.b from r join e on e.a = r.seen) select node, min(seen) as component from r group by 1")
 def n5_components(spark: SparkSession, d: str) -> DataFrame:
     return graphs.components(ring_edges(spark, d))
 
 
+@query(f"with recursive {_ALL_RING}, e as (select a, b from ring where a <> b union select b, a from ring where a <> b), r as (select a as node, a as seen from e union select r.node, e.b from r join e on e.a = r.seen) select node, min(seen) as component from r group by 1")
+def n5_components_all(spark: SparkSession, d: str) -> DataFrame:
+    return graphs.components(all_ring_edges(spark, d))
+
+
 @query("with recursive e as (select vec_id as a, (vec_id * 7 + 3) % 500 as b from embeddings where vec_id % 3 = 0), r as (select a as x, a as y from (select a from e union select b from e) union select r.x, e.b from r join e on e.a = r.y) select p.x as node, min(p.y) as component from r p join r q on p.x = q.y and p.y = q.x group by 1")
 def g7_strong_components(spark: SparkSession, d: str) -> DataFrame:
     return graphs.strong_components(ring_edges(spark, d))
 
 
+@query(f"with recursive {_ALL_RING}, r as (select a as x, a as y from (select a from ring union select b from ring) union select r.x, e.b from r join ring e on e.a = r.y) select p.x as node, min(p.y) as component from r p join r q on p.x = q.y and p.y = q.x group by 1")
+def g7_strong_components_all(spark: SparkSession, d: str) -> DataFrame:
+    return graphs.strong_components(all_ring_edges(spark, d))
+
+
 @query(f"with e as ({_EDGES}) select coalesce(a.source, b.target) as node, coalesce(o, 0) as out_degree, coalesce(i, 0) as in_degree from (select source, count(*) as o from e group by 1) a full join (select target, count(*) as i from e group by 1) b on a.source = b.target")
 def g12_degrees(spark: SparkSession, d: str) -> DataFrame:
     return graphs.degrees(supplier_edges(spark, d))
@@ -312,6 +360,11 @@ def g12_pagerank(spark: SparkSession, d: str) -> DataFrame:
     return graphs.pagerank(supplier_edges(spark, d).where("source <= 200"), 5).withColumn("rank", _r("rank", 9))
 
 
+@query(f"with e as ({_EDGES}), n as (select source as node from e union select target from e), k as (select cast(count(*) as double) as k from n), o as (select source, count(*) as outs from e group by 1), r0 as (select node, 1 / k as rank from n cross join k)" + _PR + " select node, round(rank, 9) as rank from r5")
+def g12_pagerank_all(spark: SparkSession, d: str) -> DataFrame:
+    return graphs.pagerank(supplier_edges(spark, d), 5).withColumn("rank", _r("rank", 9))
+
+
 @query("""with recursive e as (select vec_id as a, (vec_id * 7 + 3) % 500 as b from embeddings where vec_id % 3 = 0), r as (select a as source, a as node, 0 as distance from (select distinct a from e where a < 90)
 union select r.source, e.b, r.distance + 1 from r join e on e.a = r.node where r.distance < 30) select source, node, min(distance) as distance from r group by 1, 2""")
 def g15_distances(spark: SparkSession, d: str) -> DataFrame:
@@ -319,6 +372,14 @@ def g15_distances(spark: SparkSession, d: str) -> DataFrame:
     return graphs.distances(e, e.where("source < 90").select(F.col("source").alias("node")))
 
 
+# A shortest path has fewer steps than the graph has nodes.
+@query(f"""with recursive {_ALL_RING}, n as (select a from ring union select b from ring), r as (select a as source, a as node, 0 as distance from n
+union select r.source, e.b, r.distance + 1 from r join ring e on e.a = r.node where r.distance < (select count(*) from n)) select source, node, min(distance) as distance from r group by 1, 2""")
+def g15_distances_all(spark: SparkSession, d: str) -> DataFrame:
+    e = all_ring_edges(spark, d)
+    return graphs.distances(e, e.select(F.col("source").alias("node")).union(e.select("target")).distinct())
+
+
 @query(f"with e as ({_EDGES}), g as (select distinct target as node, target % 5 as grp from e), m as (select grp, min(node) as name from g group by 1), f as (select node, name from g join m using (grp)) select distinct coalesce(a.name, source) as source, coalesce(b.name, target) as target from e left join f a on a.node = source left join f b on b.node = target where coalesce(a.name, source) <> coalesce(b.name, target)")
 def g8_quotient(spark: SparkSession, d: str) -> DataFrame:
     e = supplier_edges(spark, d)
@@ -349,6 +410,24 @@ def g1_follow_graph(spark: SparkSession, d: str) -> DataFrame:
     return graphs.follow_graph(_follows(spark, d), spark.range(101).select(F.col("id").alias("user_id")))
 
 
+_ALL_FOLLOW = "f as (select o_custkey as source, l_suppkey as target, o_orderdate as fetched from orders join lineitem on l_orderkey = o_orderkey), tagged as (select s_suppkey as user_id from supplier)"
+
+
+def _tagged(spark: SparkSession, d: str) -> DataFrame:
+    """The tagged users of the follow graph are the suppliers."""
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("user_id"))
+
+
+def _all_follows(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("source"), F.col("o_orderdate").alias("fetched"))
+    return table(spark, d, "lineitem").join(o, "l_orderkey").select("source", F.col("l_suppkey").alias("target"), "fetched")
+
+
+@query(f"with {_ALL_FOLLOW}, l as (select source, max(fetched) as fetched from f group by 1) select distinct source, target from f join l using (source, fetched) where source in (from tagged) and target in (from tagged)")
+def g1_follow_graph_all(spark: SparkSession, d: str) -> DataFrame:
+    return graphs.follow_graph(_all_follows(spark, d), _tagged(spark, d))
+
+
 def _follows(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").where("o_custkey <= 300").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("source"), F.col("o_orderdate").alias("fetched"))
     return table(spark, d, "lineitem").join(o, "l_orderkey").select("source", F.col("l_suppkey").alias("target"), "fetched")
@@ -359,24 +438,34 @@ def g2_followers_of_several(spark: SparkSession, d: str) -> DataFrame:
     return graphs.followers_of_several(_follows(spark, d), spark.range(21).select(F.col("id").alias("user_id")))
 
 
+@query(f"with {_ALL_FOLLOW}, t as (select distinct source, target from f where target in (from tagged)) select source, target from t where source in (select source from t group by 1 having count(*) >= 2)")
+def g2_followers_of_several_all(spark: SparkSession, d: str) -> DataFrame:
+    return graphs.followers_of_several(_all_follows(spark, d), _tagged(spark, d))
+
+
 @query(f"with {_FOLLOW} select target, count(distinct source) as n_followers from f where source in (select source from f where target <= 3) group by 1")
 def g4_friends_of_followers(spark: SparkSession, d: str) -> DataFrame:
     return graphs.friends_of_followers(_follows(spark, d), spark.range(4).select(F.col("id").alias("user_id")))
 
 
+@query(f"with {_ALL_FOLLOW} select target, count(distinct source) as n_followers from f where source in (select source from f where target in (from tagged)) group by 1")
+def g4_friends_of_followers_all(spark: SparkSession, d: str) -> DataFrame:
+    return graphs.friends_of_followers(_all_follows(spark, d), _tagged(spark, d))
+
+
 @query()
 def g11_betweenness(spark: SparkSession, d: str) -> DataFrame:
-    return graphs.betweenness(ring_edges(spark, d))
+    return graphs.betweenness(all_ring_edges(spark, d))
 
 
 @query()
 def g14_simrank(spark: SparkSession, d: str) -> DataFrame:
-    return graphs.simrank(ring_edges(spark, d), 3)
+    return graphs.simrank(all_ring_edges(spark, d), 3)
 
 
 @query()
 def n7_communities(spark: SparkSession, d: str) -> DataFrame:
-    e = graphs.undirected(supplier_edges(spark, d).where("source <= 300")).withColumn("sim", F.lit(1.0))
+    e = graphs.undirected(supplier_edges(spark, d)).withColumn("sim", F.lit(1.0))
     return graphs.communities(e, graphs.components(e))
 
 
@@ -386,6 +475,13 @@ def g18_dyads(spark: SparkSession, d: str) -> DataFrame:
     return graphs.dyads(e.select(F.col("target").alias("node")).where("node <= 60").distinct(), {"linked": e})
 
 
+@query(f"with {_UND}, n as (select distinct target as node from ({_EDGES})) select x.node as a, y.node as b, exists(select 1 from u where u.a = x.node and u.b = y.node) as linked from n x, n y where x.node < y.node")
+def g18_dyads_all(spark: SparkSession, d: str) -> DataFrame:
+    """The dyads of all suppliers, as many as half their square: no pair is left out of the frame."""
+    e = supplier_edges(spark, d)
+    return graphs.dyads(e.select(F.col("target").alias("node")).distinct(), {"linked": e})
+
+
 # -- vectors and stories -----------------------------------------------------------------------------------------------
 
 _VEC = "v as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings)"
