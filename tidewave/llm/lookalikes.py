@@ -43,8 +43,12 @@ _WORD = regex.compile(r"[\p{L}\p{M}]+")
 # A joiner shows between the parts of a pictograph, and in scripts whose letters join.
 _SHOWN = regex.compile("(?<=[\\p{Extended_Pictographic}️\U0001f3fb-\U0001f3ff])‍(?=\\p{Extended_Pictographic})|(?<=[^\\P{L}\\p{Latin}\\p{Cyrillic}\\p{Greek}\\p{Armenian}]\\p{M}*)[‌‍]")
 _HIDDEN = regex.compile(f"[{INVISIBLE}]")
-# Latin text with letters that are already in composed form needs no work; anything else is looked at.
-_PLAIN = regex.compile(r"[\x00-\x7f¡-¬®-ɏ‐-‧‰-⁞₠-₿\p{Extended_Pictographic}�]*")
+# Latin text with letters that are already in composed form needs no work; anything else is looked at. Left out of the ranges is what
+# _plain_form rewrites (micro sign, ligatures and digraphs, long s, non-breaking hyphen, rupee and information signs).
+_PLAIN = regex.compile(
+    r"(?V1)[\x00-\x7f\u00a1-\u00ac\u00ae-\u00b4\u00b6-\u0131\u0134-\u0148\u014a-\u017e\u0180-\u01c3\u01cd-\u01f0\u01f4-\u024f"
+    r"\u2010\u2012-\u2027\u2030-\u205e\u20a0-\u20a7\u20a9-\u20bf[\p{Extended_Pictographic}--\u2139]\ufffd]*"
+)
 
 
 @lru_cache(maxsize=65536)
@@ -101,6 +105,10 @@ def consistent_form(text: str) -> str:
     Accents, case, digits, punctuation and line breaks are differences and stay. Idempotent; '' stays ''."""
     if text.isascii() or (_PLAIN.fullmatch(text) and "‍" not in text):
         return text
+    return _full_form(text)
+
+
+def _full_form(text: str) -> str:
     text = "".join(_plain_form(c) if ord(c) > 127 else c for c in text)
     if _HIDDEN.search(text):
         kept = {m.start() for m in _SHOWN.finditer(text)} if "‌" in text or "‍" in text else set()
