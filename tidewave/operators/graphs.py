@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict, deque
 from collections.abc import Iterator
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -134,12 +135,12 @@ def _spread(labels: DataFrame, edges: DataFrame, max_rounds: int) -> DataFrame:
     raise RuntimeError("labels did not settle")
 
 
-def distances(edges: DataFrame, sources: DataFrame, max_steps: int = 30) -> DataFrame:
-    """source, node, distance along directed edges from the given sources (column node), by breadth-first rounds; unreachable nodes are left out."""
+def distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """source, node, distance along directed edges from the given sources (column node), by breadth-first rounds until none is new; unreachable nodes are left out."""
     e = materialize(edges.select("source", "target").distinct(), "edges")
     seen = materialize(sources.select(F.col("node").alias("origin"), "node", F.lit(0).alias("distance")).distinct(), "seen")
     front = seen
-    for step in range(1, max_steps + 1):
+    for step in count(1):
         out = front.select("origin", F.col("node").alias("source")).join(e, "source").select("origin", F.col("target").alias("node")).distinct()
         front = materialize(out.join(seen, ["origin", "node"], "left_anti").withColumn("distance", F.lit(step)), "front")
         if front.isEmpty():
