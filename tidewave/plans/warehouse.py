@@ -209,24 +209,35 @@ def _lcg(x: str) -> str:
     return f"((({x}) % 2147483647) * 1103515245 + 12345) % 2147483648"
 
 
-@query(BASE + f"""select date, station_id1, station_id2, cnt1, cnt2 from (
+def _station_pairs_sql(n: int) -> str:
+    return BASE + f"""select date, station_id1, station_id2, cnt1, cnt2 from (
   select *, row_number() over (partition by date order by {_lcg('station_id1 * 100003 + station_id2')}, station_id1, station_id2) as rn
   from (select date, station_id as station_id1, count(*) as cnt1 from snippet_data group by 1, 2)
-  join (select date, station_id as station_id2, count(*) as cnt2 from snippet_data group by 1, 2) using (date) where station_id1 > station_id2) where rn <= 20""")
+  join (select date, station_id as station_id2, count(*) as cnt2 from snippet_data group by 1, 2) using (date) where station_id1 > station_id2) where rn <= {n}"""
+
+
+@query(_station_pairs_sql(20))
 def d14_station_pairs(spark: SparkSession, d: str) -> DataFrame:
     return wh.station_pairs(data(spark, d), 20)
 
 
-def _best_for_pairs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+@query(_station_pairs_sql(200))
+def d14_station_pairs_full(spark: SparkSession, d: str) -> DataFrame:
+    """Samples of the source's size."""
+    return wh.station_pairs(data(spark, d))
+
+
+def _best_for_pairs(spark: SparkSession, d: str, *sizes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     all_data = data(spark, d)
     best = wh.best_episodes(_steady(wh.episodes(all_data)))
     with_account = _user_show(spark, d).select("show_id").distinct().withColumn("__t", F.lit(True))
     attributes = all_data.groupBy("show_id").agg(F.max("show_name").alias("show_name"), F.bool_or("is_public").alias("is_public")).join(with_account, "show_id", "left").withColumn("twitter", F.col("__t").isNotNull()).drop("__t")
-    return all_data, best, wh.show_pairs(best, attributes, 2, 3)
+    return all_data, best, wh.show_pairs(best, attributes, *sizes)
 
 
 _PAIR_KEY = _lcg("show_id1 * 7919 + show_id2 * 31 + (date1 - date '2019-01-01') * 17 + (date2 - date '2019-01-01')")
-PAIRS_CTE = ", " + STAGED_USERS + f"""usershow as (select distinct show_id from (select distinct show_id, lower(unnest(string_split(replace(twitter, ' ', ''), ','))) as name from staged) join accounts on lower(screen_name) = name),
+def _pairs_cte(n_mixed: int, n_other: int) -> str:
+    return ", " + STAGED_USERS + f"""usershow as (select distinct show_id from (select distinct show_id, lower(unnest(string_split(replace(twitter, ' ', ''), ','))) as name from staged) join accounts on lower(screen_name) = name),
 best as (select * from (select *, row_number() over (partition by date, show_id order by round(show_confidence, 9) desc nulls first, cnt desc nulls first, round(word_confidence, 9) desc nulls first, station_id) as q from episode) where q = 1),
 attrs as (select s.show_id, max(show_name) as show_name, bool_or(is_public) as is_public, max(u.show_id) is not null as twitter from snippet_data s left join usershow u on u.show_id = s.show_id group by 1),
 ep as (select date, show_id, station_id, cnt, show_name, is_public, twitter from best join attrs using (show_id)),
@@ -236,20 +247,41 @@ pair as (select a.date as date1, b.date as date2, a.show_id as show_id1, b.show_
 ranked as (select *, row_number() over (partition by twitter1, twitter2, date1 = date2, case when date1 = date2 then cast(date1 as varchar) else cast(show_id1 as varchar) end
    order by {_PAIR_KEY}, date1, date2, show_id1, show_id2) as rn from pair),
 pairs as (select *, cast(date1 = date2 as int) as within_day, cast(show_id1 = show_id2 as int) as within_show, cast(twitter1 as int) + cast(twitter2 as int) as twitter_count from ranked
-   where (twitter1 and twitter2) or (twitter1 <> twitter2 and rn <= 2) or (not twitter1 and not twitter2 and rn <= 3))
+   where (twitter1 and twitter2) or (twitter1 <> twitter2 and rn <= {n_mixed}) or (not twitter1 and not twitter2 and rn <= {n_other}))
 """
 
 
-@query(BASE + PAIRS_CTE + "select * exclude (rn) from pairs")
+_SHOW_PAIRS = "select * exclude (rn) from pairs"
+_PAIR_CONTENTS = """select date, show_id, station_id, bool_or(is_public) as is_public, md5(string_agg(content, ' ' order by snippet_id)) as content_md5
+from snippet_data join (select date1 as date, show_id1 as show_id, station_id1 as station_id from pairs union select date2, show_id2, station_id2 from pairs) using (date, show_id, station_id) group by 1, 2, 3"""
+
+
+@query(BASE + _pairs_cte(2, 3) + _SHOW_PAIRS)
 def d14_show_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _best_for_pairs(spark, d, 2, 3)[2]
+
+
+@query(BASE + _pairs_cte(50, 100) + _SHOW_PAIRS)
+def d14_show_pairs_full(spark: SparkSession, d: str) -> DataFrame:
+    """Samples of the source's sizes."""
     return _best_for_pairs(spark, d)[2]
 
 
-@query(BASE + PAIRS_CTE + """select date, show_id, station_id, bool_or(is_public) as is_public, md5(string_agg(content, ' ' order by snippet_id)) as content_md5
-from snippet_data join (select date1 as date, show_id1 as show_id, station_id1 as station_id from pairs union select date2, show_id2, station_id2 from pairs) using (date, show_id, station_id) group by 1, 2, 3""")
+def _pair_contents(all_data: DataFrame, pairs: DataFrame) -> DataFrame:
+    return wh.pair_contents(all_data, pairs).select("date", "show_id", "station_id", "is_public", F.md5("content").alias("content_md5"))
+
+
+@query(BASE + _pairs_cte(2, 3) + _PAIR_CONTENTS)
 def d14_pair_contents(spark: SparkSession, d: str) -> DataFrame:
+    all_data, _, pairs = _best_for_pairs(spark, d, 2, 3)
+    return _pair_contents(all_data, pairs)
+
+
+@query(BASE + _pairs_cte(50, 100) + _PAIR_CONTENTS)
+def d14_pair_contents_full(spark: SparkSession, d: str) -> DataFrame:
+    """The contents of the samples of the source's sizes."""
     all_data, _, pairs = _best_for_pairs(spark, d)
-    return wh.pair_contents(all_data, pairs).select("date", "show_id", "station_id", "is_public", F.md5("content").alias("content_md5"))
+    return _pair_contents(all_data, pairs)
 
 
 def _contents(flag: str) -> str:
