@@ -302,8 +302,9 @@ def betweenness(edges: DataFrame, most_edges: int = 2_000_000) -> DataFrame:
     return nodes.join(parts.groupBy("node").agg((F.sum("b") / 2).alias("betweenness")), "node", "left").na.fill(0.0)
 
 
-def simrank(edges: DataFrame, rounds: int = 5, decay: float = 0.9, least: float = 1e-4) -> DataFrame:
-    """a < b, score: how alike two nodes are by their in-neighbours, iterated; scores below `least` are left out of the next round.
+def simrank(edges: DataFrame, rounds: int = 5, decay: float = 0.9, least: float = 0.0) -> DataFrame:
+    """a < b, score: how alike two nodes are by their in-neighbours, iterated. All positive scores stay; a `least` above 0 drops
+    lower scores in every round, and what they would pass on with them.
     Pairs are opened only where two nodes share a scored pair of in-neighbours."""
     e = materialize(edges.select("source", "target").distinct(), "edges")
     ins = e.groupBy(F.col("target").alias("node")).agg(F.count("*").alias("n"))
