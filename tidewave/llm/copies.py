@@ -65,13 +65,14 @@ def _assign(levels):
             ids = batch.column(0).to_pylist()
             buckets, hot = [], []
             for i, canon in zip(ids, canons):
-                prefix, is_hot = canon, False
-                for length, over in steps:
-                    prefix = canon[:length]
-                    if prefix not in over:
-                        break
-                else:
-                    prefix, is_hot = canon, canon in whole
+                prefix, is_hot = canon, canon in whole
+                if not is_hot:
+                    for length, over in steps:
+                        prefix = canon[:length]
+                        if prefix not in over:
+                            break
+                    else:
+                        prefix = canon
                 key = f"{i % parts} {prefix}" if is_hot else prefix
                 buckets.append(xxhash.xxh64_intdigest(key.encode("utf-8", "surrogatepass")) >> 1)
                 hot.append(is_hot)
