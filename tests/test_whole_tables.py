@@ -8,7 +8,7 @@ import pytest
 from tidewave.operators import graphs
 from tidewave.plans import analysis
 
-WHOLE = ["f21_approxhash_chars_all", "j8_within_days_all", "j10_overlapping_all", "o7_mutual_all", "n5_components_all", "g7_strong_components_all", "g12_pagerank_all", "g15_distances_all", "g1_follow_graph_all", "g2_followers_of_several_all", "g4_friends_of_followers_all", "g18_dyads_all"]
+WHOLE = ["f21_approxhash_chars", "j8_within_days", "j10_overlapping", "o7_mutual", "n5_components", "g7_strong_components", "g12_pagerank", "g15_distances", "g1_follow_graph", "g2_followers_of_several", "g4_friends_of_followers", "g18_dyads"]
 EDGES = [(500 + i, i % 7) for i in range(60)] + [(900, 3), (900, 4)]
 
 
@@ -29,11 +29,11 @@ def chars_hash(text):
 
 
 def test_all_are_registered():
-    assert set(WHOLE) <= set(analysis.QUERIES) and set(WHOLE) - set(analysis.SQL) == {"f21_approxhash_chars_all"}
+    assert set(WHOLE) <= set(analysis.QUERIES) and set(WHOLE) - set(analysis.SQL) == {"f21_approxhash_chars"}
 
 
 def test_hashes_beyond_ascii(spark, tables):
-    got = {r.doc_id: r.hash for r in analysis.f21_approxhash_chars_all(spark, tables).collect()}
+    got = {r.doc_id: r.hash for r in analysis.f21_approxhash_chars(spark, tables).collect()}
     assert got == {i: chars_hash(t) for i, t in spark.read.parquet(f"{tables}/documents.parquet").collect() if t is not None}
 
 

@@ -191,11 +191,13 @@ def _acronyms(text: pd.Series) -> pd.Series:
 
 
 def reference_text(text: Column) -> Column:
-    """A published transcript as plain words: no speaker at the front, nothing in brackets or parentheses, up to a copyright note."""
-    out = F.regexp_replace(text, r"(?i)\s*copyright\b[\s\S]*$", "")
-    out = F.regexp_replace(out, r"^[A-Z][A-Z .'\-]{1,40}(\([^)]*\))?:\s*", "")
-    out = F.regexp_replace(out, r"\[[^\]]*\]|\([^)]*\)", " ")
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    """A published transcript as plain words: lines up to the copyright footer (a line that begins 'Copyright ©'), each without its
+    speaker (all up to the first colon) and without anything in brackets or parentheses. Null stays null, '' stays ''."""
+    lines = F.split(text, "\n")
+    footer = F.array_position(F.transform(lines, lambda l: l.startswith("Copyright ©")), True)
+    kept = F.when(footer > 0, F.slice(lines, F.lit(1), F.greatest(footer - 1, F.lit(0)).cast("int"))).otherwise(lines)
+    spoken = F.transform(kept, lambda l: F.regexp_replace(F.regexp_replace(l, r"^[^:]*:", ""), r"\[.*?\]|\(.*?\)", ""))
+    return F.trim(F.regexp_replace(F.array_join(spoken, " "), r"\s+", " "))
 
 
 def casing_counts(rows: DataFrame, text: str) -> DataFrame:
@@ -255,19 +257,25 @@ def matches_query(text: Column, query: Column) -> Column:
 
 
 def match_window(text: Column, query: Column, around: int = 2) -> Column:
-    """The words around the place where most of the query's first words follow each other; null if none occurs."""
-    w, q = words(F.lower(text)), words(F.lower(query))
-    length = lambda i: F.aggregate(F.sequence(F.lit(1), F.size(q)), F.lit(0), lambda n, k: F.when((n == k - 1) & (F.get(w, i + k - 1) == F.get(q, k - 1)), k).otherwise(n))
-    spots = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0))), lambda i: F.struct(length(i).alias("n"), (-i).alias("at")))
-    best = F.array_max(spots)
-    at = -best["at"]
+    """The word at which the text follows the query for most characters (the first of them), with `around` words on either side.
+
+    Both are read in lower case without anything but letters, digits, blanks and ' _ . @ %. Where nothing follows, the window is that of
+    the first word; an empty or null query gives the text as it is."""
+    clean = lambda c: F.lower(F.regexp_replace(c, r"[^0-9A-Za-z'_.@% ]", ""))
+    w, q = F.filter(F.split(clean(text), " +"), lambda x: x != ""), clean(query)
+    # No more words than the query has characters can matter.
+    suffix = lambda i: F.array_join(F.slice(w, i + 1, F.greatest(F.length(q), F.lit(1))), " ")
+    follows = lambda s: F.size(F.filter(F.sequence(F.lit(0), F.length(q)), lambda k: F.substring(s, F.lit(1), k) == F.substring(q, F.lit(1), k)))
+    spots = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0))), lambda i: F.struct(follows(suffix(i)).alias("n"), (-i).alias("at")))
+    at = -F.array_max(spots)["at"]
     begin = F.greatest(at - around, F.lit(0))
-    return F.when(best["n"] > 0, F.array_join(F.slice(words(text), begin + 1, at - begin + best["n"] + around), " "))
+    return F.when(F.coalesce(query, F.lit("")) == "", text).otherwise(F.array_join(F.slice(w, begin + 1, at - begin + around + 1), " "))
 
 
-def search_score(confidence: Column, age_days: Column, syndicated: Column, half_life: float = 7.0) -> Column:
-    """Rank of a hit: its word confidence, halved every `half_life` days, reduced for syndicated text."""
-    return F.coalesce(confidence, F.lit(0.0)) * F.pow(F.lit(0.5), age_days / half_life) * F.when(syndicated, 0.5).otherwise(1.0)
+def search_score(band: Column, syndication: Column, start: Column) -> Column:
+    """Rank of a hit: telephone speech (band 'T') before unsyndicated text ('unique') before the rest, later starts first. For a descending sort."""
+    telephone, unique = F.coalesce((band == "T").cast("int"), F.lit(0)), F.coalesce((syndication == "unique").cast("int"), F.lit(0))
+    return (telephone * 2 + unique) * F.lit(1e8) + F.coalesce(F.unix_micros(start.cast("timestamp")) / 1e6, F.lit(0.0)) / 1e6
 
 
 def facet_display(facet: Column, states: dict[str, str]) -> Column:
@@ -324,10 +332,10 @@ def story_id(year: Column, kind: Column, group: Column) -> Column:
     return F.when(group.isNotNull(), F.concat_ws("-", year.cast("string"), kind, group.cast("string")))
 
 
-def effect_type(p_level: Column, p_trend: Column, alpha: float = 0.05) -> Column:
-    """Which of two effects is significant."""
-    a, b = p_level < alpha, p_trend < alpha
-    return F.when(a & b, "both").when(a, "level").when(b, "trend").otherwise("none")
+def effect_type(p_elite: Column, p_radio: Column, alpha: float = 0.05) -> Column:
+    """Which of posts (T) and radio (R) leads the other, by the p values of both directions; null where one is null."""
+    t, r = p_elite < alpha, p_radio < alpha
+    return F.when(t & r, "T <-> R").when(t & ~r, "T -> R").when(~t & r, "R -> T").when(~t & ~r, "Neither")
 
 
 def log_odds(p: Column) -> Column:
