@@ -62,3 +62,38 @@ def test_empty_table_and_finished_stamps(spark, drop):
     assert to_utc(spark.createDataFrame([], "s string, z string"), "s", "z", drop_finished=drop).count() == 0
     one = spark.createDataFrame([("2020-01-01T00:00:00.000000Z",), ("2020-01-01T00:00:00.000000Z",)], "s string")
     assert to_utc(one, "s", drop_finished=drop).count() == (0 if drop else 2)
+
+
+def test_any_year_has_its_offset(spark):
+    """Local times before and after the table of intervals, against the zone database itself."""
+    from datetime import datetime, timezone
+    from zoneinfo import ZoneInfo
+
+    zone = ZoneInfo("America/New_York")
+    stamps = [f"{y:04d}-{m:02d}-15 12:30:00" for y in (1200, 1799, 1800, 1883, 1884, 1918, 1945, 1969, 1970, 2037, 2099, 2100, 2101, 2150, 2399, 2400, 3001, 9998) for m in (1, 3, 7, 11, 12)]
+    rows = spark.createDataFrame([(s, "America/New_York") for s in stamps], "s string, tz string")
+    got = {r.s: (r.utc_us, r.utc_case) for r in to_utc(rows, "s", "tz").collect()}
+    for s in stamps:
+        local = datetime.fromisoformat(s)
+        year = local.year
+        offset = local.replace(tzinfo=zone).utcoffset() if year < 9999 else None
+        want = (local.replace(tzinfo=timezone.utc) - offset - datetime(1970, 1, 1, tzinfo=timezone.utc)).total_seconds()
+        assert got[s] == (int(want) * 1_000_000, "local"), s
+
+
+def test_hours_that_occur_twice_or_never_in_later_years(spark):
+    """In 2150 the clocks change as they do in the year with the same calendar."""
+    from datetime import date, timedelta
+
+    sunday = lambda d: d + timedelta((6 - d.weekday()) % 7)
+    spring, autumn = sunday(date(2150, 3, 1)) + timedelta(7), sunday(date(2150, 11, 1))
+    rows = spark.createDataFrame([(f"{spring} 02:30:00", "America/New_York"), (f"{autumn} 01:30:00", "America/New_York")], "s string, tz string")
+    assert [r.utc_case for r in to_utc(rows, "s", "tz").orderBy("s").collect()] == ["skipped", "ambiguous"]
+
+
+def test_numbers_and_zone_letters(spark):
+    rows = spark.createDataFrame([(s,) for s in ("86400000", "7", "-5.5", "20200601", "0", "2020-06-01 12:00:00 CET", "2020-06-01 12:00:00 JST", "2020-06-01 12:00:00 CST", "2020-06-01 12:00:00 IST")], "s string")
+    got = {r.s: r.utc_us for r in to_utc(rows, "s").collect()}
+    noon = 1_591_012_800_000_000
+    hour = 3_600_000_000
+    assert got == {"86400000": 86_400_000_000_000, "7": 7_000_000, "-5.5": -5_500_000, "20200601": noon - 12 * hour, "0": None, "2020-06-01 12:00:00 CET": noon - hour, "2020-06-01 12:00:00 JST": noon - 9 * hour, "2020-06-01 12:00:00 CST": noon + 6 * hour, "2020-06-01 12:00:00 IST": None}
