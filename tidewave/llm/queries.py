@@ -94,6 +94,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return _judged(spark, d).where("truncated").select(F.col("id").alias("activity_id"), F.col("source").alias("generator_name"))
 
 
+def p7_signs(spark: SparkSession, d: str) -> DataFrame:
+    """What showed the truncations, and what the records' own longer texts say of them: said is 'whole', 'longer' or null, sign null for no truncation."""
+    return _judged(spark, d).groupBy("said", "sign").agg(F.count("*").alias("n"))
+
+
 def p7_sources(spark: SparkSession, d: str) -> DataFrame:
     """How often each source truncates."""
     by_source = _judged(spark, d).groupBy(F.col("source").alias("generator_name")).agg(F.count("*").alias("n_records"), F.sum(F.col("truncated").cast("int")).alias("n_truncated"))
@@ -141,7 +146,7 @@ QUERIES: dict[str, Query] = {
     "p1_found": p1_found, "p1_counts": p1_counts, "p1_after_deletion": p1_after_deletion,
     "p5_found": p5_found, "p5_collapsed": p5_collapsed,
     "p6_found": p6_found,
-    "p7_found": p7_found, "p7_sources": p7_sources,
+    "p7_found": p7_found, "p7_sources": p7_sources, "p7_signs": p7_signs,
     "p8_containers": p8_containers, "p8_usage": p8_usage,
     "p9_found": p9_found, "p9_items": p9_items,
     "p10_found": p10_found, "p10_forms": p10_forms, "p10_classes": p10_classes,

@@ -49,75 +49,95 @@ select word from (select explode(array_distinct(words)) as word from {{tokens}})
 having count(*) >= {frequent_share} * (select count(*) from {{tokens}}) and not word rlike '^[.!?…]'
 """
 
-# Frequent words stay themselves in contexts, others become their shape.
+# Frequent words stay themselves in trigrams, others become their shape. Marks begin with the text's start.
 SHAPES_SQL = r"""
 select *, concat(array('|'), transform(words, w ->
     case when w rlike '^[.!?…]' then '|' when w in ({frequent}) then w when w rlike '^\\p{{N}}' then '9' when w rlike '^\\p{{Lu}}' then 'A' else 'a' end)) as marks
 from {{tokens}}
 """
 
+# Every trigram: a word after the marks of the two before it, how often it occurs, and how often a sentence or a whole text ends with it.
+TRIGRAMS_SQL = r"""
+select m1, m2, word, mark, count(*) as n, count_if(stops) as n_stops, count_if(last) as n_last from (
+  select inline(transform(sequence(1, size(words)), j -> struct(
+    if(j > 1, get(marks, j - 2), '|') as m1, get(marks, j - 1) as m2, get(words, j - 1) as word, get(marks, j) as mark,
+    coalesce(get(marks, j + 1), '|') = '|' as stops, j = size(words) as last)))
+  from {{shapes}} where size(words) > 0)
+where mark <> '|' group by m1, m2, word, mark
+"""
+
+# The final trigrams of texts that do not end as authors end them.
+ASKED_SQL = r"""
+select id, source, ending, n_chars, if(size(words) > 1, get(marks, size(words) - 2), '|') as m1, get(marks, size(words) - 1) as m2,
+  element_at(words, -1) as word, element_at(marks, -1) as mark
+from {{shapes}} where ending not in ('stop', 'tail') and size(words) > 0 and element_at(marks, -1) <> '|'
+"""
+
+_COARSE = r"if({m} = '|' or {m} rlike '^[^\\p{{L}}\\p{{N}}]', {m}, case when {m} rlike '^\\p{{N}}' then '9' when {m} rlike '^\\p{{Lu}}' then 'A' else 'a' end)"
+_C1, _C2 = _COARSE.replace("{m}", "m1"), _COARSE.replace("{m}", "m2")
+
 SQL = r"""
 with
--- Every word with the context that ends in it, and whether a sentence or text ends there.
-seen as (
-  select context, count(*) as n, count_if(ends) as n_ends from (
-    select explode(flatten(transform(sequence(2, size(marks)), i -> if(marks[i - 1] = '|', array(),
-        transform(filter(array({sizes}), k -> k <= i), k -> struct(concat_ws(' ', slice(marks, i - k + 1, k)) as context, coalesce(get(marks, i), '|') = '|' as ends)))))) as c
-    from {{shapes}} where size(marks) > 1) lateral view inline(array(c)) x as context, ends
-  group by context),
-asked as (
-  select id, k, concat_ws(' ', slice(marks, size(marks) - k + 1, k)) as context
-  from {{shapes}} lateral view explode(array({sizes})) e as k
-  where ending <> 'stop' and ending <> 'tail' and size(marks) > k - 1 and element_at(marks, -1) <> '|'),
-answers as (
-  select id, max_by(n_ends / n, k) as end_share from asked join seen using (context) where n >= {support} group by id),
--- A last word that never stands inside a text, while longer words begin with it: cut inside the word.
-inner_words as (
-  select word, count(*) as n from (select explode(slice(words, 1, size(words) - 1)) as word from {{shapes}} where size(words) > 1) group by word),
-last_words as (select id, element_at(words, -1) as word from {{shapes}} where size(words) > 0 and ending not in ('stop', 'tail') and element_at(words, -1) rlike '^\\p{{L}}'),
-begun as (
-  select prefix as word, sum(n) as n_longer from (
-    select substring(word, 1, k) as prefix, n from inner_words lateral view explode(sequence(1, least(length(word) - 1, 64))) e as k where length(word) > 1)
-  left semi join (select distinct word as prefix from last_words) using (prefix) group by prefix),
+-- The last word as it stands: the share of its trigram's occurrences that end a sentence or text; if the trigram is rare, that with the last word's mark, and if this is and the last
+-- word is a frequent one, that with the shape of the first word.
+of_words as (select m1, m2, word, n, n_stops from {{trigrams}}),
+of_marks as (select m1, m2, mark, sum(n) as n, sum(n_stops) as n_stops from {{trigrams}} group by m1, m2, mark),
+of_shapes as (select {c1} as c1, m2, word, sum(n) as n, sum(n_stops) as n_stops from {{trigrams}} group by 1, 2, 3),
+shares as (
+  select a.id, case when w.n >= {support} then w.n_stops / w.n when s.n >= {support} then s.n_stops / s.n when a.word = a.mark and c.n >= {support} then c.n_stops / c.n end as end_share
+  from (select *, {c1} as c1 from {{asked}}) a left join of_words w using (m1, m2, word) left join of_marks s using (m1, m2, mark)
+  left join of_shapes c on c.c1 = a.c1 and c.m2 = a.m2 and c.word = a.word),
+-- The last word as the beginning of another: trigrams inside texts that go on from it, against those in which it stands whole.
+parts as (select distinct word as part from {{asked}} where word rlike '^\\p{{L}}'),
+vocabulary as (
+  select word, explode(transform(sequence(1, length(word) - 1), k -> substring(word, 1, k))) as part
+  from (select distinct word from {{trigrams}} where n > n_last and length(word) > 1 and word rlike '^\\p{{L}}')),
+begun as (select word, part from vocabulary left semi join parts using (part)),
+longer as (select m1, m2, part, sum(n - n_last) as n from {{trigrams}} join begun using (word) group by m1, m2, part),
+stands as (select m1, m2, word as part, sum(n - n_last) as n from {{trigrams}} where n > n_last group by m1, m2, word),
+coarse_longer as (select {c1} as c1, {c2} as c2, part, sum(n) as n from longer group by 1, 2, 3),
+coarse_stands as (select {c1} as c1, {c2} as c2, part, sum(n) as n from stands left semi join parts using (part) group by 1, 2, 3),
+final_parts as (select id, m1, m2, {c1} as c1, {c2} as c2, word as part from {{asked}} where word rlike '^\\p{{L}}'),
 halves as (
-  select id, coalesce(n, 0) * 5 < n_longer as half_word from last_words join begun using (word) left join inner_words using (word)),
+  select f.id, case when l.n is not null or s.n is not null then coalesce(s.n, 0) * 5 < coalesce(l.n, 0) else coalesce(cs.n, 0) * 5 < coalesce(cl.n, 0) end as half_word
+  from final_parts f left join longer l using (m1, m2, part) left join stands s using (m1, m2, part)
+  left join coarse_longer cl on cl.c1 = f.c1 and cl.c2 = f.c2 and cl.part = f.part left join coarse_stands cs on cs.c1 = f.c1 and cs.c2 = f.c2 and cs.part = f.part),
 evidence as (
-  select t.id, t.source, t.ending, t.n_chars, t.said, t.broken, coalesce(half_word, false) or coalesce(end_share < {end_share}, false) as cut
-  from {{shapes}} t left join answers a using (id) left join halves h using (id)),
--- Lengths at which a source ends far more texts in this way than at the lengths around, most of them in the middle: its limits.
+  select t.id, t.source, t.ending, t.n_chars, t.said, t.broken, coalesce(end_share < {end_share}, false) as by_trigram, coalesce(half_word, false) as by_part
+  from {{shapes}} t left join shares a using (id) left join halves h using (id)),
+-- Lengths at which a source ends far more texts in this way than at the lengths around, most of them cut by their trigrams: its limits.
 lengths as (
-  select source, ending, n_chars, count(*) as n, avg(cast(cut as int)) as cut_share from evidence
+  select source, ending, n_chars, count(*) as n, avg(cast(by_trigram or by_part as int)) as cut_share from evidence
   where ending in ('word', 'dots', 'dots and link') group by source, ending, n_chars),
 limits as (
   select source, ending, n_chars from (
     select *, (sum(n) over (partition by source, ending order by n_chars range between 10 preceding and 10 following) - n) / 20 as around from lengths)
-  where n >= around + 6 * sqrt(around + 1) + 3 and cut_share >= 0.5)
-select e.id, e.source,
-  case when said = 'whole' then false
-       when said = 'longer' or broken then true
-       when l.n_chars is not null then true
-       when e.ending in ('stop', 'tail') then false
-       else cut end as truncated
-from evidence e
-left join limits l on l.source <=> e.source and l.ending = e.ending and l.n_chars = e.n_chars
+  where n >= around + 6 * sqrt(around + 1) + 3 and cut_share >= 0.5),
+signs as (
+  select e.id, e.source, said,
+    case when by_trigram then 'trigram' when by_part then 'trigram of a word begun' when l.n_chars is not null then 'length limit' when broken then 'broken character' when said = 'longer' then 'longer text' end as sign
+  from evidence e left join limits l on l.source <=> e.source and l.ending = e.ending and l.n_chars = e.n_chars)
+-- The record's own longer text is an exact check: where it says the body is whole, nothing was cut.
+select id, source, said, if(said = 'whole', null, sign) as sign, sign is not null and not (said <=> 'whole') as truncated from signs
 """
 
 
-def judged(texts: DataFrame, id_col: str, body_col: str, source_col: str, long_col: str = "null", object_col: str = "null", support: int = 10, end_share: float = 0.1, frequent_share: float = 0.02, sizes: tuple[int, ...] = (6, 4, 3, 2)) -> DataFrame:
-    """id, source, truncated for every record with a text.
+def judged(texts: DataFrame, id_col: str, body_col: str, source_col: str, long_col: str = "null", object_col: str = "null", support: int = 10, end_share: float = 0.1, frequent_share: float = 0.02) -> DataFrame:
+    """id, source, truncated, sign (what showed it, null if not truncated) and said for every record with a text.
 
-    Trigrams (and contexts of the other `sizes`; words rarer than `frequent_share` of the records by their shape) are counted
-    inside texts and at ends of sentences and texts. A text that ends without a stop is truncated if the longest of its final
-    contexts seen `support` times ends a sentence in less than `end_share` of the cases, if its last word is only the
-    beginning of words known from inside texts, or if its source ends such texts at just this length many times more often than
-    at lengths around and most of these look cut by the other signs. A broken character, entity or escape at the end is a cut; a longer text of the same record decides before all else.
-    Last words above 64 letters are
-    not taken for beginnings. Authors' own ends - a stop, tag, picture or sign-off, dots after a finished sentence - are none. Null and empty bodies are
-    left out; a repeated id counts once (the smallest body); other columns of the table are ignored."""
+    Word trigrams are counted inside texts and at ends of sentences and texts; the first two words of a trigram stand as themselves if at least
+    `frequent_share` of the records hold them, else as their shape (the first by its shape where the trigram is rarer than `support` and ends in a frequent word). A text that ends without a stop is truncated if its final trigram,
+    seen `support` times, ends a sentence or text in less than `end_share` of the cases (sign 'trigram'), or if trigrams inside texts go on from its last word
+    as the beginning of a longer one more than five times as often as they have it whole ('trigram of a word begun'). Two
+    signs stand beside these: 'length limit' - the source ends such texts at just this length many times more often than at lengths
+    around, and most of them are cut by their trigrams - and 'broken character', an entity, escape or character cut in two at the end. Last, a longer
+    text of the same record is an exact check (said: 'whole' or 'longer', else null): it overrules the signs if the body is whole, and is one itself
+    ('longer text') if it goes on. Authors' own ends - a stop, tag, picture or sign-off, dots after a finished sentence - are none. Null and empty
+    bodies are left out; a repeated id counts once (the smallest body); other columns of the table are ignored; an empty table gives no rows."""
     from tidewave.storage import materialize
 
     spark = texts.sparkSession
-    values = {"id_col": id_col, "body_col": body_col, "source_col": source_col, "long_col": long_col, "object_col": object_col, "support": support, "end_share": end_share, "frequent_share": frequent_share, "sizes": ", ".join(map(str, sizes))}
+    values = {"id_col": id_col, "body_col": body_col, "source_col": source_col, "long_col": long_col, "object_col": object_col, "support": support, "end_share": end_share, "frequent_share": frequent_share, "c1": _C1, "c2": _C2}
 
     def run(text: str, **frames: DataFrame) -> DataFrame:
         for name, value in (("TAIL", TAIL), ("LINKS", LINKS), ("DOTS", DOTS), ("BROKEN", BROKEN), ("TOKENS", TOKENS), ("REPOST", REPOST)):
@@ -129,7 +149,8 @@ def judged(texts: DataFrame, id_col: str, body_col: str, source_col: str, long_c
         return spark.sql(text, **frames)
 
     tokens = materialize(run(TOKENS_SQL, texts=texts), "tokens")
-    frequent = [r[0] for r in run(FREQUENT_SQL, tokens=tokens).collect()]
+    frequent = [r[0] for r in run(FREQUENT_SQL, tokens=tokens).collect()]  # at most words of a mean record / frequent_share
     values["frequent"] = ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in sorted(frequent)) or "''"
     shapes = materialize(run(SHAPES_SQL, tokens=tokens), "shapes")
-    return run(SQL, shapes=shapes)
+    trigrams = materialize(run(TRIGRAMS_SQL, shapes=shapes), "trigrams")
+    return run(SQL, shapes=shapes, trigrams=trigrams, asked=run(ASKED_SQL, shapes=shapes))
