@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
+from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SIZES = "item_id bigint, n_tokens bigint"
@@ -15,12 +19,10 @@ _LOADED: dict[str, object] = {}
 
 def _tokenizer(path: str):
     if path not in _LOADED:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
+        t = Tokenizer.from_file(SparkFiles.get(os.path.basename(path)))
         t.encode_special_tokens = True
         _LOADED[path] = t
     return _LOADED[path]
@@ -48,104 +50,155 @@ def _lengths(path: str, chunk_chars: int):
 
 
 def token_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, chunk_chars: int = 200_000) -> DataFrame:
-    """item_id and n_tokens of each text, by a public tokenizer file. A null text has 0 tokens, as has ''; null ids are no items."""
+    """item_id and n_tokens of each text, by a public tokenizer file, which the driver reads and sends to the executors. A null text has 0 tokens, as has ''; null ids are no items."""
+    docs.sparkSession.sparkContext.addFile(tokenizer)
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("item_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(_lengths(tokenizer, chunk_chars), SIZES)
 
 
+def class_of(size: Column, capacity: int) -> Column:
+    """The harmonic class k of a size in (capacity / (k + 1), capacity / k]: so many items of it fill a container of their own."""
+    return F.floor(F.lit(capacity) / size).cast("bigint")
+
+
+def grade_of(size: Column, capacity: int, grades: int) -> Column:
+    """The largest size of the grade a size belongs to. Grades cut class k into `grades` / k steps of equal width at most (exact sizes while there are
+    fewer), so there are about `grades` x ln(`grades`) of them, whatever the capacity, and none reaches into another class."""
+    k = class_of(size, capacity)
+    high, low = F.floor(F.lit(capacity) / k), F.floor(F.lit(capacity) / (k + 1))
+    width = F.ceil((high - low) / F.least(high - low, F.greatest(F.floor(F.lit(grades) / k), F.lit(1))))
+    return (high - F.floor((high - size) / width) * width).cast("bigint")
+
+
 def fill_plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Which sizes go together: [(bins, [(size, items a bin)])], from the number of items of each size (at most `capacity` entries).
+    """Which sizes go together: [(containers, [(size, items a container)])], from the number of items of each size.
 
-    Bins are opened for the largest size left and belong to its harmonic class: they take floor(capacity / size) items of it, then,
-    while room is left, as many as fit of the next largest sizes that are left. The same pattern is kept for as many bins as the counts allow,
-    so the plan's length follows the number of sizes, not of items."""
+    Containers are opened class by class, from the largest items on: one takes floor(capacity / size) items of the largest size left, going on to smaller sizes
+    of the class where there are too few, and then fills its rest in the same way with the largest sizes that fit it. A container opened by class k thus holds k items
+    of the class, unless these run out: class k opens at most ceil(its items / k) containers, so there are never more containers than without filling.
+    A pattern is kept for as many containers as the counts allow, and each ends some size, so the plan grows with the number of sizes, not of items."""
     left = dict(histogram)
+    sizes = sorted(s for s, n in left.items() if n)
     plan = []
-    for size in sorted(left, reverse=True):
-        while left[size]:
-            room, pattern = capacity, []
-            for other in sorted((s for s, n in left.items() if n and s <= size), reverse=True):
-                take = min(room // other, left[other])
-                if take:
-                    pattern.append((other, take))
-                    room -= take * other
-                if room == 0:
-                    break
-            bins = min(left[s] // k for s, k in pattern)
-            for s, k in pattern:
-                left[s] -= k * bins
-            plan.append((bins, pattern))
+    while sizes:
+        room, at, pattern = capacity, len(sizes), []
+        while (at := bisect_right(sizes, room, 0, at) - 1) >= 0:
+            size = sizes[at]
+            take = min(room // size, left[size])
+            pattern.append((size, take))
+            room -= take * size
+        bins = min(left[s] // k for s, k in pattern)
+        for s, k in pattern:
+            left[s] -= k * bins
+        sizes = [s for s in sizes if left[s]]
+        plan.append((bins, pattern))
     return plan
 
 
-def packed(sizes: DataFrame, capacity: int = 1024) -> DataFrame:
+def _pieces(sizes: DataFrame, capacity: int) -> DataFrame:
+    """Items as pieces of at most `capacity`: whole containers and a rest of those above it, others as they are."""
+    once = sizes.where(F.col("item_id").isNotNull() & F.col("n_tokens").isNotNull()).groupBy("item_id").agg(F.max("n_tokens").alias("n_tokens"))
+    full = F.when(F.col("n_tokens") > capacity, F.floor(F.col("n_tokens") / capacity)).otherwise(0)
+    cut = once.select("item_id", F.explode(F.sequence(F.lit(0), full.cast("int"))).alias("piece"), full.alias("whole"), F.col("n_tokens").alias("all"))
+    cut = cut.withColumn("n_tokens", F.when(F.col("piece") < F.col("whole"), F.lit(capacity)).otherwise(F.col("all") - F.col("whole") * capacity)).where((F.col("n_tokens") > 0) | (F.col("whole") == 0))
+    return cut.select("item_id", "piece", F.col("n_tokens").cast("bigint").alias("n_tokens"))
+
+
+def _placed(plan):
+    """The container of each item: a binary search for the stretch of its grade that holds its running number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_grade, starts, first, firsts, each = plan.value
+        for batch in batches:
+            grade, no = np.asarray(batch.column(3)), np.asarray(batch.column(4))
+            at = np.searchsorted(starts, (np.searchsorted(of_grade, grade) << 44) + no, side="right") - 1
+            container = firsts[at] + (no - first[at]) // each[at]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(container, pa.int64())], names=["item_id", "piece", "n_tokens", "container_id"])
+
+    return run
+
+
+def packed(sizes: DataFrame, capacity: int = 1024, fill: bool = True, grades: int = 512) -> DataFrame:
     """Every item in containers: item_id, piece, n_tokens (of the piece), container_id; no container holds more than `capacity`.
 
     sizes: item_id, n_tokens. An item above the capacity, and no other, is split: into full containers of its own and a rest that is packed
-    like an item. Items of 0 tokens take no room: they share container 0, which holds nothing else. Items are counted by size (a histogram of
-    `capacity` numbers, the only thing the driver sees), a harmonic plan is made on it, and each item finds its container by its
-    size and its running number in that size, so workers fill containers independently and no item is moved to a common task.
-    Running numbers come from range partitions in order of size: a count per partition and size, then an offset each.
-    Null sizes are no items; a repeated id counts once (its largest size); an empty table gives no rows."""
+    like an item. Items fall into harmonic classes: those of class k, in (capacity / (k + 1), capacity / k], go k to a container, and as an item's container is its running number
+    in its class divided by k, workers fill containers independently and no item is moved to a common task. Without `fill` that is all, and no count is needed but one for each class.
+    Class k then leaves up to 1 / (k + 1) of its containers empty; with `fill`, the rests take items of later classes, a fixed count of each grade (see grade_of) for
+    each run of containers. That plan (fill_plan) is made on the number of items of each grade, about `grades` x ln(`grades`) numbers whatever the table and
+    capacity, and never opens more containers than without it. Running numbers come from range partitions in order of grade: a count per partition and grade, then an offset each.
+    Items of 0 tokens take no room: they share container 0, which holds nothing else. Null sizes are no items; a repeated id counts once (its largest size); an empty table gives no rows."""
     from tidewave.storage import materialize
 
     spark = sizes.sparkSession
-    once = materialize(sizes.where(F.col("item_id").isNotNull() & F.col("n_tokens").isNotNull()).groupBy("item_id").agg(F.max("n_tokens").alias("n_tokens")), "sizes")
-    full = F.when(F.col("n_tokens") > capacity, F.floor(F.col("n_tokens") / capacity)).otherwise(0)
-    pieces = once.select("item_id", F.explode(F.sequence(F.lit(0), full.cast("int"))).alias("piece"), full.alias("whole"), F.col("n_tokens").alias("all"))
-    pieces = pieces.withColumn("n_tokens", F.when(F.col("piece") < F.col("whole"), F.lit(capacity)).otherwise(F.col("all") - F.col("whole") * capacity)).where((F.col("n_tokens") > 0) | (F.col("whole") == 0))
-    pieces = pieces.select("item_id", "piece", "n_tokens")
-    histogram = {r[0]: r[1] for r in pieces.groupBy("n_tokens").count().collect()}  # at most capacity + 1 rows
-    empty = histogram.pop(0, 0)
-    first_bin, rows = 1, []
-    taken: dict[int, int] = {}
+    pieces = materialize(_pieces(sizes, capacity), "pieces")
+    empty = pieces.where("n_tokens = 0").select("item_id", "piece", "n_tokens", F.lit(0).cast("bigint").alias("container_id"))
+    real = pieces.where("n_tokens > 0")
+    if not fill:
+        numbered, counts = _running_numbers(real.withColumn("grade", class_of(F.col("n_tokens"), capacity)))
+        opened = counts.groupBy("grade").agg(F.ceil(F.sum("c") / F.col("grade")).alias("bins"))
+        # One row for each class, at most twice the root of the capacity.
+        first = opened.select("grade", (F.coalesce(F.sum("bins").over(Window.partitionBy(F.lit(0)).orderBy("grade").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1).alias("first"))
+        return numbered.join(F.broadcast(first), "grade").select("item_id", "piece", "n_tokens", (F.col("first") + F.floor(F.col("no") / F.col("grade"))).alias("container_id")).unionByName(empty)
+    numbered, counts = _running_numbers(real.withColumn("grade", grade_of(F.col("n_tokens"), capacity, grades)))
+    histogram = {r[0]: r[1] for r in counts.groupBy("grade").agg(F.sum("c")).collect()}
+    stretches: list[tuple[int, int, int, int]] = []
+    first_bin, taken = 1, dict.fromkeys(histogram, 0)
     for bins, pattern in fill_plan(histogram, capacity):
         for size, k in pattern:
-            start = taken.get(size, 0)
-            rows.append((size, start, start + k * bins, first_bin, k))
-            taken[size] = start + k * bins
+            stretches.append((size, taken[size], first_bin, k))
+            taken[size] += k * bins
         first_bin += bins
-    if empty:
-        rows.append((0, 0, empty, 0, empty))
-    plan = spark.createDataFrame(rows, "n_tokens bigint, from_no bigint, until_no bigint, first_bin bigint, each bigint")
-    # Each size's stretches in order; the number of a stretch is found by binary search in the list of their starts.
-    stretches = plan.groupBy("n_tokens").agg(F.sort_array(F.collect_list(F.struct("from_no", "until_no", "first_bin", "each"))).alias("stretches"))
-    numbered = _running_numbers(pieces)
-    at = F.col("no")
-    found = numbered.join(F.broadcast(stretches), "n_tokens").withColumn("s", F.get(F.filter("stretches", lambda x: (x.from_no <= at) & (at < x.until_no)), F.lit(0)))
-    return found.select("item_id", "piece", "n_tokens", (F.col("s.first_bin") + F.floor((at - F.col("s.from_no")) / F.col("s.each"))).alias("container_id"))
+    of_grade = np.array(sorted(histogram), np.int64)
+    size, first, firsts, each = (np.array(x, np.int64) for x in zip(*sorted(stretches))) if stretches else (np.zeros(0, np.int64),) * 4
+    plan = (of_grade, (np.searchsorted(of_grade, size) << 44) + first, first, firsts, each)
+    placed = numbered.select("item_id", "piece", "n_tokens", "grade", "no").mapInArrow(_placed(spark.sparkContext.broadcast(plan)), "item_id bigint, piece int, n_tokens bigint, container_id bigint")
+    return placed.unionByName(empty)
 
 
 def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A running number within the partition and size, over rows sorted by size."""
+    """A running number within the partition and grade, over rows sorted by grade."""
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
-    size, no = None, 0
+    last, next_no = None, 0
     for batch in batches:
-        numbers = []
-        for s in batch.column(2).to_pylist():
-            if s != size:
-                size, no = s, 0
-            numbers.append(no)
-            no += 1
-        n = batch.num_rows
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * n, pa.int32()), pa.array(numbers, pa.int64())], names=["item_id", "piece", "n_tokens", "part", "no"])
-
-
-def _running_numbers(pieces: DataFrame) -> DataFrame:
-    """Numbers from 0 within each size, without bringing a size together: range partitions, then an offset for each partition and size."""
+        grade = np.asarray(batch.column(3))
+        if not len(grade):
+            continue
+        new = np.flatnonzero(np.append(True, grade[1:] != grade[:-1]))
+        no = np.arange(len(grade)) - np.repeat(new, np.diff(np.append(new, len(grade))))
+        if grade[0] == last:
+            no[: new[1] if len(new) > 1 else len(grade)] += next_no
+        last, next_no = grade[-1], no[-1] + 1
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(grade), part), pa.int32()), pa.array(no, pa.int64())], names=["item_id", "piece", "n_tokens", "grade", "part", "no"])
+
+
+def _running_numbers(pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Numbers from 0 (no) within each grade, without bringing a grade together: range partitions, then an offset for each partition and grade.
+    With them, the counts (grade, part, c)."""
     from tidewave.storage import materialize
 
     spark = pieces.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    order = ["n_tokens", "item_id", "piece"]
-    local = pieces.repartitionByRange(n, *order).sortWithinPartitions(*order).select("item_id", "piece", "n_tokens").mapInArrow(_numbers, "item_id bigint, piece int, n_tokens bigint, part int, no bigint")
+    order = ["grade", "item_id", "piece"]
+    local = pieces.repartitionByRange(n, *order).sortWithinPartitions(*order).select("item_id", "piece", "n_tokens", "grade").mapInArrow(_numbers, "item_id bigint, piece int, n_tokens bigint, grade bigint, part int, no bigint")
     local = materialize(local, "numbers")
-    counts = local.groupBy("n_tokens", "part").agg(F.count("*").alias("c"))  # partitions are ranges of sizes: sizes + partitions rows
-    before = Window.partitionBy("n_tokens").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("n_tokens", "part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("skip"))
-    return local.join(F.broadcast(offsets), ["n_tokens", "part"]).select("item_id", "piece", "n_tokens", (F.col("no") + F.col("skip")).alias("no"))
+    counts = local.groupBy("grade", "part").agg(F.count("*").alias("c"))  # partitions are ranges of grades: grades + partitions rows
+    before = Window.partitionBy("grade").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("grade", "part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("skip"))
+    return local.join(F.broadcast(offsets), ["grade", "part"]).select("item_id", "piece", "n_tokens", "grade", (F.col("no") + F.col("skip")).alias("no")), counts
+
+
+def kept(sizes: DataFrame, containers: DataFrame, capacity: int = 1024) -> DataFrame:
+    """One row that tells whether a packing is right: n_items in containers, and how many containers are over capacity, items split that would fit, and items whose pieces
+    do not add up to them (all 0 if it is)."""
+    fills = containers.groupBy("container_id").agg(F.sum("n_tokens").alias("t")).agg(F.coalesce(F.sum((F.col("t") > capacity).cast("bigint")), F.lit(0)).alias("n_overfull"))
+    whole = containers.groupBy("item_id").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("pieces"))
+    items = sizes.groupBy("item_id").agg(F.max("n_tokens").alias("n_tokens")).join(whole, "item_id", "full")
+    count = lambda c: F.coalesce(F.sum(c.cast("bigint")), F.lit(0))
+    items = items.agg(F.count("t").alias("n_items"), count((F.col("pieces") > 1) & (F.col("n_tokens") <= capacity)).alias("n_split"), count(~F.col("t").eqNullSafe(F.col("n_tokens"))).alias("n_wrong"))
+    return items.join(fills, F.lit(True))  # one row each
 
 
 def usage(containers: DataFrame, capacity: int = 1024) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewave.llm import copies, leakage, lookalikes, packing, terms, truncation, turns
 from tidewave.plans.tables import Query, table
+from tidewave.storage import materialize
 
 
 # -- problem 1: terms --------------------------------------------------------------------------------------------------
@@ -112,7 +113,19 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_usage(spark: SparkSession, d: str) -> DataFrame:
-    return packing.usage(p8_containers(spark, d))
+    """How full the containers are: by plain harmonic classes, and with their rests filled."""
+    sizes = materialize(packing.token_lengths(table(spark, d, "documents")), "lengths")
+    plain, filled = (packing.usage(packing.packed(sizes, fill=f)).withColumn("rests", F.lit("filled" if f else "left")) for f in (False, True))
+    return plain.unionByName(filled)
+
+
+def p8_kept(spark: SparkSession, d: str) -> DataFrame:
+    """That no container is over capacity, no item is split that would fit and none is lost."""
+    sizes = materialize(packing.token_lengths(table(spark, d, "documents")), "lengths")
+    return packing.kept(sizes, packing.packed(sizes))
+
+
+P8_KEPT_SQL = "select count(distinct doc_id) as n_items, 0 as n_split, 0 as n_wrong, 0 as n_overfull from documents"
 
 
 # -- problem 9: leakage ------------------------------------------------------------------------------------------------
@@ -147,8 +160,8 @@ QUERIES: dict[str, Query] = {
     "p5_found": p5_found, "p5_collapsed": p5_collapsed,
     "p6_found": p6_found,
     "p7_found": p7_found, "p7_sources": p7_sources, "p7_signs": p7_signs,
-    "p8_containers": p8_containers, "p8_usage": p8_usage,
+    "p8_containers": p8_containers, "p8_usage": p8_usage, "p8_kept": p8_kept,
     "p9_found": p9_found, "p9_items": p9_items,
     "p10_found": p10_found, "p10_forms": p10_forms, "p10_classes": p10_classes,
 }
-SQL = {"p1_found": P1_FOUND_SQL, "p1_counts": P1_COUNTS_SQL, "p1_after_deletion": P1_AFTER_SQL}
+SQL = {"p1_found": P1_FOUND_SQL, "p1_counts": P1_COUNTS_SQL, "p1_after_deletion": P1_AFTER_SQL, "p8_kept": P8_KEPT_SQL}
