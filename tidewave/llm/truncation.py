@@ -19,8 +19,11 @@ with records as (
     from {{texts}} where {id_col} is not null and {body_col} is not null and {body_col} <> '' group by {id_col})),
 -- What was written: without the tail, and what kind of ending is left.
 endings as (
-  select *, rtrim(body) as whole, regexp_replace(rtrim(body), '{TAIL}', '') as trimmed, regexp_replace(rtrim(body), '{LINKS}', '') as unlinked
-  from records),
+  select *, if(tailed, regexp_replace(whole, '{TAIL}', ''), whole) as trimmed, if(linked, regexp_replace(whole, '{LINKS}', ''), whole) as unlinked
+  from (select *, contains(substring_index(whole, ' ', -1), '://') as linked,
+          -- Only these last words or a dash can begin a tail; most texts need no search for one.
+          contains(substring_index(whole, ' ', -1), '://') or contains(substring_index(whole, ' ', -1), '#') or contains(whole, '—') or contains(whole, '–') or substring(whole, -1, 1) rlike '[^\p{{L}}\p{{N}}.!?…,:;]' or whole rlike '\s#\S+$' as tailed
+        from (select *, rtrim(body) as whole from records))),
 cores as (
   select *, regexp_replace(trimmed, '{DOTS}', '') as core,
     case when trimmed rlike '{DOTS}' and length(unlinked) < length(whole) and trimmed = unlinked then 'dots and link'
@@ -52,7 +55,8 @@ having count(*) >= {frequent_share} * (select count(*) from {{tokens}}) and not
 # Frequent words stay themselves in trigrams, others become their shape. Marks begin with the text's start.
 SHAPES_SQL = r"""
 select *, concat(array('|'), transform(words, w ->
-    case when w rlike '^[.!?…]' then '|' when w in ({frequent}) then w when w rlike '^\\p{{N}}' then '9' when w rlike '^\\p{{Lu}}' then 'A' else 'a' end)) as marks
+    case when substring(w, 1, 1) in ('.', '!', '?', '…') then '|' when w in ({frequent}) then w when substring(w, 1, 1) between '0' and '9' then '9'
+         when upper(substring(w, 1, 1)) = lower(substring(w, 1, 1)) and w rlike '^\\p{{N}}' then '9' when substring(w, 1, 1) <> lower(substring(w, 1, 1)) then 'A' else 'a' end)) as marks
 from {{tokens}}
 """
 
@@ -73,38 +77,49 @@ select id, source, ending, n_chars, if(size(words) > 1, get(marks, size(words) -
 from {{shapes}} where ending not in ('stop', 'tail') and size(words) > 0 and element_at(marks, -1) <> '|'
 """
 
-_COARSE = r"if({m} = '|' or {m} rlike '^[^\\p{{L}}\\p{{N}}]', {m}, case when {m} rlike '^\\p{{N}}' then '9' when {m} rlike '^\\p{{Lu}}' then 'A' else 'a' end)"
+_COARSE = r"if({m} in ('|', ',', ':', ';', '—'), {m}, case when substring({m}, 1, 1) between '0' and '9' then '9' when substring({m}, 1, 1) <> lower(substring({m}, 1, 1)) then 'A' else 'a' end)"
 _C1, _C2 = _COARSE.replace("{m}", "m1"), _COARSE.replace("{m}", "m2")
 
-SQL = r"""
+# What is asked of the trigrams for each text, as 64-bit keys: the trigram as it stands, with its last word's mark, with its first word's shape (for a frequent last word), and with
+# both shapes; and the last two as those of words that its last word begins.
+KEYS_SQL = r"""
+select id, inline(array(named_struct('kind', 'word', 'key', xxhash64(0, m1, m2, word)), named_struct('kind', 'mark', 'key', xxhash64(1, m1, m2, mark)), named_struct('kind', 'first', 'key', xxhash64(2, c1, m2, word)),
+    named_struct('kind', 'shape', 'key', xxhash64(3, c1, c2, word)), named_struct('kind', 'begun', 'key', xxhash64(4, m1, m2, word)), named_struct('kind', 'begun shape', 'key', xxhash64(5, c1, c2, word)))) as (kind, key)
+from (select *, {c1} as c1, {c2} as c2 from {{asked}})
+"""
+
+COUNTED_SQL = r"""
 with
--- The last word as it stands: the share of its trigram's occurrences that end a sentence or text; if the trigram is rare, that with the last word's mark, and if this is and the last
--- word is a frequent one, that with the shape of the first word.
-of_words as (select m1, m2, word, n, n_stops from {{trigrams}}),
-of_marks as (select m1, m2, mark, sum(n) as n, sum(n_stops) as n_stops from {{trigrams}} group by m1, m2, mark),
-of_shapes as (select {c1} as c1, m2, word, sum(n) as n, sum(n_stops) as n_stops from {{trigrams}} group by 1, 2, 3),
-shares as (
-  select a.id, case when w.n >= {support} then w.n_stops / w.n when s.n >= {support} then s.n_stops / s.n when a.word = a.mark and c.n >= {support} then c.n_stops / c.n end as end_share
-  from (select *, {c1} as c1 from {{asked}}) a left join of_words w using (m1, m2, word) left join of_marks s using (m1, m2, mark)
-  left join of_shapes c on c.c1 = a.c1 and c.m2 = a.m2 and c.word = a.word),
--- The last word as the beginning of another: trigrams inside texts that go on from it, against those in which it stands whole.
 parts as (select distinct word as part from {{asked}} where word rlike '^\\p{{L}}'),
 vocabulary as (
   select word, explode(transform(sequence(1, length(word) - 1), k -> substring(word, 1, k))) as part
   from (select distinct word from {{trigrams}} where n > n_last and length(word) > 1 and word rlike '^\\p{{L}}')),
-begun as (select word, part from vocabulary left semi join parts using (part)),
-longer as (select m1, m2, part, sum(n - n_last) as n from {{trigrams}} join begun using (word) group by m1, m2, part),
-stands as (select m1, m2, word as part, sum(n - n_last) as n from {{trigrams}} where n > n_last group by m1, m2, word),
-coarse_longer as (select {c1} as c1, {c2} as c2, part, sum(n) as n from longer group by 1, 2, 3),
-coarse_stands as (select {c1} as c1, {c2} as c2, part, sum(n) as n from stands left semi join parts using (part) group by 1, 2, 3),
-final_parts as (select id, m1, m2, {c1} as c1, {c2} as c2, word as part from {{asked}} where word rlike '^\\p{{L}}'),
-halves as (
-  select f.id, case when l.n is not null or s.n is not null then coalesce(s.n, 0) * 5 < coalesce(l.n, 0) else coalesce(cs.n, 0) * 5 < coalesce(cl.n, 0) end as half_word
-  from final_parts f left join longer l using (m1, m2, part) left join stands s using (m1, m2, part)
-  left join coarse_longer cl on cl.c1 = f.c1 and cl.c2 = f.c2 and cl.part = f.part left join coarse_stands cs on cs.c1 = f.c1 and cs.c2 = f.c2 and cs.part = f.part),
+begun as (select word, collect_set(part) as parts from vocabulary left semi join parts using (part) group by word),
+keyed as (
+  select n, n_stops, n - n_last as n_inside, explode(concat(
+      array(xxhash64(0, m1, m2, word), xxhash64(1, m1, m2, mark), xxhash64(2, c1, m2, word), xxhash64(3, c1, c2, word)),
+      flatten(transform(coalesce(parts, array()), p -> array(xxhash64(4, m1, m2, p), xxhash64(5, c1, c2, p)))))) as key
+  from (select *, {c1} as c1, {c2} as c2 from {{trigrams}}) left join begun using (word))
+select key, sum(n) as n, sum(n_stops) as n_stops, sum(n_inside) as n_inside from keyed left semi join (select distinct key from {{keys}}) using (key) group by key
+"""
+
+SQL = r"""
+with
+answers as (
+  select id, max(if(kind = 'word', n, null)) as word_n, max(if(kind = 'word', n_stops, null)) as word_stops, max(if(kind = 'mark', n, null)) as mark_n, max(if(kind = 'mark', n_stops, null)) as mark_stops,
+    max(if(kind = 'first', n, null)) as first_n, max(if(kind = 'first', n_stops, null)) as first_stops,
+    coalesce(max(if(kind = 'word', n_inside, null)), 0) as stands, coalesce(max(if(kind = 'begun', n_inside, null)), 0) as goes_on,
+    coalesce(max(if(kind = 'shape', n_inside, null)), 0) as shape_stands, coalesce(max(if(kind = 'begun shape', n_inside, null)), 0) as shape_goes_on
+  from {{keys}} join {{counted}} using (key) group by id),
+shares as (
+  -- The share of the trigram's occurrences that end a sentence or text; if it is rare, that with the last word's mark; if this is rare too and the last word a frequent one, that with
+  -- the first word's shape. And whether trigrams inside texts go on from the last word to a longer one; with both words before as shapes where it is never seen.
+  select id, case when word_n >= {support} then word_stops / word_n when mark_n >= {support} then mark_stops / mark_n when word = mark and first_n >= {support} then first_stops / first_n end as end_share,
+    word rlike '^\\p{{L}}' and if(stands + goes_on > 0, stands * 5 < goes_on, shape_stands * 5 < shape_goes_on) as half_word
+  from {{asked}} join answers using (id)),
 evidence as (
   select t.id, t.source, t.ending, t.n_chars, t.said, t.broken, coalesce(end_share < {end_share}, false) as by_trigram, coalesce(half_word, false) as by_part
-  from {{shapes}} t left join shares a using (id) left join halves h using (id)),
+  from {{shapes}} t left join shares a using (id)),
 -- Lengths at which a source ends far more texts in this way than at the lengths around, most of them cut by their trigrams: its limits.
 lengths as (
   select source, ending, n_chars, count(*) as n, avg(cast(by_trigram or by_part as int)) as cut_share from evidence
@@ -153,4 +168,6 @@ def judged(texts: DataFrame, id_col: str, body_col: str, source_col: str, long_c
     values["frequent"] = ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in sorted(frequent)) or "''"
     shapes = materialize(run(SHAPES_SQL, tokens=tokens), "shapes")
     trigrams = materialize(run(TRIGRAMS_SQL, shapes=shapes), "trigrams")
-    return run(SQL, shapes=shapes, trigrams=trigrams, asked=run(ASKED_SQL, shapes=shapes))
+    asked = materialize(run(ASKED_SQL, shapes=shapes), "asked")
+    keys = run(KEYS_SQL, asked=asked)
+    return run(SQL, shapes=shapes, asked=asked, keys=keys, counted=run(COUNTED_SQL, asked=asked, trigrams=trigrams, keys=keys))
