@@ -84,6 +84,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return turns.speaker_turns(table(spark, d, "radio_snippet"), table(spark, d, "filler_word"))
 
 
+def p6_turns(spark: SparkSession, d: str) -> DataFrame:
+    """The cleaned text of every turn, span by span."""
+    return turns.turn_texts(table(spark, d, "radio_snippet"), table(spark, d, "filler_word"))
+
+
 # -- problem 7: truncation ---------------------------------------------------------------------------------------------
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
@@ -158,7 +163,7 @@ def p10_classes(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found, "p1_counts": p1_counts, "p1_after_deletion": p1_after_deletion,
     "p5_found": p5_found, "p5_collapsed": p5_collapsed,
-    "p6_found": p6_found,
+    "p6_found": p6_found, "p6_turns": p6_turns,
     "p7_found": p7_found, "p7_sources": p7_sources, "p7_signs": p7_signs,
     "p8_containers": p8_containers, "p8_usage": p8_usage, "p8_kept": p8_kept,
     "p9_found": p9_found, "p9_items": p9_items,
