@@ -160,6 +160,11 @@ def p10_classes(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.look_classes(table(spark, d, "documents"))
 
 
+def p10_words(spark: SparkSession, d: str) -> DataFrame:
+    """The words written in several scripts, or wholly in the look-alikes of another."""
+    return lookalikes.confusable_words(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found, "p1_counts": p1_counts, "p1_after_deletion": p1_after_deletion,
     "p5_found": p5_found, "p5_collapsed": p5_collapsed,
@@ -167,6 +172,6 @@ QUERIES: dict[str, Query] = {
     "p7_found": p7_found, "p7_sources": p7_sources, "p7_signs": p7_signs,
     "p8_containers": p8_containers, "p8_usage": p8_usage, "p8_kept": p8_kept,
     "p9_found": p9_found, "p9_items": p9_items,
-    "p10_found": p10_found, "p10_forms": p10_forms, "p10_classes": p10_classes,
+    "p10_found": p10_found, "p10_forms": p10_forms, "p10_classes": p10_classes, "p10_words": p10_words,
 }
 SQL = {"p1_found": P1_FOUND_SQL, "p1_counts": P1_COUNTS_SQL, "p1_after_deletion": P1_AFTER_SQL, "p8_kept": P8_KEPT_SQL}
