@@ -11,7 +11,7 @@ from tidewave.llm.lookalikes import consistent_form as form
     [
         ("", ""), ("plain", "plain"), ("Ｇｒｅｍ，", "Grem,"), ("ofﬁce ﬂow", "office flow"), ("a b c d", "a b c d"), ("résumé", "résumé"), ("mor­t​g﻿⁠age", "mortgage"),
         ("thе аll costо́", "the all costó"), ("Roѕinell іѕ", "Rosinell is"), ("Beдущий сказaл, чтo хoтят", "Ведущий сказал, что хотят"), ("Αsk Ζella drοught", "Ask Zella drought"),
-        ("\U0001f469‍\U0001f33e ok‍", "\U0001f469‍\U0001f33e ok"), ("x² ½ …", "x² ½ …"), ("й ёж", "й ёж"), ("λόγος ο", "λόγος ο"), ("who one", "who one"), ("ꓮꓐ ᎪᏴ ⲟne ɑnd ɡo\u3164\u180b", "AB AB one and go"), ("漢字カナ ひらがなー", "漢字カナ ひらがなー"), ("а storm, сказал а потом", "a storm, сказал а потом"), ("line\nbreak\ttab  two", "line\nbreak\ttab  two"),
+        ("\U0001f469‍\U0001f33e ok‍", "\U0001f469‍\U0001f33e ok"), ("x² ½ …", "x² ½ …"), ("й ёж", "й ёж"), ("λόγος ο", "λόγος ο"), ("who one", "who one"), ("ꓮꓐ ᎪᏴ ⲟne ɑnd ɡo\u3164\u180b", "AB AB one and go"), ("До войны. DRALENMOOR, THE LATE", "До войны. DRALENMOOR, THE LATE"), ("漢字カナ ひらがなー", "漢字カナ ひらがなー"), ("а storm, сказал а потом", "a storm, сказал а потом"), ("line\nbreak\ttab  two", "line\nbreak\ttab  two"),
     ],
 )
 def test_forms(text, want):

@@ -125,8 +125,11 @@ class Looks:
 
     def _spellings(self, words: list[str]) -> list[str]:
         """Each word in one script: the one all its letters fit; of several the one of the nearest word that fits one only (the following of two as
-        near), Latin where there is none; look-alikes stay Latin in a word that fits no script."""
+        near), Latin where there is none and against scripts that no other word of the text is sure to be in; look-alikes stay Latin in a word that fits no script."""
         resolved = [self.resolve(w) for w in words]
+        # A script speaks for itself only where some word of the text fits no other; else words of its look-alikes are Latin.
+        present = {"Latin"}.union(*(scripts for _, scripts in resolved if len(scripts) == 1))
+        resolved = [(bare, scripts & present or scripts) for bare, scripts in resolved]
         sure = [next(iter(scripts)) if len(scripts) == 1 else None for _, scripts in resolved]
         far = len(words) + 1
         after: list[dict[str, int]] = [{}] * len(words)
@@ -176,7 +179,7 @@ LOOKS = Looks()
 def consistent_form(text: str) -> str:
     """One form for all texts that look the same: plain widths, spaces and ligatures, composed accents, no invisible characters,
     and every word in one script. A word whose letters fit one script only is spelled in it; one that fits several (look-alikes
-    throughout) takes the script of the nearest word that fits one only (the following of two as near), Latin where there is none; one that fits none keeps Latin look-alikes.
+    throughout) takes the script of the nearest word that fits one only (the following of two as near), Latin where there is none (see Looks); one that fits none keeps Latin look-alikes.
 
     The result depends only on how the text looks: the scripts are found on the word with all look-alikes replaced.
     Accents, case, digits, punctuation and line breaks are differences and stay. Idempotent; '' stays ''."""
