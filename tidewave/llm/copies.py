@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewave.storage import materialize
 
 STRIDE = 32
-ASSIGNED = "id bigint, canon string, bucket bigint, hot boolean"
-GROUPED = "id bigint, keep_id bigint, hot_key string"
+FIRST_LENGTH = 8
+GROUPED = "id bigint, keep_id bigint, hot_key binary"
 
 
 def letters_and_digits(text: Column) -> Column:
@@ -55,40 +54,14 @@ def json_canon(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(json_col).alias("j")).mapInArrow(_json_rows, "id bigint, canon string")
 
 
-def _assign(levels):
-    """Each row to the bucket of its shortest prefix that is not oversized; the rows of one oversized text (hot) by their id."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        steps, whole, parts = levels.value
-        for batch in batches:
-            canons = batch.column(1).to_pylist()
-            ids = batch.column(0).to_pylist()
-            buckets, hot = [], []
-            for i, canon in zip(ids, canons):
-                prefix, is_hot = canon, canon in whole
-                if not is_hot:
-                    for length, over in steps:
-                        prefix = canon[:length]
-                        if prefix not in over:
-                            break
-                    else:
-                        prefix = canon
-                key = f"{i % parts} {prefix}" if is_hot else prefix
-                buckets.append(xxhash.xxh64_intdigest(key.encode("utf-8", "surrogatepass")) >> 1)
-                hot.append(is_hot)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(buckets, dtype=np.int64)), pa.array(hot, pa.bool_())], names=["id", "canon", "bucket", "hot"])
-
-    return run
-
-
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket: one trie a bucket, its edges STRIDE characters; a terminal holds the smallest id and the counter."""
+    """Rows sorted by bucket: one trie a bucket, its edges STRIDE characters; a terminal holds the smallest id, the counter and, for a text spread over several tries, its digest."""
     bucket, trie, members = None, {}, []
 
     def emit() -> pa.RecordBatch:
         rows = [(i, t[0], t[2]) for i, t in members if t[1] > 1 or t[2] is not None]
         ids, keeps, keys = zip(*rows) if rows else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keeps, pa.int64()), pa.array(keys, pa.string())], names=["id", "keep_id", "hot_key"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keeps, pa.int64()), pa.array(keys, pa.binary())], names=["id", "keep_id", "hot_key"])
 
     for batch in batches:
         ids, canons, buckets, hots = (c.to_pylist() for c in batch.columns)
@@ -106,7 +79,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 node = below
             terminal = node.get(None)
             if terminal is None:
-                node[None] = terminal = [i, 1, canon if hot else None]
+                node[None] = terminal = [i, 1, hashlib.blake2b(canon.encode("utf-8", "surrogatepass"), digest_size=16).digest() if hot else None]
             else:
                 terminal[1] += 1
                 if i < terminal[0]:
@@ -116,44 +89,46 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit()
 
 
-def groups_of_copies(rows: DataFrame, bucket_rows: int = 50_000, oversized: int = 50_000) -> DataFrame:
+def _bucketed(stored: DataFrame, bucket_rows: int, bucket_chars: int) -> DataFrame:
+    """id, canon, bucket and hot: each row with the bucket of its shortest prefix that is not oversized, the rows of one oversized text (hot) with one of its parts.
+
+    The prefixes above the limits are a table at every level, joined to the rows that are left, and only these go on to the next."""
+    done: list[DataFrame] = []
+    left, length = stored, FIRST_LENGTH
+    while True:
+        rows = left.withColumn("prefix", F.substring("canon", 1, length))
+        sizes = rows.groupBy("prefix").agg(F.count("*").alias("n"), F.sum(F.length("canon")).alias("chars"), F.max(F.length("canon")).alias("longest"))
+        over = materialize(sizes.where((F.col("n") > bucket_rows) | ((F.col("chars") > bucket_chars) & (F.col("n") > 1))).select("prefix", (F.col("longest") <= length).alias("whole"), F.greatest(F.ceil(F.col("n") / bucket_rows), F.ceil(F.col("chars") / bucket_chars)).cast("int").alias("parts")), "oversized")
+        if over.isEmpty():
+            done.append(rows.select("id", "canon", F.xxhash64("prefix").alias("bucket"), F.lit(False).alias("hot")))
+            break
+        rows = rows.join(over, "prefix", "left")
+        part = F.pmod(F.xxhash64("id"), F.col("parts"))
+        done.append(rows.where("parts is null or whole").select("id", "canon", F.when(F.col("whole"), F.xxhash64("prefix", part)).otherwise(F.xxhash64("prefix")).alias("bucket"), F.coalesce("whole", F.lit(False)).alias("hot")))
+        left = materialize(rows.where("not whole").select("id", "canon"), "left")
+        length *= 2
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def groups_of_copies(rows: DataFrame, bucket_rows: int = 50_000, bucket_chars: int = 50_000_000) -> DataFrame:
     """Rows (id, canon: canonical text) that share their canonical text with another: id, keep_id (the smallest id of the group).
 
-    Rows are spread by prefixes of the canonical text; prefixes with more than `bucket_rows` rows are split by twice as many characters, again and
-    again, until each bucket fits a trie in memory or is a single text. Such a text (a hot group) is spread by id, counted in
-    several tries, and their smallest ids are then joined. At most `oversized` prefixes a level can exceed the limit, as
-    it is raised to that share of all rows; only they are held by the driver and sent out.
+    Rows are spread by prefixes of the canonical text; prefixes with more than `bucket_rows` rows or `bucket_chars` characters are split by twice as many characters, again and
+    again, until each bucket fits a trie in memory, whatever the size of the table, or is a single text. Such a text (a hot group) is spread by id over as many parts as it
+    needs, counted in as many tries, and their smallest ids are then joined.
     Repeated ids count once (the smallest text, should copies differ); null ids and texts are no rows; an empty table gives no groups."""
     spark = rows.sparkSession
     once = rows.where(F.col("id").isNotNull() & F.col("canon").isNotNull()).groupBy("id").agg(F.min("canon").alias("canon"))
-    stored = materialize(once, "canon")
-    limit = max(bucket_rows, stored.count() // oversized)
-    steps: list[tuple[int, set[str]]] = []
-    whole: set[str] = set()
-    level, length = stored, 4
-    while True:
-        prefix = F.substring("canon", 1, length)
-        counts = level.groupBy(prefix.alias("prefix")).agg(F.count("*").alias("n"), F.max(F.length("canon")).alias("longest")).where(F.col("n") > limit)
-        over = counts.collect()  # at most rows / limit rows
-        if not over:
-            steps.append((length, set()))
-            break
-        steps.append((length, {r.prefix for r in over}))
-        whole |= {r.prefix for r in over if r.longest <= length}
-        split = [(r.prefix,) for r in over if r.longest > length]
-        if not split:
-            break
-        level = level.withColumn("prefix", prefix).join(F.broadcast(spark.createDataFrame(split, "prefix string")), "prefix", "left_semi").drop("prefix")
-        length *= 2
-    parts = max(2, spark.sparkContext.defaultParallelism)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    assigned = stored.mapInArrow(_assign(spark.sparkContext.broadcast((steps, whole, parts))), ASSIGNED)
-    grouped = assigned.repartition(n, "bucket").sortWithinPartitions("bucket").select("id", "canon", "bucket", "hot").mapInArrow(_count, GROUPED)
-    if not whole:
-        return grouped.select("id", "keep_id")
-    grouped = materialize(grouped, "tries")
-    firsts = grouped.where(F.col("hot_key").isNotNull()).groupBy("hot_key").agg(F.min("keep_id").alias("first"))  # one row a hot text
-    return grouped.join(F.broadcast(firsts), "hot_key", "left").select("id", F.coalesce("first", "keep_id").alias("keep_id"))
+    bucketed = _bucketed(materialize(once, "canon"), bucket_rows, bucket_chars)
+    grouped = materialize(bucketed.repartition(n, "bucket").sortWithinPartitions("bucket").select("id", "canon", "bucket", "hot").mapInArrow(_count, GROUPED), "tries")
+    spread = grouped.where(F.col("hot_key").isNotNull())
+    # One row a hot text, of which there are at most rows / bucket_rows; small enough to be sent out or not, as its written size tells the planner.
+    firsts = materialize(spread.groupBy("hot_key").agg(F.min("keep_id").alias("first")), "firsts")
+    return grouped.where(F.col("hot_key").isNull()).select("id", "keep_id").unionByName(spread.join(firsts, "hot_key").select("id", F.col("first").alias("keep_id")))
 
 
 def copy_pairs(rows: DataFrame, **limits: int) -> DataFrame:
