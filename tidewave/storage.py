@@ -58,5 +58,10 @@ def release(*frames: DataFrame | None) -> None:
     for frame in frames:
         path = getattr(frame, "_stored_at", None)
         if path:
-            fs, where = _file(frame.sparkSession, path)
-            fs.delete(where, True)
+            release_path(frame.sparkSession, path)
+
+
+def release_path(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more."""
+    fs, where = _file(spark, path)
+    fs.delete(where, True)
