@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewave.storage import shared_path
+from tidewave.storage import release_path, shared_path
 
 SPACE = r"[ \t\n\r\f\x0B]+"
 STATE = "src_table string, term string, n_occurrences bigint, n_records bigint"
@@ -34,25 +34,31 @@ def signed_counts(changes: DataFrame) -> DataFrame:
 
 
 class TermCounts:
-    """Counts of all terms in a folder all executors share, in partitions by a hash of the term.
+    """Counts of all terms in a folder all executors share, in partitions (buckets) by a hash of the term.
 
-    `apply` reads only the records that were added, changed or deleted and rewrites only the partitions their terms fall
-    into; a manifest names the version of each partition, and is replaced last, so a job that dies leaves the old state."""
+    `apply` reads only the records that were added, changed or deleted and rewrites only the buckets their terms fall
+    into. Each version has a manifest of its own, which names the version every bucket was last written in and appears under its name in one rename, after the data: a job that
+    dies at any moment leaves the version before it. Buckets are doubled as soon as they would hold more than `bucket_rows` terms on average; that rewrites
+    all of them, but ever more rarely as the state grows."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 16):
-        self.spark, self.path, self.buckets = spark, path or shared_path(spark, "terms"), buckets
-        self.version, self.at = 0, {}
-        fs, where = self._file("manifest.json")
-        if fs.exists(where):
-            text = spark.read.text(f"{self.path}/manifest.json", wholetext=True).first()[0]
-            said = json.loads(text)
-            self.version, self.at, self.buckets = said["version"], {int(k): v for k, v in said["at"].items()}, said["buckets"]
+    def __init__(self, spark: SparkSession, path: str | None = None, bucket_rows: int = 1_000_000, least_buckets: int = 16):
+        self.spark, self.path, self.bucket_rows = spark, path or shared_path(spark, "terms"), bucket_rows
+        self.version, self.at, self.buckets, self.batches = 0, {}, least_buckets, []
+        versions = self._versions()
+        if versions:
+            said = json.loads(spark.read.text(f"{self.path}/manifest-{max(versions)}.json", wholetext=True).first()[0])
+            self.version, self.at, self.buckets, self.batches = said["version"], {int(k): v for k, v in said["at"].items()}, said["buckets"], said["batches"]
 
     def _file(self, name: str):
         jvm = self.spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
 
+    def _versions(self) -> list[int]:
+        """The versions with a whole manifest."""
+        fs, where = self._file("manifest-*.json")
+        return [int(f.getPath().getName().removeprefix("manifest-").removesuffix(".json")) for f in fs.globStatus(where) or []]
+
     def _read(self, buckets: list[int]) -> DataFrame:
         paths = [f"{self.path}/v{self.at[b]}/bucket={b}" for b in buckets if b in self.at]
         return self.spark.read.schema(STATE).parquet(*paths) if paths else self.spark.createDataFrame([], STATE)
@@ -61,39 +67,48 @@ class TermCounts:
         """src_table, term, n_occurrences, n_records; the row with a null term has the table's number of records."""
         return self._read(sorted(self.at))
 
-    def apply(self, changes: DataFrame) -> TermCounts:
-        """Add the signed counts of `changes` (src_table, old, new; any number of rows, none included)."""
+    def apply(self, changes: DataFrame, batch: str | None = None) -> TermCounts:
+        """Add the signed counts of `changes` (src_table, old, new; any number of rows, none included). A `batch` applied before changes nothing, so a job may be repeated."""
+        if batch is not None and batch in self.batches:
+            return self
         version = self.version + 1
-        bucket = F.pmod(F.xxhash64(F.coalesce("term", F.lit(""))), F.lit(self.buckets)).cast("int")
-        delta = signed_counts(changes)
-        touched = list(range(self.buckets))
-        if self.at:  # the first load needs no look at which partitions it touches
-            staged = f"{self.path}/delta{version}"
-            delta.withColumn("bucket", bucket).write.mode("overwrite").parquet(staged)
-            delta = self.spark.read.schema(STATE + ", bucket int").parquet(staged)
-            touched = sorted(r[0] for r in delta.select("bucket").distinct().collect())  # at most `buckets` rows
-            delta = delta.drop("bucket")
-            if not touched:
-                return self
-            delta = self._read(touched).unionByName(delta).groupBy("src_table", "term").agg(F.sum("n_occurrences").alias("n_occurrences"), F.sum("n_records").alias("n_records"))
-        kept = delta.where(F.col("n_records") != 0).withColumn("bucket", bucket)
-        kept.repartition(self.buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v{version}")
+        staged = f"{self.path}/delta{version}"
+        signed_counts(changes).write.mode("overwrite").parquet(staged)
+        delta = self.spark.read.schema(STATE).parquet(staged)
+        buckets = self.buckets
+        while self.counts().count() + delta.count() > buckets * self.bucket_rows:  # row counts of file footers
+            buckets *= 2
+        bucket = F.pmod(F.xxhash64(F.coalesce("term", F.lit(""))), F.lit(buckets)).cast("int")
+        if buckets == self.buckets and self.at:
+            touched = sorted(r[0] for r in delta.select(bucket.alias("b")).distinct().collect())  # at most `buckets` rows
+            old = self._read(touched)
+        else:
+            touched, old = list(range(buckets)), self.counts()
+        merged = old.unionByName(delta).groupBy("src_table", "term").agg(F.sum("n_occurrences").alias("n_occurrences"), F.sum("n_records").alias("n_records")) if self.at else delta
+        kept = merged.where(F.col("n_records") != 0).withColumn("bucket", bucket)
+        kept.repartition(max(len(touched), 1), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v{version}")
+        at = dict(self.at) if buckets == self.buckets else {}
         for b in touched:
             fs, where = self._file(f"v{version}/bucket={b}")
             if fs.exists(where):
-                self.at[b] = version
+                at[b] = version
             else:
-                self.at.pop(b, None)
-        self.version = version
-        fs, where = self._file("manifest.json.new")
-        out = fs.create(where, True)
-        out.write(bytearray(json.dumps({"version": version, "buckets": self.buckets, "at": self.at}).encode()))
-        out.close()
-        _, final = self._file("manifest.json")
-        fs.delete(final, False)
-        fs.rename(where, final)
+                at.pop(b, None)
+        self._commit(version, at, buckets, [*self.batches, batch] if batch is not None else self.batches)
+        release_path(self.spark, staged)
         return self
 
+    def _commit(self, version: int, at: dict[int, int], buckets: int, batches: list[str]) -> None:
+        said = json.dumps({"version": version, "buckets": buckets, "at": at, "batches": batches})
+        fs, draft = self._file(f"draft-{version}")
+        out = fs.create(draft, True)
+        out.write(bytearray(said.encode()))
+        out.close()
+        _, final = self._file(f"manifest-{version}.json")
+        if not fs.rename(draft, final):
+            raise OSError(f"version {version} of {self.path} was written by another job")
+        self.version, self.at, self.buckets, self.batches = version, at, buckets, batches
+
 
 def marked(counts: DataFrame, rare_below: int = 3, common_above: float = 0.1) -> DataFrame:
     """Terms with mark 'rare' (in fewer than `rare_below` records of their table), 'common' (in more than `common_above` of
