@@ -68,6 +68,24 @@ def test_random_regions_by_ray_casting(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def even_odd(ring, x, y):
+    c = False
+    for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+        if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
+            c = not c
+    return c
+
+
+def test_self_crossing_regions(spark):
+    rnd = random.Random(15)
+    rings = [[(0, 0), (2, 2), (2, 0), (0, 2)]] + [[(round(rnd.uniform(0, 2), 2), round(rnd.uniform(0, 2), 2)) for _ in range(rnd.randrange(4, 15))] for _ in range(10)]
+    regions = [(i, 9, "POLYGON((" + ",".join(f"{x} {y}" for x, y in [*r, r[0]]) + "))") for i, r in enumerate(rings)]
+    pts = [(0, 1, 1.0, 0.5), (1, 1, 1.0, 1.5), (2, 1, 0.3, 1.0), (3, 1, 1.0, 1.0)] + [(10 + i, 1, rnd.uniform(0, 2), rnd.uniform(0, 2)) for i in range(400)]
+    want = {(p[0], i) for p in pts[4:] for i, r in enumerate(rings) if even_odd(r, p[3], p[2])}
+    got = {(r.point_id, r.region_id) for r in places.points_in_regions(spark.createDataFrame(pts, SCHEMA), spark.createDataFrame(regions, "region_id bigint, owner bigint, wkt string"), hot_rows=30).collect()}
+    assert {g for g in got if g[0] < 10 and g[1] == 0} == {(0, 0), (1, 0)} and {g for g in got if g[0] >= 10} == want
+
+
 def test_empty_tables(spark):
     none, regions = spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "region_id bigint, owner bigint, wkt string")
     assert places.near_pairs(none, 1.0).count() == 0

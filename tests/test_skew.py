@@ -56,3 +56,10 @@ def test_salted_join_equals_join(spark):
     right = spark.createDataFrame([(i % 4, i) for i in range(20)] + [(None, 5)], "k int, r int")
     want = sorted(map(tuple, left.join(right, "k").collect()))
     assert sorted(map(tuple, skew.salted_join(left, right, ["k"], F.lit(True), hot_rows=5).collect())) == want
+
+
+def test_salted_join_cuts_both_sides(spark):
+    left = spark.createDataFrame([(0, i) for i in range(60)] + [(1, 1)], "k int, l int")
+    right = spark.createDataFrame([(0, i) for i in range(45)] + [(1, i) for i in range(50)], "k int, r int")
+    want = sorted(map(tuple, left.join(right, "k").collect()))
+    assert sorted(map(tuple, skew.salted_join(left, right, ["k"], F.lit(True), hot_rows=10).collect())) == want

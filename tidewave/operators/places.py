@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from fractions import Fraction
-from math import cos, radians
+from math import radians
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidewave.operators.skew import salted_join
+from tidewave.storage import materialize
 
 EARTH_KM = 6371.0088
 EDGE = "struct<x1:double,y1:double,x2:double,y2:double>"
@@ -38,30 +37,34 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
 def near_pairs(points: DataFrame, km: float, other_owner: bool = False, hot_rows: int = 20000) -> DataFrame:
     """Pairs of points at most `km` apart by great circle: point_id < other_id, km_apart; with `other_owner`, of differing owners.
 
-    The globe is cut into latitude slabs as high as `km`, each slab into cells at least as wide; a point lies in one cell
-    and looks into the cells its circle can touch (about nine), so the join is an equi-join whose work follows the number of
-    neighbours. Cells wrap at the antimeridian and grow towards the poles. A cell with more than `hot_rows` points is
+    Each point's circle is decomposed like a region (see points_in_regions): its eastern half lies in one slab with two level edges, from the point's own longitude as far as
+    the circle can reach, so every pair is met once, from its western point. Slabs are spread over the cells of rows of latitude as high as `km`, each cell at least as wide as the reach
+    there (about five), and points meet the slabs of the one cell they lie in; the edges, then the exact distance, decide. The work thus follows the
+    number of neighbours. Cells wrap at the antimeridian and grow towards the poles. A cell with more than `hot_rows` points or slabs is
     cut into parts. Points: point_id (distinct), owner, lat, lon as from clean_points; nulls and empty tables give no pair."""
     high = float(np.degrees(km / EARTH_KM)) * 1.0000001
-    slab = lambda lat: F.floor(lat / high)
-    # The widest angle of longitude that km can span around the slab's pole-ward edge.
+    row = lambda lat: F.floor(lat / high)
+    # The widest angle of longitude that km can span around the row's pole-ward edge.
     edge = lambda s: F.least(F.greatest(F.abs(s * high), F.abs((s + 1) * high)) + high, F.lit(90.0))
     reach = lambda s: F.when(edge(s) >= 89.5, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(F.sin(F.lit(radians(high))) / F.cos(F.radians(edge(s))), F.lit(1.0)))) * 1.000001)
     cells = lambda s: F.greatest(F.floor(360.0 / reach(s)), F.lit(1)).cast("bigint")
     cell = lambda s, lon: F.floor((lon + 180.0) / (360.0 / cells(s)))
-    home = points.withColumn("slab", slab(F.col("lat"))).withColumn("cell", F.pmod(cell(F.col("slab"), F.col("lon")), cells(F.col("slab"))))
-    look = points.select(F.col("point_id").alias("p2"), F.col("owner").alias("o2"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    look = look.withColumn("slab", F.explode(F.array(*[slab(F.col("lat2")) + i for i in (-1, 0, 1)])))
-    spread = F.sequence(cell(F.col("slab"), F.col("lon2") - reach(F.col("slab"))), cell(F.col("slab"), F.col("lon2") + reach(F.col("slab"))))
-    look = look.withColumn("cell", F.explode(F.array_distinct(F.transform(spread, lambda c: F.pmod(c, cells(F.col("slab")))))))
-    found = F.col("point_id") < F.col("p2")
+    at = points.select("point_id", "owner", "lat", "lon", row(F.col("lat")).alias("row"))
+    at = at.withColumn("cell", F.pmod(cell(F.col("row"), F.col("lon")), cells(F.col("row"))))
+    slabs = points.select(F.col("point_id").alias("west_id"), F.col("owner").alias("west_owner"), F.col("lat").alias("west_lat"), F.col("lon").alias("x0"))
+    slabs = slabs.withColumn("row", F.explode(F.array(*[row(F.col("west_lat")) + i for i in (-1, 0, 1)])))
+    spread = F.sequence(cell(F.col("row"), F.col("x0")), cell(F.col("row"), F.col("x0") + reach(F.col("row"))))
+    slabs = slabs.withColumn("cell", F.explode(F.array_distinct(F.transform(spread, lambda c: F.pmod(c, cells(F.col("row")))))))
+    # East of the slab's left side, the short way round; exactly opposite or equal longitudes are met from both sides and kept from the smaller id.
+    away = F.col("lon") - F.col("x0")
+    away = F.when(away > 180, away - 360).when(away < -180, away + 360).otherwise(away)
+    found = ((away > 0) & (away < 180)) | (((away == 0) | (F.abs(away) == 180)) & (F.col("west_id") < F.col("point_id")))
+    found &= F.col("lat").between(F.col("west_lat") - high, F.col("west_lat") + high)
     if other_owner:
-        found &= F.col("owner") != F.col("o2")
-    # Cheap test in latitude before the exact distance.
-    found &= F.abs(F.col("lat") - F.col("lat2")) <= high
-    apart = haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
-    pairs = salted_join(home.select("slab", "cell", "point_id", "owner", "lat", "lon"), look, ["slab", "cell"], found, hot_rows)
-    return pairs.withColumn("km_apart", apart).where(F.col("km_apart") <= km).select("point_id", F.col("p2").alias("other_id"), "km_apart")
+        found &= F.col("owner") != F.col("west_owner")
+    pairs = salted_join(at, slabs, ["row", "cell"], found, hot_rows)
+    pairs = pairs.withColumn("km_apart", haversine_km(F.col("lat"), F.col("lon"), F.col("west_lat"), F.col("x0"))).where(F.col("km_apart") <= km)
+    return pairs.select(F.least("west_id", "point_id").alias("point_id"), F.greatest("west_id", "point_id").alias("other_id"), "km_apart")
 
 
 _NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
@@ -91,7 +94,7 @@ def rings_of(wkt: str | None) -> list[list[tuple[float, float]]]:
 
 
 def slabs_of(rings: list[list[tuple[float, float]]]) -> list[dict]:
-    """The trapezoidal decomposition of a region: slabs between neighbouring corner longitudes, each with the edges that cross it
+    """The trapezoidal decomposition of a region: slabs between neighbouring corner longitudes, cut again where edges cross, each with the edges through it
     ordered from below, and the walls (corners and upright edges) at its left side."""
     edges = [(a, b) if a < b else (b, a) for ring in rings for a, b in zip(ring, ring[1:] + ring[:1])]
     xs = sorted({p[0] for ring in rings for p in ring})
@@ -105,18 +108,31 @@ def slabs_of(rings: list[list[tuple[float, float]]]) -> list[dict]:
     for e in edges:
         if e[0][0] < e[1][0]:
             starts.setdefault(e[0][0], []).append(e)
+    height = lambda e, x: e[0][1] + (e[1][1] - e[0][1]) * (x - e[0][0]) / (e[1][0] - e[0][0])
     out, live = [], []
     for left, right in zip(xs, xs[1:]):
         live = [e for e in live if e[1][0] > left] + starts.get(left, [])
-        middle = (left + right) / 2
-        live.sort(key=lambda e: e[0][1] + (e[1][1] - e[0][1]) * (middle - e[0][0]) / (e[1][0] - e[0][0]))
-        if live:
-            ys = [e[0][1] + (e[1][1] - e[0][1]) * (x - e[0][0]) / (e[1][0] - e[0][0]) for e in (live[0], live[-1]) for x in (left, right)]
-            low, high = min(ys), max(ys)
-            out.append({"x0": left, "x1": right, "ylow": low - 1e-9, "yhigh": high + 1e-9, "edges": [(*e[0], *e[1]) for e in live], "walls": sorted(walls.get(left, []))})
+        cuts = [left, *_crossings([(height(e, left), height(e, right)) for e in live], left, right), right]
+        for a, b in zip(cuts, cuts[1:]) if live else ():
+            ordered = sorted(live, key=lambda e: height(e, (a + b) / 2))  # noqa: B023
+            ys = [height(e, x) for e in (ordered[0], ordered[-1]) for x in (a, b)]
+            out.append({"x0": a, "x1": b, "ylow": min(ys) - 1e-9, "yhigh": max(ys) + 1e-9, "edges": [(*e[0], *e[1]) for e in ordered], "walls": sorted(walls.get(a, []))})
     return out
 
 
+def _crossings(ends: list[tuple[float, float]], left: float, right: float) -> list[float]:
+    """Where edges cross between left and right, given their heights at both."""
+    by_left = sorted(ends)
+    if all(a[1] <= b[1] for a, b in zip(by_left, by_left[1:])):
+        return []
+    found = set()
+    for i, (l1, r1) in enumerate(by_left):
+        for l2, r2 in by_left[i + 1 :]:
+            if l1 < l2 and r1 > r2:
+                found.add(left + (right - left) * (l2 - l1) / ((l2 - l1) + (r1 - r2)))
+    return sorted(x for x in found if left < x < right)
+
+
 def _slabs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
@@ -136,56 +152,40 @@ def region_slabs(regions: DataFrame) -> DataFrame:
     return regions.select("region_id", "owner", "wkt").where(F.col("wkt").isNotNull()).mapInPandas(_slabs, SLAB)
 
 
-def _side(x: float, y: float, e: tuple) -> int:
-    """1 if (x, y) is above the edge, -1 below, 0 on it: in doubles where their error cannot matter, else exactly."""
-    x1, y1, x2, y2 = e
-    a, b = (x2 - x1) * (y - y1), (y2 - y1) * (x - x1)
-    d = a - b
-    if abs(d) <= 1e-14 * (abs(a) + abs(b)):
-        d = (Fraction(x2) - Fraction(x1)) * (Fraction(y) - Fraction(y1)) - (Fraction(y2) - Fraction(y1)) * (Fraction(x) - Fraction(x1))
-    return (d > 0) - (d < 0)
-
-
-def strictly_inside(x: float, y: float, x0: float, edges: list[tuple], walls: list[tuple[float, float]]) -> bool:
-    """Whether a point of the slab starting at x0 is inside: binary search for the number of edges below it."""
-    if x == x0 and any(low <= y <= high for low, high in walls):
-        return False
-    low, high = 0, len(edges)
-    while low < high:
-        middle = (low + high) // 2
-        side = _side(x, y, edges[middle])
-        if side == 0:
-            return False
-        if side > 0:
-            low = middle + 1
-        else:
-            high = middle
-    return low % 2 == 1
-
-
-@F.pandas_udf(T.BooleanType())
-def _inside(x: pd.Series, y: pd.Series, x0: pd.Series, edges: pd.Series, walls: pd.Series) -> pd.Series:
-    as_edges: dict[int, list] = {}
-    out = []
-    for px, py, left, e, w in zip(x, y, x0, edges, walls):
-        out.append(strictly_inside(px, py, left, [(i["x1"], i["y1"], i["x2"], i["y2"]) for i in e], [(i["low"], i["high"]) for i in w]))
-    return pd.Series(out, dtype=bool)
+def _inside(x: Column, y: Column) -> Column:
+    """Whether a point of a slab (x0, edges, walls) is strictly inside: a binary search for the number of edges below it, odd inside by the even-odd rule. A point within rounding
+    of an edge is on it, hence outside."""
+    edges = F.col("edges")
+
+    def step(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        e = F.get(edges, middle)
+        a, b = (e["x2"] - e["x1"]) * (y - e["y1"]), (e["y2"] - e["y1"]) * (x - e["x1"])
+        on = F.abs(a - b) <= F.lit(1e-14) * (F.abs(a) + F.abs(b))
+        going = s["low"] < s["high"]
+        return F.struct(
+            F.when(going & (a > b), middle + 1).otherwise(s["low"]).alias("low"), F.when(going & (a <= b), middle).otherwise(s["high"]).alias("high"), (s["on"] | F.coalesce(going & on, F.lit(False))).alias("on")
+        )
+
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(edges) + 1)).cast("int"))
+    below = F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(edges).alias("high"), F.lit(False).alias("on")), step, lambda s: ~s["on"] & (s["low"] % 2 == 1))
+    return below & ~((x == F.col("x0")) & F.exists("walls", lambda w: (w["low"] <= y) & (y <= w["high"])))
 
 
 def points_in_regions(points: DataFrame, regions: DataFrame, other_owner: bool = False, cell: float = 0.1, hot_rows: int = 20000) -> DataFrame:
     """Pairs (point_id, region_id) of points strictly inside a region, in plane geometry of degrees; with `other_owner`, of differing owners.
 
-    Each region is decomposed into trapezoids: slabs between neighbouring corners, their edges in order. Slabs are spread over
+    Each region is decomposed into trapezoids: slabs between neighbouring corners and crossings of edges, their edges in order. Slabs are spread over
     square cells of `cell` degrees and meet the points of their cells in an equi-join that also tests the slab's bounds; a binary search over
-    the slab's edges then decides. A point on a border, or at the last corner, is outside. Rings are read by the even-odd rule,
-    so holes and several parts need no case of their own. A cell with more than `hot_rows` points is cut into parts.
+    the slab's edges then decides. A point on a border, or at the last corner, is outside. Rings are read by the even-odd rule, which holds for self-crossing ones too,
+    so holes and several parts need no case of their own. A cell with more than `hot_rows` points or slabs is cut into parts.
     Points as from clean_points, regions: region_id (distinct), owner, wkt; rows without area, nulls and empty tables give nothing."""
     box = lambda c: F.floor(c / cell).cast("bigint")
-    slabs = region_slabs(regions).withColumnRenamed("owner", "region_owner")
+    slabs = materialize(region_slabs(regions).withColumnRenamed("owner", "region_owner"), "slabs")
     slabs = slabs.withColumn("cx", F.explode(F.sequence(box(F.col("x0")), box(F.col("x1"))))).withColumn("cy", F.explode(F.sequence(box(F.col("ylow")), box(F.col("yhigh")))))
     at = points.select("point_id", "owner", "lat", "lon", box(F.col("lon")).alias("cx"), box(F.col("lat")).alias("cy"))
     bound = (F.col("lon") >= F.col("x0")) & (F.col("lon") < F.col("x1")) & (F.col("lat") >= F.col("ylow")) & (F.col("lat") <= F.col("yhigh"))
     if other_owner:
         bound &= F.col("owner") != F.col("region_owner")
     near = salted_join(at, slabs, ["cx", "cy"], bound, hot_rows)
-    return near.where(_inside("lon", "lat", "x0", "edges", "walls")).select("point_id", "region_id")
+    return near.where(_inside(F.col("lon"), F.col("lat"))).select("point_id", "region_id")

@@ -128,13 +128,17 @@ def heavy_keys(totals: DataFrame, of_key: str, share: float) -> DataFrame:
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], condition: Column, hot_rows: int = 20000) -> DataFrame:
-    """Inner equi-join on `keys` plus `condition`, in which a key with more than `hot_rows` rows on the left is cut into parts
-    of about that size, each meeting a copy of the right rows of that key.
-
-    Parts are chosen by a hash of the left row, so a task run again makes the same choice; rows of `left` should be distinct.
-    `left` and `right` share only the names in `keys`. The table of hot keys has at most rows(left) / hot_rows rows of
-    the bare keys, so the planner may broadcast it; nothing else is replicated. Null keys match nothing."""
-    hot = left.groupBy(*keys).count().where(F.col("count") > hot_rows).select(*keys, F.ceil(F.col("count") / hot_rows).cast("int").alias("_parts"))
-    l = left.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
-    r = right.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
-    return l.join(r, [*keys, "_salt"]).where(condition).drop("_salt")
+    """Inner equi-join on `keys` plus `condition`, in which a key with more than `hot_rows` rows on a side is cut into parts of about that size on that side, each
+    meeting a copy of the rows, or of every part, of the other.
+
+    Parts are chosen by a hash of the row, so a task run again makes the same choice; rows of either side should be distinct.
+    `left` and `right` share only the names in `keys`. The tables of hot keys have at most rows / hot_rows rows of
+    the bare keys, so the planner may broadcast them; nothing else is replicated. Null keys match nothing."""
+    hot = lambda side, n: side.groupBy(*keys).count().where(F.col("count") > hot_rows).select(*keys, F.ceil(F.col("count") / hot_rows).cast("int").alias(n))
+    parts = hot(left, "_lparts").join(hot(right, "_rparts"), keys, "full")
+    one = lambda n: F.coalesce(n, F.lit(1))
+    own = lambda side, n: F.pmod(F.xxhash64(*side.columns), one(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), one(n) - 1))
+    l = left.join(parts, keys, "left").withColumn("_l", own(left, "_lparts")).withColumn("_r", all_of("_rparts")).drop("_lparts", "_rparts")
+    r = right.join(parts, keys, "left").withColumn("_r", own(right, "_rparts")).withColumn("_l", all_of("_lparts")).drop("_lparts", "_rparts")
+    return l.join(r, [*keys, "_l", "_r"]).where(condition).drop("_l", "_r")
