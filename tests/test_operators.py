@@ -94,9 +94,11 @@ def test_series():
 def test_geometry(spark):
     square = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)]
     assert geometry.hull_of([*square, (1.0, 1.0), (1.0, 0.0)]) == square
-    assert abs(geometry.ring_area(geometry.clipped([(1.0, 1.0), (3.0, 1.0), (3.0, 3.0), (1.0, 3.0)], square))) == pytest.approx(1)
+    assert geometry.areas_of([square], [[(1.0, 1.0), (3.0, 1.0), (3.0, 3.0), (1.0, 3.0)]]) == pytest.approx((4, 4, 1, True))
     hole = [[(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)], [(1.0, 1.0), (2.0, 1.0), (2.0, 2.0), (1.0, 2.0)]]
-    assert geometry.area_of(hole) == pytest.approx(15) and geometry.overlap_of(hole, square) == pytest.approx(3)
+    assert geometry.area_of(hole) == pytest.approx(15) and geometry.areas_of(hole, [square])[2] == pytest.approx(3)
+    bowtie, notch = [[(0.0, 0.0), (2.0, 2.0), (2.0, 0.0), (0.0, 2.0)]], [[(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (2.0, 1.0), (0.0, 4.0)]]
+    assert geometry.areas_of(hole, bowtie) == pytest.approx((15, 2, 1.5, False)) and geometry.areas_of(notch, [square]) == pytest.approx((10, 4, 11 / 3, True))
     maps = spark.createDataFrame([(1, "POLYGON((0 0,2 0,2 2,0 2,0 0))"), (2, None), (3, "POINT(1 1)")], "map_id bigint, wkt string")
     regions = spark.createDataFrame([(7, "POLYGON((1 1,3 1,3 3,1 3,1 1))"), (8, "POLYGON((0.5 0.5,1 0.5,1 1,0.5 0.5))"), (9, "POLYGON((5 5,6 5,6 6,5 5))")], "region_id bigint, wkt string")
     got = {r.region_id: r for r in geometry.crosswalk(maps, regions).collect()}

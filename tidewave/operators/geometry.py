@@ -1,15 +1,15 @@
-"""Plane geometry of regions: hulls, areas, clipping by convex regions, area-weighted crosswalks."""
+"""Plane geometry of regions: hulls, areas, overlaps, area-weighted crosswalks."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewave.operators.places import rings_of
+from tidewave.operators.places import crossings, rings_of
 
 Point = tuple[float, float]
 
@@ -43,55 +43,52 @@ def wkt_of(hull: list[Point]) -> str | None:
     return f"POLYGON(({', '.join(map(text, [*hull, hull[0]]))}))"
 
 
-def ring_area(ring: list[Point]) -> float:
-    """Signed: positive counter-clockwise."""
-    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1])) / 2
+def areas_of(one: list[list[Point]], two: list[list[Point]]) -> tuple[float, float, float, bool]:
+    """The areas of two regions and of their overlap by the even-odd rule, and whether no edges of `two` cross each other.
+
+    The plane is cut into slabs at all corners and crossings of edges; between two neighbouring edges of a slab lies a trapezoid, inside a region if an odd number of its edges are below."""
+    edges = []
+    for which, rings in enumerate((one, two)):
+        for ring in rings:
+            for p, q in zip(ring, ring[1:] + ring[:1]):
+                if p[0] != q[0]:
+                    edges.append((*min(p, q), *max(p, q), which))
+    edges.sort()
+    xs = sorted({x for e in edges for x in (e[0], e[2])})
+    height = lambda e, x: e[1] + (e[3] - e[1]) * (x - e[0]) / (e[2] - e[0])
+    totals, simple = [0.0, 0.0, 0.0], True
+    live, at, last_order = [], 0, []
+    for left, right in zip(xs, xs[1:]):
+        live = [e for e in live if e[2] > left]
+        while at < len(edges) and edges[at][0] <= left:
+            live.append(edges[at])
+            at += 1
+        ends = [(height(e, left), height(e, right)) for e in live]
+        cuts = [left, *crossings(ends, left, right), right]
+        # Edges of `two` cross inside the slab, or at its left side if those that go on change their order there.
+        order = [e for _, e in sorted((height(e, (left + right) / 2), e) for e in live if e[4])]
+        going, before = [e for e in order if e[0] < left], set(order)
+        simple = simple and going == [e for e in last_order if e in before] and not (len(cuts) > 2 and crossings([h for h, e in zip(ends, live) if e[4]], left, right))
+        last_order = order
+        for x0, x1 in zip(cuts, cuts[1:]):
+            middle = (x0 + x1) / 2
+            inside, last = [False, False], 0.0
+            for h, which in sorted((height(e, middle), e[4]) for e in live):
+                piece = (h - last) * (x1 - x0)
+                if inside[0]:
+                    totals[0] += piece
+                if inside[1]:
+                    totals[1] += piece
+                if inside[0] and inside[1]:
+                    totals[2] += piece
+                inside[which] = not inside[which]
+                last = h
+    return (*totals, simple)
 
 
 def area_of(rings: list[list[Point]]) -> float:
-    """Rings inside an odd number of others are holes."""
-    total = 0.0
-    for i, r in enumerate(rings):
-        depth = sum(_contains(o, r[0]) for j, o in enumerate(rings) if j != i)
-        total += (-1) ** depth * abs(ring_area(r))
-    return total
-
-
-def _contains(ring: list[Point], p: Point) -> bool:
-    inside = False
-    for a, b in zip(ring, ring[1:] + ring[:1]):
-        if (a[1] > p[1]) != (b[1] > p[1]) and p[0] < (b[0] - a[0]) * (p[1] - a[1]) / (b[1] - a[1]) + a[0]:
-            inside = not inside
-    return inside
-
-
-def clipped(ring: list[Point], window: list[Point]) -> list[Point]:
-    """A ring cut by a convex counter-clockwise window, edge by edge; bridges along the border have no area."""
-    out = ring
-    for a, b in zip(window, window[1:] + window[:1]):
-        side = lambda p: (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])  # noqa: B023, E731
-        kept: list[Point] = []
-        for p, q in zip(out, out[1:] + out[:1]):
-            sp, sq = side(p), side(q)
-            if sp >= 0:
-                kept.append(p)
-            if (sp > 0 > sq) or (sp < 0 < sq):
-                f = sp / (sp - sq)
-                kept.append((p[0] + f * (q[0] - p[0]), p[1] + f * (q[1] - p[1])))
-        out = kept
-        if not out:
-            return []
-    return out
-
-
-def overlap_of(region: list[list[Point]], window: list[Point]) -> float:
-    pieces = [(r, clipped(r, window)) for r in region]
-    total = 0.0
-    for i, (r, c) in enumerate(pieces):
-        if len(c) >= 3:
-            depth = sum(_contains(o, r[0]) for j, (o, _) in enumerate(pieces) if j != i)
-            total += (-1) ** depth * abs(ring_area(c))
-    return total
+    """The area of a region by the even-odd rule."""
+    return areas_of(rings, [])[0]
 
 
 @F.pandas_udf(T.StringType())
@@ -136,22 +133,22 @@ def box(wkt: pd.Series) -> pd.DataFrame:
 
 def _overlaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        windows: dict[str, list[Point]] = {}
+        regions: dict[str, list[list[Point]]] = {}
         out = []
         for m, r, mw, rw in b.itertuples(index=False):
-            window = windows.setdefault(mw, hull_of([p for ring in rings_of(mw) for p in ring]))
-            region = rings_of(rw)
-            whole, map_area = area_of(region), abs(ring_area(window))
-            contained = all(all((q[0] - p[0]) * (c[1] - p[1]) - (q[1] - p[1]) * (c[0] - p[0]) >= 0 for p, q in zip(window, window[1:] + window[:1])) for ring in region for c in ring)
-            share = whole if contained else overlap_of(region, window)
-            if share > 0 or contained:
-                out.append((m, r, contained, map_area, whole, share, 1.0 if contained else share / whole if whole else 0.0))
+            if rw not in regions:
+                rings = rings_of(rw)
+                regions[rw] = rings if areas_of([], rings)[3] else [hull_of([p for ring in rings for p in ring])]
+            map_area, whole, share, _ = areas_of(rings_of(mw), regions[rw])
+            contained = whole > 0 and share >= whole * (1 - 1e-12)
+            if share > whole * 1e-12:
+                out.append((m, r, contained, map_area, whole, whole if contained else share, 1.0 if contained else share / whole))
         yield pd.DataFrame(out, columns=["map_id", "region_id", "contained", "map_area", "region_area", "overlap_area", "fraction"])
 
 
 def crosswalk(maps: DataFrame, regions: DataFrame, cell: float = 0.5) -> DataFrame:
-    """Which part of each region (region_id, wkt) each convex map (map_id, wkt) covers: map_id, region_id, contained, map_area, region_area,
-    overlap_area, fraction. Boxes meet in grid cells of `cell` degrees, each pair in the one cell of its overlap's lower corner; the exact cut is one
+    """Which part of each region (region_id, wkt) each map (map_id, wkt) covers: map_id, region_id, contained, map_area, region_area,
+    overlap_area, fraction. Areas of any shape are cut as they are, with holes and parts; a region whose edges cross is taken as its convex hull. Boxes meet in grid cells of `cell` degrees, each pair in the one cell of its overlap's lower corner; the exact cut is one
     Python function on the pairs whose boxes overlap."""
     def boxed(df: DataFrame, name: str) -> DataFrame:
         b = df.withColumn("__box", box("wkt")).where("__box.x0 is not null")
@@ -179,20 +176,38 @@ def by_station(by_map: DataFrame, maps: DataFrame, values: list[str], strength:
 
 
 def by_show(station_values: DataFrame, fractions: DataFrame, values: list[str]) -> DataFrame:
-    """Convex combinations of station values by each station's share of the show; shares are taken over the stations that have values."""
-    j = fractions.join(station_values, "station_id")
-    return j.groupBy("show_id").agg(*[F.try_divide(F.sum(F.col("station_frac_of_show") * F.col(v)), F.sum(F.when(F.col(v).isNotNull(), F.col("station_frac_of_show")))).alias(v) for v in values])
+    """Sums of station values by each station's share of the show."""
+    return fractions.join(station_values, "station_id").groupBy("show_id").agg(*[F.sum(F.col("station_frac_of_show") * F.col(v)).alias(v) for v in values])
+
+
+def census_wide(data: DataFrame, geographies: DataFrame, counts: dict[str, list[str]], medians: dict[str, str], population: str, of_tracts: tuple[str, ...] = ()) -> DataFrame:
+    """Census variables side by side, in one pivoting aggregate: geography_id, is_group, population and a column for each of `counts` (the sum of several variables) and `medians`.
 
+    data: geography_id, variable, value; geographies: geography_id, tract_code, block_group_code. Measures in `of_tracts` are those of tracts, all others those of block groups; a measure
+    is 0 for geographies of the other kind and where it is missing. Geographies without data are left out."""
+    value = lambda names: F.sum(F.when(F.col("variable").isin(names), F.col("value")).otherwise(0.0))
+    wide = data.groupBy("geography_id").agg(value([population]).alias("population"), *[value(v).alias(k) for k, v in counts.items()], *[value([v]).alias(k) for k, v in medians.items()])
+    kinds = geographies.where("tract_code is not null").select("geography_id", F.col("block_group_code").isNotNull().alias("is_group"))
+    kept = lambda k: F.when(F.col("is_group") != F.lit(k in of_tracts), F.col(k)).otherwise(0.0).alias(k)
+    return wide.join(kinds, "geography_id").select("geography_id", "is_group", "population", *[kept(k) for k in [*counts, *medians]])
 
-def census_measures(walk: DataFrame, data: DataFrame, measures: dict[str, str], population: str, level: str | None = None) -> DataFrame:
-    """Population-weighted means of census variables by map, as one pivoting aggregate: n variables in one pass.
 
-    data: region_id, variable, value. A region without a variable counts 0 for it while its population counts in full (the source's
-    behaviour); with `level`, only the region's own variables weigh."""
-    wide = data.groupBy("region_id").agg(F.sum(F.when(F.col("variable") == population, F.col("value"))).alias("__pop"), *[F.sum(F.when(F.col("variable") == v, F.col("value"))).alias(k) for k, v in measures.items()])
-    j = walk.join(wide, "region_id").withColumn("__w", F.col("fraction") * F.coalesce("__pop", F.lit(0.0)))
-    weight = lambda k: F.sum(F.when(F.col(k).isNotNull(), F.col("__w"))) if level else F.sum("__w")
-    return j.groupBy("map_id").agg(F.sum("__w").alias("population"), *[F.try_divide(F.sum(F.coalesce(k, F.lit(0.0)) * F.col("__w")), weight(k)).alias(k) for k in measures])
+def census_by_map(walk: DataFrame, wide: DataFrame, counts: list[str], medians: list[str]) -> DataFrame:
+    """The census of each map: n_geos, population (of block groups), sums of counts by covered fraction and means of medians weighted by covered population.
+
+    walk: map_id, region_id (a geography), fraction. A geography without a measure weighs in its mean with 0, as in the source."""
+    j = walk.join(wide.withColumnRenamed("geography_id", "region_id"), "region_id").withColumn("__w", F.col("fraction") * F.col("population"))
+    return j.groupBy("map_id").agg(
+        F.countDistinct("region_id").alias("n_geos"), F.sum(F.when(F.col("is_group"), F.col("__w")).otherwise(0.0)).alias("population"),
+        *[F.sum(F.col("fraction") * F.col(c)).alias(c) for c in counts], *[F.try_divide(F.sum(F.col("__w") * F.col(m)), F.sum("__w")).alias(m) for m in medians],
+    )
+
+
+def census_by_show(station_values: DataFrame, fractions: DataFrame, counts: list[str], medians: list[str]) -> DataFrame:
+    """The census of each show, as convex combinations of its stations' values: population, the share of each count in it (frac_...), and medians."""
+    share = lambda c: F.sum(F.col("station_frac_of_show") * F.col(c))
+    j = fractions.join(station_values, "station_id")
+    return j.groupBy("show_id").agg(share("population").alias("population"), *[F.try_divide(share(c), share("population")).alias("frac_" + c.removeprefix("n_")) for c in counts], *[share(m).alias(m) for m in medians])
 
 
 def preferred_maps(maps: DataFrame) -> DataFrame:
@@ -200,7 +215,3 @@ def preferred_maps(maps: DataFrame) -> DataFrame:
     from tidewave.operators.windows import top_per_group
 
     return top_per_group(maps, ["station_id"], [F.col("time_of_day"), F.col("map_id")])
-
-
-def bounding_area(b: Column) -> Column:
-    return (b.x1 - b.x0) * (b.y1 - b.y0)

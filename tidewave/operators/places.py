@@ -112,7 +112,7 @@ def slabs_of(rings: list[list[tuple[float, float]]]) -> list[dict]:
     out, live = [], []
     for left, right in zip(xs, xs[1:]):
         live = [e for e in live if e[1][0] > left] + starts.get(left, [])
-        cuts = [left, *_crossings([(height(e, left), height(e, right)) for e in live], left, right), right]
+        cuts = [left, *crossings([(height(e, left), height(e, right)) for e in live], left, right), right]
         for a, b in zip(cuts, cuts[1:]) if live else ():
             ordered = sorted(live, key=lambda e: height(e, (a + b) / 2))  # noqa: B023
             ys = [height(e, x) for e in (ordered[0], ordered[-1]) for x in (a, b)]
@@ -120,7 +120,7 @@ def slabs_of(rings: list[list[tuple[float, float]]]) -> list[dict]:
     return out
 
 
-def _crossings(ends: list[tuple[float, float]], left: float, right: float) -> list[float]:
+def crossings(ends: list[tuple[float, float]], left: float, right: float) -> list[float]:
     """Where edges cross between left and right, given their heights at both."""
     by_left = sorted(ends)
     if all(a[1] <= b[1] for a, b in zip(by_left, by_left[1:])):

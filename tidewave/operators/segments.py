@@ -80,3 +80,12 @@ def with_transcripts(items: DataFrame, transcripts: DataFrame, key: str) -> Data
     return items.join(t, key, "left").withColumn("has_whisper", F.col("__text").isNotNull()).withColumn("content", F.coalesce("__text", "content")).drop("__text")
 
 
+
+
+def enriched(snippets: DataFrame, stations: DataFrame, shows: DataFrame) -> DataFrame:
+    """Snippets with their station's and show's columns and the readable form of their content (display_text); snippets of unknown stations and shows stay. Write it with
+    write_delimited or as JSON lines."""
+    from tidewave.functions.text import display_text
+
+    out = snippets.join(stations, "station_id", "left").join(shows, "show_id", "left")
+    return out.withColumn("display_text", display_text(F.col("content")))

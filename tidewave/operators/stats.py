@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewave.storage import materialize
+
 
 def incomplete_beta(a: float, b: float, x: float) -> float:
     """The regularised incomplete beta function, by its continued fraction."""
@@ -90,10 +92,52 @@ def t_half_width(se: pd.Series, df: pd.Series) -> pd.Series:
 
 
 def describe(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """count, mean, sd, min, quartiles (linear interpolation) and max of the known values."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("min"), q.alias("q"), F.max(value).alias("max"))
-    return out.select(*by, "n", "mean", "sd", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "max")
+    """count, mean, sd, min, quartiles (linear interpolation) and max of the known values; groups without any have n 0 and nulls."""
+    out = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("min"), F.max(value).alias("max"))
+    q = exact_quantiles(df, by, value, [0.25, 0.5, 0.75]).select(*[F.col(b).alias(f"__{b}") for b in by], F.col("quantiles").alias("q"))
+    same = F.lit(True)
+    for b in by:
+        same &= F.col(b).eqNullSafe(F.col(f"__{b}"))
+    return out.join(q, same, "left").select(*by, "n", "mean", "sd", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "max")
+
+
+def with_median(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
+    """Every row with its group's exact median (of two middle values their mean); null where the group has no value.
+
+    Values are ranked as distinct values with counts, in a running sum by blocks of a range partition (see exact_quantiles), so no group is one task."""
+    return df.join(exact_quantiles(df, by, value, [0.5]).select(*by, F.get("quantiles", F.lit(0)).alias(out)), by, "left")
+
+
+def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
+    """by, quantiles: the exact quantiles (linear interpolation) of each group's known values.
+
+    Distinct values are counted before they are shuffled, range partitioned on (by, value) and summed up in each partition; a row for each group and partition
+    tells what came before. So neither a group nor the whole table is ever one task, as it is for the built-in percentile."""
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    counts = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*by, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__c"))
+    parts = materialize(counts.repartitionByRange(n, *by, "__v").withColumn("__p", F.spark_partition_id()), "counts")
+    keys = [*by, "__p"]
+    local = parts.withColumn("__upto", F.sum("__c").over(Window.partitionBy(*keys).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)))
+    sums = parts.groupBy(*keys).agg(F.sum("__c").alias("__s"))
+    sums = sums.select(*[F.col(k).alias(f"{k}_") for k in keys], "__s").withColumn("__total", F.sum("__s").over(Window.partitionBy(*[f"{k}_" for k in by] or [F.lit(0)])))
+    sums = sums.withColumn("__skip", F.coalesce(F.sum("__s").over(Window.partitionBy(*[f"{k}_" for k in by] or [F.lit(0)]).orderBy("__p_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"{k}_"))
+    ranked = local.join(sums, same).withColumn("__last", F.col("__upto") + F.col("__skip") - 1).withColumn("__first", F.col("__last") - F.col("__c") + 1)
+    # The two order statistics around each quantile are the values whose ranks cover them.
+    at = [(F.col("__total") - 1) * s for s in shares]
+    pick = lambda r: F.max(F.when((F.col("__first") <= r) & (r <= F.col("__last")), F.col("__v")))
+    out = ranked.groupBy(*by).agg(*[pick(F.floor(a)).alias(f"__l{i}") for i, a in enumerate(at)], *[pick(F.ceil(a)).alias(f"__h{i}") for i, a in enumerate(at)], *[F.max(a - F.floor(a)).alias(f"__f{i}") for i, a in enumerate(at)])
+    return out.select(*by, F.array(*[F.col(f"__l{i}") + (F.col(f"__h{i}") - F.col(f"__l{i}")) * F.col(f"__f{i}") for i in range(len(shares))]).alias("quantiles"))
+
+
+def count_of_union(columns: list[DataFrame], out: str) -> DataFrame:
+    """The number of different non-null values in the union of several one-column tables."""
+    every = columns[0].toDF("__v")
+    for c in columns[1:]:
+        every = every.unionByName(c.toDF("__v"))
+    return every.agg(F.countDistinct("__v").alias(out))
 
 
 def standard_errors(df: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -124,11 +168,17 @@ def paired_t_test(pairs: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, by: list[str], value: str, out: str = "rank") -> DataFrame:
-    """Ranks from 1, ties at their mean; null values unranked. Ranks are counted on the distinct values, so a value many rows share is one row of the window."""
+    """Ranks from 1, ties at their mean; null values unranked. Ranks are counted on the distinct values, so a value many rows share
+    is one row, in range partitions with what came before each, so not even a single group is one task."""
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__c"))
-    w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn(out, F.sum("__c").over(w) - (F.col("__c") - 1) / 2).withColumn("__tie", F.col("__c"))
-    return df.join(ranked.drop("__c"), [*by, value], "left")
+    parts = materialize(counts.repartitionByRange(n, *by, value).withColumn("__p", F.spark_partition_id()), "counts")
+    one = by or [F.lit(0)]
+    before = parts.groupBy(*by, "__p").agg(F.sum("__c").alias("__s")).withColumn("__skip", F.coalesce(F.sum("__s").over(Window.partitionBy(*one).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    w = Window.partitionBy(*by, "__p").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = parts.withColumn("__upto", F.sum("__c").over(w)).join(before.drop("__s"), [*by, "__p"])
+    ranked = ranked.withColumn(out, F.col("__upto") + F.col("__skip") - (F.col("__c") - 1) / 2).withColumn("__tie", F.col("__c"))
+    return df.join(ranked.select(*by, value, out, "__tie"), [*by, value], "left")
 
 
 def mann_whitney(df: DataFrame, side: str, a: str, b: str, value: str) -> DataFrame:
@@ -233,7 +283,7 @@ def equal_width(df: DataFrame, value: str, bins: int, out: str = "bin") -> DataF
 def equal_frequency(df: DataFrame, value: str, bins: int, out: str = "bin") -> DataFrame:
     """Bins between exact quantiles, closed on the right; equal values always share one."""
     inner = [i / bins for i in range(1, bins)]
-    q = df.agg(F.percentile(value, F.array(*[F.lit(p) for p in inner])).alias("q")).scalar()
+    q = exact_quantiles(df, [], value, inner).scalar()
     return df.withColumn("__q", q).withColumn(out, F.when(F.col(value).isNotNull(), F.size(F.filter("__q", lambda e: e < F.col(value))))).drop("__q")
 
 

@@ -79,3 +79,9 @@ def mean_curve(curves: DataFrame, by: list[str]) -> DataFrame:
 def event_rates(items: DataFrame, story: str, text: str, patterns: dict[str, str]) -> DataFrame:
     """Per story the share of its items in which each pattern occurs."""
     return items.groupBy(story).agg(F.count("*").alias("n"), *[F.avg(F.coalesce(F.col(text).rlike(p).cast("int"), F.lit(0))).alias(k) for k, p in patterns.items()])
+
+
+def pivot_by_side(df: DataFrame, by: list[str], kind: str, side: str, value: str, kinds: list[str], sides: list[str]) -> DataFrame:
+    """Long counts as a column for each kind and side (kind_side), 0 where there is none; kinds and sides beyond those named are left out."""
+    column = lambda k, s: F.coalesce(F.sum(F.when((F.col(kind) == k) & (F.col(side) == s), F.col(value))), F.lit(0)).alias(f"{k}_{s}")
+    return df.groupBy(*by).agg(*[column(k, s) for k in kinds for s in sides])

@@ -606,33 +606,6 @@ def d9_crosswalk(spark: SparkSession, d: str) -> DataFrame:
     return _walk(spark, d)
 
 
-def _map_votes(spark: SparkSession, d: str) -> DataFrame:
-    regions = table(spark, d, "radio_station_map").select(F.col("station_map_id").alias("region_id"), (F.col("station_map_id") % 1000).cast("double").alias("votes_a"), (F.col("station_map_id") % 700).cast("double").alias("votes_b"))
-    return geometry.weighted_by_overlap(_walk(spark, d), regions, ["votes_a", "votes_b"])
-
-
-@query()
-def d10_votes_by_map(spark: SparkSession, d: str) -> DataFrame:
-    return _map_votes(spark, d)
-
-
-@query()
-def d10_votes_by_show(spark: SparkSession, d: str) -> DataFrame:
-    from tidewave.operators.warehouse import show_station_fractions
-
-    maps = table(spark, d, "radio_station_map").select(F.col("station_map_id").alias("map_id"), "station_id", "time_of_day", "strength")
-    stations = geometry.by_station(_map_votes(spark, d), maps, ["votes_a", "votes_b"], "strong")
-    fractions = show_station_fractions(table(spark, d, "radio_snippet").where("show_id is not null").select("snippet_id", "show_id", "station_id").dropDuplicates(["snippet_id"]))
-    return geometry.by_show(stations, fractions, ["votes_a", "votes_b"])
-
-
-@query()
-def d11_census_by_map(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "radio_station_map").select(F.col("station_map_id").alias("region_id"))
-    values = m.select("region_id", F.explode(F.array(F.struct(F.lit("population").alias("variable"), (F.col("region_id") % 5000 + 1).cast("double").alias("value")), F.struct(F.lit("income").alias("variable"), (F.col("region_id") % 90 * 1000.0).alias("value"))))).select("region_id", "col.*")
-    return geometry.census_measures(_walk(spark, d), values, {"income": "income"}, "population")
-
-
 @query("select station_id, station_map_id as map_id, time_of_day from (select *, row_number() over (partition by station_id order by time_of_day, station_map_id) as rn from radio_station_map) where rn = 1")
 def w4_preferred_maps(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "radio_station_map").select("station_id", F.col("station_map_id").alias("map_id"), "time_of_day")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CORRUPT = "_corrupt"
+# Recognizer lines that say nothing.
+STOP_LINES = ["[noise]", "[noise] [noise]", "<unk>", "[laughter]", "thank you", "mm", "and", "the", "thanks", "a", "[noise] [noise] [noise]", "oh", "um", "i", "na"]
 
 
 def read_delimited(spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None, sep: str = ",", header: bool = True, **options: str) -> DataFrame:
@@ -160,3 +162,44 @@ def violations(df: DataFrame, not_null: list[str] = (), unique: list[list[str]]
     for x in out[1:]:
         result = result.unionByName(x)
     return result
+
+
+def read_matrix(path: str, id_name: str = "id", value_name: str = "embedding"):
+    """A matrix from an .npy file as a local table (id: the row's number, value: an array), for matrices that fit the driver; larger ones are kept as parquet with an array column."""
+    import numpy as np
+    import pyarrow as pa
+
+    m = np.load(path, allow_pickle=False)
+    if m.ndim != 2:
+        raise ValueError("a matrix has two dimensions")
+    flat = pa.array(np.ascontiguousarray(m).reshape(-1))
+    return pa.table({id_name: pa.array(range(len(m)), pa.int64()), value_name: pa.FixedSizeListArray.from_arrays(flat, m.shape[1]).cast(pa.list_(flat.type))})
+
+
+def activity_fields(activities: DataFrame) -> DataFrame:
+    """Nested activities (id, actor.id, generator.displayName, inReplyTo) as columns: id and user_id as numbers behind their prefixes, source, is_reply; the other columns stay."""
+    number = lambda c: F.regexp_extract(c, r"(\d+)$", 1).try_cast("bigint")
+    rest = [c for c in activities.columns if c not in ("id", "actor", "generator", "inReplyTo")]
+    return activities.select(number(F.col("id")).alias("id"), number(F.col("actor.id")).alias("user_id"), F.col("generator.displayName").alias("source"), F.col("inReplyTo").isNotNull().alias("is_reply"), *rest)
+
+
+def without_stop_lines(df: DataFrame, text: str, lines: list[str] = STOP_LINES) -> DataFrame:
+    """Rows whose text is not one of a fixed list of lines; null texts are left out."""
+    return df.where(~F.col(text).isin(lines))
+
+
+def replication_ids(items: DataFrame, kind: str, value: str, id_col: str, prefix: str, keep: list[str] | None = None) -> DataFrame:
+    """The distinct ids of one kind of items, as numbers without their prefix, with the columns of `keep` and nothing else: a set that can be published. Ids that are no number are left out."""
+    number = F.regexp_extract(id_col, rf"^{prefix}(\d+)$", 1).try_cast("bigint")
+    return items.where(F.col(kind) == value).select(number.alias("id"), *(keep or [])).where("id is not null").distinct()
+
+
+def sampled_batches(df: DataFrame, key: str, fraction: float, size: int, seed: int = 0) -> Iterator[list[Row]]:
+    """A sample of `fraction` of the rows, decided by their key, in lists of `size` rows (the last may be shorter); the driver holds one partition at a time."""
+    from itertools import islice
+
+    from tidewave.operators.windows import bernoulli
+
+    rows = iter(rows_of(bernoulli(df, key, fraction, seed)))
+    while batch := list(islice(rows, size)):
+        yield batch
