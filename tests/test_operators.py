@@ -126,9 +126,11 @@ def test_text_functions(spark):
     v = lambda c: one.select(c).first()[0]
     assert v(tx.normal_form(F.lit("NPR News, Inc"))) == "n._p._r. news inc"
     assert v(tx.degrees(F.lit("42-30-00 S"))) == -42.5 and v(tx.degrees(F.lit("x"))) is None
-    assert v(tx.match_window(F.lit("a b the mayor said c d e"), F.lit("the mayor left"))) == "a b the mayor said c"
+    assert v(tx.match_window(F.lit("a b the mayor said c d e"), F.lit("the mayor left"))) == "a b the mayor said"
+    assert v(tx.match_window(F.lit("A, b's c"), F.lit(""))) == "A, b's c" and v(tx.match_window(F.lit("one two three four"), F.lit("zzz"))) == "one two three"
     assert v(tx.join_phrases(F.lit("a health board b radio group"), [("health", "board"), ("radio", "group")])) == "a health_board b radio_group"
-    assert v(tx.reference_text(F.lit("JANE DOE: Hi [laughs] there (ph). Copyright 2020"))) == "Hi there ."
+    assert v(tx.reference_text(F.lit("JANE DOE: Hi [laughs] there (ph).\nJOE: Yes: so\nCopyright © 2020 X\nmore"))) == "Hi there . Yes: so"
+    assert v(tx.effect_type(F.lit(0.01), F.lit(0.2))) == "T -> R" and v(tx.effect_type(F.lit(0.01), F.lit(0.02))) == "T <-> R" and v(tx.effect_type(F.lit(0.3), F.lit(0.2))) == "Neither"
     assert v(tx.facet_display(F.lit("state_code=MA"), {"MA": "Massachusetts"})) == "Massachusetts"
     assert v(tx.log_odds(F.lit(0.5))) == 0 and v(tx.log_odds(F.lit(1.0))) is None
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 def plain_words(text: Column) -> Column:
     """Words of two or more letters or digits in lower case, accents of Latin letters removed."""
     bare = F.translate(F.lower(text), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    return F.regexp_extract_all(bare, F.lit(r"\b\w\w+\b"), 0)
+    return F.regexp_extract_all(bare, F.lit(r"[\p{L}\p{N}_]{2,}"), 0)
 
 
 def terms_of(text: Column) -> Column:
