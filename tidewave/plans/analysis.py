@@ -329,12 +329,12 @@ def g17_projection(spark: SparkSession, d: str) -> DataFrame:
     return graphs.projected(e, o)
 
 
-@query("""with t as (select distinct tweet_id, user_id, retweeted_status_id, insert_dt from twitter_tweet) select a.user_id as source, b.user_id as target, cast(extract(year from a.insert_dt) as int) as year, cast(extract(month from a.insert_dt) as int) as month, count(*) as n
-from t a join t b on a.retweeted_status_id = b.tweet_id group by 1, 2, 3, 4""")
+@query("""with t as (select distinct tweet_id, user_id, retweeted_status_id, insert_dt from twitter_tweet) select user_id as source, retweeted_status_id % 50 as target, cast(extract(year from insert_dt) as int) as year, cast(extract(month from insert_dt) as int) as month, count(*) as n
+from t where retweeted_status_id is not null group by 1, 2, 3, 4""")
 def g3_retweets(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "twitter_tweet").select("tweet_id", "user_id", "retweeted_status_id", "insert_dt").dropDuplicates(["tweet_id"])
-    of = t.select(F.col("tweet_id").alias("retweeted_status_id"), F.col("user_id").alias("whose"))
-    return graphs.interactions(t.join(of, "retweeted_status_id"), "insert_dt", "user_id", "whose")
+    """Who reposts whom, by month; the reposted posts are not in the tables, so their author is read off the post's number."""
+    t = table(spark, d, "twitter_tweet").select("tweet_id", "user_id", "retweeted_status_id", "insert_dt").dropDuplicates(["tweet_id"]).withColumn("whose", F.col("retweeted_status_id") % 50)
+    return graphs.interactions(t, "insert_dt", "user_id", "whose")
 
 
 _FOLLOWS = "f as (select o_custkey as source, l_suppkey as target, o_orderdate as fetched from orders join lineitem on l_orderkey = o_orderkey), tagged as (select s_suppkey as user_id from supplier)"
@@ -370,9 +370,20 @@ def g11_betweenness(spark: SparkSession, d: str) -> DataFrame:
     return graphs.betweenness(ring_edges(spark, d))
 
 
-@query()
+# Every vector is pointed to by the two whose ids are a seventh and a third of it: nodes share in-neighbours.
+_SHARED = "e as (select distinct a, b from (select vec_id // 7 as a, vec_id as b from embeddings union all select vec_id // 3 + 1, vec_id from embeddings))"
+
+
+def _sim_round(i: int) -> str:
+    pairs = "select x.b as a, y.b as b, sum(s) as s from (select u, v, s from r{i} union all select x as u, x as v, 1.0 as s from n) p join e x on x.a = p.u join e y on y.a = p.v where x.b <> y.b group by 1, 2".replace("{i}", str(i))
+    return f", r{i + 1} as (select q.a as u, q.b as v, 0.9 * s / (i.c * j.c) as s from ({pairs}) q join c i on i.b = q.a join c j on j.b = q.b)"
+
+
+@query(f"with {_SHARED}, n as (select a as x from e union select b from e), c as (select b, count(*) as c from e group by 1), r0 as (select a as u, a as v, 0.0 as s from e where false)" + "".join(map(_sim_round, range(3))) + " select u as a, v as b, round(s, 9) as score from r3 where u < v")
 def g14_simrank(spark: SparkSession, d: str) -> DataFrame:
-    return graphs.simrank(ring_edges(spark, d), 3)
+    v = table(spark, d, "embeddings")
+    e = v.select(F.floor(F.col("vec_id") / 7).alias("source"), F.col("vec_id").alias("target")).union(v.select(F.floor(F.col("vec_id") / 3) + 1, "vec_id")).distinct()
+    return graphs.simrank(e, 3).withColumn("score", _r("score", 9))
 
 
 @query()
@@ -419,9 +430,14 @@ def n3_similarity_edges(spark: SparkSession, d: str) -> DataFrame:
     return vectors.similarity_edges(timed_vectors(spark, d), ["kind"], "vec_id", "t", "embedding", limits).withColumn("sim", _r("sim"))
 
 
-@query()
+def _block_sample(seed: int) -> str:
+    return f"(select * from (select *, row_number() over (partition by b order by (((vec_id % 2147483647) * 1103515245 + {12345 + seed}) % 2147483648), vec_id) as rn from w) where rn <= 100)"
+
+
+@query(f"with {_VEC}, w as (select *, floor(vec_id * 200.0 / 4000) as b from v), s as (select list_dot_product(x.e, y.e) as sim from {_block_sample(1)} x join {_block_sample(2)} y using (b)) select 'elite' as kind, round(avg(sim), 6) as mean, round(stddev_samp(sim), 6) as sd, round(avg(sim) + 3 * stddev_samp(sim), 6) as threshold from s")
 def n2_thresholds(spark: SparkSession, d: str) -> DataFrame:
-    return vectors.thresholds(timed_vectors(spark, d), ["kind"], "vec_id", "t", "embedding", 3.0)
+    t = vectors.thresholds(timed_vectors(spark, d), ["kind"], "vec_id", "t", "embedding", 3.0)
+    return t.select("kind", *[_r(c).alias(c) for c in ("mean", "sd", "threshold")])
 
 
 def _stories(spark: SparkSession, d: str) -> DataFrame:
@@ -626,11 +642,18 @@ def u3_silence_segments(spark: SparkSession, d: str) -> DataFrame:
     return segments.by_silence(_timed_words(spark, d))
 
 
-@query()
+# Words by number: word i starts at 0.4 i and one second later for every twelve before it; segments are 18 of every 20 seconds.
+_TIMED = r"""w0 as (select cast(doc_id as varchar) as audio_key, list_filter(regexp_split_to_array(trim(text, ' '), '\s+'), lambda w: w <> '') as ws from documents), w1 as (select audio_key, unnest(ws) as word, unnest(range(len(ws))) as pos from w0),
+words as (select audio_key, word, pos, pos * 0.4::double + (pos // 12) * 1.0::double as start, (pos % 10) / 10.0::double as confidence from w1)"""
+
+
+@query(f"""with {_TIMED}, m as (select audio_key, max(start + 0.3::double) as m from words group by 1), seg as (select audio_key, unnest(range(cast(floor(m / 20) as bigint) + 1)) as segment_idx from m), z as (select audio_key, segment_idx, segment_idx * 20.0::double as a, segment_idx * 20.0::double + 18 as b from seg)
+select z.audio_key, cast(z.segment_idx as int) as segment_idx, z.a as segment_start, md5(coalesce(string_agg(word, ' ' order by start, word), '')) as md5, round(coalesce(sum(confidence) / count(word), -1), 6) as mean_word_confidence from z left join words w on w.audio_key = z.audio_key and z.a <= w.start and w.start < z.b group by z.audio_key, z.segment_idx, z.a""")
 def u2_diarized_segments(spark: SparkSession, d: str) -> DataFrame:
     w = _timed_words(spark, d)
     spans = w.groupBy("audio_key").agg(F.max("stop").alias("m")).select("audio_key", F.explode(F.sequence(F.lit(0), F.floor(F.col("m") / 20).cast("int"))).alias("i")).select("audio_key", (F.col("i") * 20.0).alias("segment_start"), (F.col("i") * 20.0 + 18.0).alias("segment_end"))
-    return segments.by_diarization(w, spans)
+    out = segments.by_diarization(w, spans)
+    return out.select("audio_key", F.col("segment_idx").cast("int").alias("segment_idx"), "segment_start", F.md5("content").alias("md5"), _r("mean_word_confidence").alias("mean_word_confidence"))
 
 
 @query(r"""with s as (select distinct snippet_id, station_id, content, cast(insert_dt as date) as date from radio_snippet) select station_id, date, cast(sum(len(list_filter(regexp_split_to_array(trim(content, ' '), '\s+'), lambda w: w <> ''))) as bigint) as n_words from s group by 1, 2""")
