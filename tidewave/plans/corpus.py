@@ -120,12 +120,12 @@ inside as (
 select 'near' as relation, coordinate_id, target_id from near union all select distinct 'within', coordinate_id, target_id from inside"""
 
 # Each shape read by its own format; a local time that occurs twice is the first, one the clocks skipped is none.
-P4_SQL = r"""
+_P4 = r"""
 with zones as (select station_id, min(tz_name) as tz from radio_station s join (select upper(trim(callsign)) as call, min(tz_name) as tz_name from station_timezone group by 1) z on z.call = upper(trim(s.callsign)) group by 1),
 stamps as (
-  select 'radio_snippet' as src_table, cast(snippet_id as varchar) as record_key, trim(start_dt) as s, tz as local from (select distinct snippet_id, start_dt, station_id from radio_snippet) left join zones using (station_id)
-  union all select distinct 'twitter_tweet', cast(tweet_id as varchar), trim(tweet_create_dt), 'UTC' from twitter_tweet
-  union all select distinct 'auto_sample', id, trim(sample_timestamp), 'UTC' from auto_sample),
+  select 'radio_snippet' as src_table, cast(snippet_id as varchar) as record_key, trim(start_dt) as s, tz as local from radio_snippet left join zones using (station_id)
+  union all select 'twitter_tweet', cast(tweet_id as varchar), trim(tweet_create_dt), 'UTC' from twitter_tweet
+  union all select 'auto_sample', id, trim(sample_timestamp), 'UTC' from auto_sample),
 kinds as (
   select *, case when regexp_full_match(s, '[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}\.[0-9]{6}Z') then 'done' when regexp_full_match(s, '[0-9]{10}(\.[0-9]+)?') then 'seconds' when regexp_full_match(s, '[0-9]{13}') then 'millis'
     when regexp_full_match(s, '[0-9]{8}T[0-9]{6}Z') then 'compact' when regexp_full_match(s, '[A-Z][a-z]{2} [A-Z][a-z]{2} [0-9 ]?[0-9] .*[+-][0-9]{4} [0-9]{4}') then 'post' when regexp_full_match(s, '[A-Z][a-z]{2}, .* [+-][0-9]{4}') then 'mail'
@@ -136,17 +136,25 @@ walls as (
       when 'slashed' then try_strptime(s, '%m/%d/%Y %I:%M:%S %p') when 'worded' then try_strptime(s, '%B %d, %Y %I:%M %p') when 'iso' then try_strptime(replace(substring(s, 1, 19), 'T', ' '), '%Y-%m-%d %H:%M:%S') end as wall,
     case when kind = 'iso' then cast(rpad(substring(regexp_extract(s, '^.{19}\.([0-9]+)', 1), 1, 6), 6, '0') as bigint) else 0 end as micros,
     case when kind in ('compact') then 'Z' when kind in ('post', 'mail') then regexp_extract(s, '[+-][0-9]{4}') when kind = 'iso' then regexp_extract(regexp_replace(substring(s, 20), '^\.[0-9]+', ''), '^ ?([A-Z]+|[+-][0-9]{2}:?[0-9]{0,2})', 1) else '' end as zone
-  from kinds where kind is not null and kind <> 'done'),
+  from kinds),
 offsets as (
   select *, case zone when 'Z' then 0 when 'UTC' then 0 when 'GMT' then 0 when 'EST' then -300 when 'EDT' then -240 when 'CST' then -360 when 'CDT' then -300 when 'MST' then -420 when 'MDT' then -360 when 'PST' then -480 when 'PDT' then -420
       when 'AKST' then -540 when 'AKDT' then -480 when 'HST' then -600 else case when regexp_full_match(zone, '[+-][0-9]{2}:?([0-9]{2})?') then (case when zone[1] = '-' then -1 else 1 end) * (cast(substring(zone, 2, 2) as int) * 60 + coalesce(try_cast(right(replace(zone, ':', ''), 2) as int), 0) * cast(length(zone) > 3 as int)) end end as minutes,
     wall at time zone local as later
   from walls),
 firsts as (select *, case when (later - interval 1 hour) at time zone local = wall then later - interval 1 hour when later at time zone local = wall then later end as instant from offsets)
+"""
+P4_FOUND_SQL = _P4 + r"""
 select distinct src_table, record_key, case kind when 'seconds' then cast(substring(s, 1, 10) as bigint) * 1000000 + cast(rpad(substring(regexp_extract(s, '\.([0-9]+)', 1), 1, 6), 6, '0') as bigint) when 'millis' then cast(s as bigint) * 1000
     else case when zone <> '' then epoch_us(wall) - cast(minutes as bigint) * 60000000 else epoch_us(instant) end + micros end as utc_us
-from firsts where kind in ('seconds', 'millis') or (wall is not null and (minutes is not null or (zone = '' and instant is not null)))"""
+from firsts where kind in ('seconds', 'millis') or (kind <> 'done' and wall is not null and (minutes is not null or (zone = '' and instant is not null)))"""
+
+P4_CASES_SQL = _P4 + r"""
+select src_table, utc_case, count(*) as n from (
+  select src_table, case when kind in ('done', 'seconds', 'millis') then 'zoned' when kind is null or wall is null or (zone <> '' and minutes is null) then 'unreadable' when zone <> '' or src_table <> 'radio_snippet' then 'zoned'
+    when local is null then 'unknown zone' when instant is null then 'skipped' when (later - interval 1 hour) at time zone local = wall and later at time zone local = wall then 'ambiguous' else 'local' end as utc_case from firsts)
+group by 1, 2"""
 
 
 QUERIES: dict[str, Query] = {"p2_found": p2_found, "p3_found": p3_found, "p3_key_totals": p3_key_totals, "p4_found": p4_found, "p4_cases": p4_cases}
-SQL = {"p2_found": P2_SQL, "p4_found": P4_SQL, "p3_found": P3_FOUND_SQL, "p3_key_totals": P3_TOTALS_SQL}
+SQL = {"p2_found": P2_SQL, "p4_found": P4_FOUND_SQL, "p4_cases": P4_CASES_SQL, "p3_found": P3_FOUND_SQL, "p3_key_totals": P3_TOTALS_SQL}
