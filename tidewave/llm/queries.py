@@ -78,6 +78,20 @@ def p5_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return radio.unionByName(copies.collapsed(_line_canon(spark, d)).select(F.lit("snippet_line").alias("src_table"), "keep_id", "n_copies"))
 
 
+# One spelling of the canonical texts: JSON records are flat, so a record is its fields in order of name.
+_P5 = r"""
+with snippets as (select 'radio_snippet' as src_table, snippet_id as id, any_value(regexp_replace(lower(content), '[^\p{L}\p{N}]+', '', 'g')) as canon from radio_snippet group by snippet_id),
+fields as (select line_id, line_json, unnest(json_keys(line_json)) as k from (select distinct line_id, line_json from snippet_line where json_type(line_json) = 'OBJECT')),
+lines as (
+  select 'snippet_line' as src_table, line_id as id, string_agg(k || '=' || case json_type(line_json, '$."' || k || '"') when 'VARCHAR' then 's' || regexp_replace(lower(json_extract_string(line_json, '$."' || k || '"')), '[^\p{L}\p{N}]+', '', 'g')
+      when 'NULL' then 'null' when 'BOOLEAN' then json_extract_string(line_json, '$."' || k || '"') else 'n' || cast(cast(json_extract_string(line_json, '$."' || k || '"') as double) as varchar) end, '|' order by k) as canon
+  from fields group by line_id),
+records as (select * from snippets where length(canon) >= 100 union all select * from lines),
+kept as (select src_table, id, min(id) over (partition by src_table, canon) as keep_id from records)"""
+P5_FOUND_SQL = _P5 + " select src_table, keep_id, id as copy_id from kept where id <> keep_id"
+P5_COLLAPSED_SQL = _P5 + " select src_table, keep_id, count(*) as n_copies from kept group by 1, 2"
+
+
 # -- problem 6: turns --------------------------------------------------------------------------------------------------
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -174,4 +188,4 @@ QUERIES: dict[str, Query] = {
     "p9_found": p9_found, "p9_items": p9_items,
     "p10_found": p10_found, "p10_forms": p10_forms, "p10_classes": p10_classes, "p10_words": p10_words,
 }
-SQL = {"p1_found": P1_FOUND_SQL, "p1_counts": P1_COUNTS_SQL, "p1_after_deletion": P1_AFTER_SQL, "p8_kept": P8_KEPT_SQL}
+SQL = {"p1_found": P1_FOUND_SQL, "p1_counts": P1_COUNTS_SQL, "p1_after_deletion": P1_AFTER_SQL, "p5_found": P5_FOUND_SQL, "p5_collapsed": P5_COLLAPSED_SQL, "p8_kept": P8_KEPT_SQL}
