@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewave.storage import materialize
+from tidewave.storage import materialize, release
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -26,6 +26,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     the longest path. Each round is written to the shared folder. Raises rather than return unfinished labels."""
     e = materialize(undirected(edges), "edges")
     nodes = e.select(F.col("source").alias("node")).union(e.select("target")).distinct()
+    # Nodes read the first table; each round's table is deleted once the next is written.
+    first = e
     last = None
     for _ in range(max_rounds):
         both = e.union(e.select("target", "source"))
@@ -36,7 +38,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         down = large.select(F.greatest("source", "target").alias("source"), F.least("source", "target").alias("target"))
         least = down.groupBy("source").agg(F.min("target").alias("m"))
         small = down.join(least, "source").where("target <> m").select(F.col("target").alias("source"), F.col("m").alias("target")).union(least.select("source", F.col("m").alias("target")))
-        e = materialize(small.distinct(), "edges")
+        before, e = e, materialize(small.distinct(), "edges")
+        if before is not first:
+            release(before)
         state = e.agg(F.count("*"), F.sum(F.xxhash64("source", "target").cast("decimal(38,0)"))).first()
         if last is not None and tuple(state) == last:
             break
@@ -65,12 +69,15 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataF
     n = nodes.count()
     out = e.groupBy(F.col("source").alias("node")).agg(F.count("*").alias("outs"))
     ranks = nodes.join(out, "node", "left").withColumn("rank", F.lit(1.0 / max(n, 1)))
+    written = None
     for i in range(rounds):
         loose = ranks.where("outs is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).scalar()
         sent = e.join(ranks.select(F.col("node").alias("source"), (F.col("rank") / F.col("outs")).alias("part")), "source").groupBy(F.col("target").alias("node")).agg(F.sum("part").alias("got"))
         ranks = ranks.select("node", "outs", loose.alias("loose")).join(sent, "node", "left").select("node", "outs", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("rank"))
         if i % 3 == 2 or i == rounds - 1:
-            ranks = materialize(ranks, "ranks")
+            before, ranks = written, materialize(ranks, "ranks")
+            release(before)
+            written = ranks
     return ranks.select("node", "rank")
 
 
@@ -116,19 +123,23 @@ def strong_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         reached = _spread(back, inside.select(F.col("target").alias("source"), F.col("source").alias("target")), max_rounds)
         settled = materialize(reached.where("label is not null").select("node", F.col("label").alias("component")), "settled")
         done = settled if done is None else done.unionByName(settled)
+        before = (nodes, left, inside)
         nodes = materialize(nodes.join(settled, "node", "left_anti"), "nodes")
         if nodes.isEmpty():
             return done
         left = materialize(inside.join(nodes.select(F.col("node").alias("source")), "source", "left_semi").join(nodes.select(F.col("node").alias("target")), "target", "left_semi"), "edges")
+        release(*before)
     raise RuntimeError("strong components did not settle")
 
 
 def _spread(labels: DataFrame, edges: DataFrame, max_rounds: int) -> DataFrame:
     """Smallest label that reaches each node along the edges."""
-    labels = materialize(labels.select("node", "label"), "labels")
+    labels = new = materialize(labels.select("node", "label"), "labels")
     for _ in range(max_rounds):
         came = edges.join(labels.select(F.col("node").alias("source"), "label"), "source").where("label is not null").groupBy(F.col("target").alias("node")).agg(F.min("label").alias("came"))
+        before = new
         new = materialize(labels.join(came, "node", "left").select("node", F.least("label", "came").alias("label"), (~F.least("label", "came").eqNullSafe(F.col("label"))).alias("moved")), "labels")
+        release(before)
         labels = new.select("node", "label")
         if new.where("moved").isEmpty():
             return labels
@@ -138,14 +149,15 @@ def _spread(labels: DataFrame, edges: DataFrame, max_rounds: int) -> DataFrame:
 def distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """source, node, distance along directed edges from the given sources (column node), by breadth-first rounds until none is new; unreachable nodes are left out."""
     e = materialize(edges.select("source", "target").distinct(), "edges")
-    seen = materialize(sources.select(F.col("node").alias("origin"), "node", F.lit(0).alias("distance")).distinct(), "seen")
-    front = seen
+    seen = front = materialize(sources.select(F.col("node").alias("origin"), "node", F.lit(0).alias("distance")).distinct(), "seen")
     for step in count(1):
         out = front.select("origin", F.col("node").alias("source")).join(e, "source").select("origin", F.col("target").alias("node")).distinct()
+        before = (seen, front)
         front = materialize(out.join(seen, ["origin", "node"], "left_anti").withColumn("distance", F.lit(step)), "front")
         if front.isEmpty():
             break
         seen = materialize(seen.unionByName(front), "seen")
+        release(*before)
     return seen.select(F.col("origin").alias("source"), "node", "distance")
 
 
@@ -257,15 +269,15 @@ def agreed_communities(labels: DataFrame, groups: DataFrame) -> DataFrame:
     return found.where("community = other").drop("other")
 
 
-# -- centrality on graphs that fit a worker ----------------------------------------------------------------------------
+# -- centrality --------------------------------------------------------------------------------------------------------
 
-def betweenness(edges: DataFrame, most_edges: int = 2_000_000) -> DataFrame:
-    """node, betweenness of the undirected unweighted graph: one shortest-path pass for each source node, spread over the workers, over an adjacency
-    of at most `most_edges` edges that every worker holds (checked; an error beyond)."""
+def betweenness(edges: DataFrame, most_edges: int = 2_000_000, origin_rows: int = 200_000_000) -> DataFrame:
+    """node, betweenness of the undirected unweighted graph: one shortest-path pass for each source node. Up to `most_edges` edges every worker holds the
+    adjacency and takes a part of the sources; a larger graph is walked by joins of edge tables (see _joined_betweenness), to the same result."""
     spark = edges.sparkSession
-    e = undirected(edges)
+    e = materialize(undirected(edges), "edges")
     if e.count() > most_edges:
-        raise ValueError("graph too large for this operator")
+        return _joined_betweenness(e, origin_rows)
     adjacency: dict[int, list[int]] = defaultdict(list)
     for r in e.collect():
         adjacency[r[0]].append(r[1])
@@ -302,6 +314,45 @@ def betweenness(edges: DataFrame, most_edges: int = 2_000_000) -> DataFrame:
     return nodes.join(parts.groupBy("node").agg((F.sum("b") / 2).alias("betweenness")), "node", "left").na.fill(0.0)
 
 
+def _joined_betweenness(e: DataFrame, origin_rows: int) -> DataFrame:
+    """Betweenness by joins: all sources of a block walk out level by level with their numbers of shortest paths, then the shares of the paths are summed on the way back.
+
+    The work is that of the exact measure, sources times edges; blocks of sources bound the rows of a walk to about `origin_rows`."""
+    both = materialize(e.select(F.col("source").alias("node"), F.col("target").alias("other")).union(e.select("target", "source")), "both")
+    nodes = materialize(both.select("node").distinct(), "nodes")
+    n = nodes.count()
+    blocks = max(1, -(-n * n // origin_rows))
+    scores: list[DataFrame] = []
+    for block in range(blocks):
+        mine = nodes.where(F.pmod(F.xxhash64("node"), F.lit(blocks)) == block)
+        levels = [materialize(mine.select(F.col("node").alias("origin"), "node", F.lit(1.0).alias("paths")), "level")]
+        while True:
+            reached = levels[-1].join(both, "node").groupBy("origin", F.col("other").alias("node")).agg(F.sum("paths").alias("paths"))
+            # Two levels back are all that a neighbour of the last level can lie in.
+            for before in levels[-2:]:
+                reached = reached.join(before.select("origin", "node"), ["origin", "node"], "left_anti")
+            level = materialize(reached, "level")
+            if level.isEmpty():
+                break
+            levels.append(level)
+        share = levels[-1].select("origin", "node", "paths", F.lit(0.0).alias("share"))
+        shares = [share]
+        for before in levels[-2::-1]:
+            sent = share.join(both, "node").select("origin", F.col("other").alias("node"), ((1 + F.col("share")) / F.col("paths")).alias("part")).groupBy("origin", "node").agg(F.sum("part").alias("part"))
+            share = materialize(before.join(sent, ["origin", "node"], "left").select("origin", "node", "paths", (F.col("paths") * F.coalesce("part", F.lit(0.0))).alias("share")), "share")
+            shares.append(share)
+        # A source's own share, on level 0, is not between anything.
+        block_score = shares[0].select("node", "share")
+        for s in shares[1:-1]:
+            block_score = block_score.unionByName(s.select("node", "share"))
+        scores.append(materialize(block_score.groupBy("node").agg(F.sum("share").alias("b")), "score"))
+        release(*levels, *shares)
+    every = nodes.select("node", F.lit(0.0).alias("b"))
+    for s in scores:
+        every = every.unionByName(s)
+    return every.groupBy("node").agg((F.sum("b") / 2).alias("betweenness"))
+
+
 def simrank(edges: DataFrame, rounds: int = 5, decay: float = 0.9, least: float = 0.0) -> DataFrame:
     """a < b, score: how alike two nodes are by their in-neighbours, iterated. All positive scores stay; a `least` above 0 drops
     lower scores in every round, and what they would pass on with them.
@@ -314,7 +365,9 @@ def simrank(edges: DataFrame, rounds: int = 5, decay: float = 0.9, least: float
         opened = scores.join(e.select(F.col("source").alias("u"), F.col("target").alias("a")), "u").join(e.select(F.col("source").alias("v"), F.col("target").alias("b")), "v").where("a <> b")
         sums = opened.groupBy("a", "b").agg(F.sum("s").alias("s"))
         new = sums.join(ins.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(ins.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b").select(F.col("a").alias("u"), F.col("b").alias("v"), (decay * F.col("s") / (F.col("na") * F.col("nb"))).alias("s")).where(F.col("s") >= least)
+        before = scores
         scores = materialize(new.unionByName(nodes.select(F.col("x").alias("u"), F.col("x").alias("v"), F.lit(1.0).alias("s"))), "scores")
+        release(before)
     return scores.where("u < v").select(F.col("u").alias("a"), F.col("v").alias("b"), F.col("s").alias("score"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewave.operators.skew import salted_join
+
 
 def within_days(left: DataFrame, right: DataFrame, keys: list[str], left_day: str, right_day: str, days: int) -> DataFrame:
     """Rows with equal keys less than `days` days apart. Buckets of `days` days join the equality, so a key with a long history is not
@@ -55,10 +57,10 @@ def mutual_counts(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     return pairs.join(counts, ["a", "b"], "left").withColumn("n_mutual", F.coalesce("n_mutual", F.lit(0)))
 
 
-def cooccurring(rows: DataFrame, item: str, group: list[str], least: int = 1) -> DataFrame:
-    """Unordered pairs of items that share groups: item1 < item2, n_groups (at least `least`)."""
+def cooccurring(rows: DataFrame, item: str, group: list[str], least: int = 1, hot_rows: int = 5000) -> DataFrame:
+    """Unordered pairs of items that share groups: item1 < item2, n_groups (at least `least`). A group of more than `hot_rows` items is cut into tiles of that size."""
     per = rows.select(*group, item).distinct()
-    pairs = per.withColumnRenamed(item, "item1").join(per.withColumnRenamed(item, "item2"), group).where(F.col("item1") < F.col("item2"))
+    pairs = salted_join(per.withColumnRenamed(item, "item1"), per.withColumnRenamed(item, "item2"), group, F.col("item1") < F.col("item2"), hot_rows)
     return pairs.groupBy("item1", "item2").agg(F.count("*").alias("n_groups")).where(F.col("n_groups") >= least)
 
 

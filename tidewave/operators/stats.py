@@ -108,13 +108,15 @@ def with_median(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame
     return df.join(exact_quantiles(df, by, value, [0.5]).select(*by, F.get("quantiles", F.lit(0)).alias(out)), by, "left")
 
 
-def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
-    """by, quantiles: the exact quantiles (linear interpolation) of each group's known values.
+def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: list[float], weight: str | None = None) -> DataFrame:
+    """by, quantiles: the exact quantiles (linear interpolation) of each group's known values, repeated by an integer `weight` if one is given (0, less and null: left out).
 
     Distinct values are counted before they are shuffled, range partitioned on (by, value) and summed up in each partition; a row for each group and partition
     tells what came before. So neither a group nor the whole table is ever one task, as it is for the built-in percentile."""
     n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
-    counts = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*by, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__c"))
+    known = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    known = known.where(F.col(weight) > 0) if weight else known
+    counts = known.groupBy(*by, F.col(value).cast("double").alias("__v")).agg((F.sum(weight).cast("bigint") if weight else F.count("*")).alias("__c"))
     parts = materialize(counts.repartitionByRange(n, *by, "__v").withColumn("__p", F.spark_partition_id()), "counts")
     keys = [*by, "__p"]
     local = parts.withColumn("__upto", F.sum("__c").over(Window.partitionBy(*keys).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)))

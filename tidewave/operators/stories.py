@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewave.operators import graphs, ticks, vectors
 from tidewave.operators.joins import overlapping
+from tidewave.operators.stats import exact_quantiles
 
 
 def numbered(members: DataFrame, kind: list[str]) -> DataFrame:
@@ -175,9 +176,11 @@ def story_stats(items: DataFrame, story: str, time: str, side: Column, text: str
     rows = rows.withColumn("rel", F.col(time) - F.min(time).over(Window.partitionBy(story, "side"))).withColumn("words", F.size(F.filter(F.split(F.trim(F.replace(F.col(text), F.lit("_"), F.lit(""))), r"\s+"), lambda w: w != ""))).withColumn("chars", F.length(text))
     stats = rows.groupBy(story, "side").agg(
         F.count("*").alias("count"), F.min(time).alias("start"), F.max(time).alias("end"), (F.max(time) - F.min(time)).alias("dur"), F.avg("rel").alias("avg"), F.stddev_samp("rel").alias("std"),
-        (F.percentile("rel", F.lit(0.75)) - F.percentile("rel", F.lit(0.25))).alias("iqr"), F.avg("abs").alias("avg_abs"), F.avg(topic.cast("int")).alias("topic_share"),
+        F.avg("abs").alias("avg_abs"), F.avg(topic.cast("int")).alias("topic_share"),
         F.avg("words").alias("word_mean"), F.stddev_samp("words").alias("word_sd"), F.avg("chars").alias("char_mean"), F.stddev_samp("chars").alias("char_sd"),
     )
+    quarters = exact_quantiles(rows, [story, "side"], "rel", [0.25, 0.75]).select(story, "side", (F.get("quantiles", F.lit(1)) - F.get("quantiles", F.lit(0))).alias("iqr"))
+    stats = stats.join(quarters, [story, "side"], "left")
     frame = rows.select(story).distinct().join(rows.select("side").distinct(), F.lit(True))
     return frame.join(stats, [story, "side"], "left")
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewave.operators.stats import exact_quantiles
+
 
 def matched(df: DataFrame, events: dict[str, Column]) -> DataFrame:
     """One integer column a named event."""
@@ -53,7 +55,12 @@ def around_events(df: DataFrame, events: DataFrame, time: str, before_s: int, af
 def weighted_moments(df: DataFrame, by: list[str], value: str, weight: str) -> DataFrame:
     """n, mean, sample deviation and quartile distance of values repeated by an integer weight (deviation null for n below 2)."""
     x, c = F.col(value).cast("double"), F.col(weight)
-    sums = df.where(c > 0).groupBy(*by).agg(F.sum(c).alias("n"), F.sum(c * x).alias("__s"), F.sum(c * x * x).alias("__q"), F.percentile(value, F.array(F.lit(0.25), F.lit(0.75)), c).alias("__p"))
+    sums = df.where(c > 0).groupBy(*by).agg(F.sum(c).alias("n"), F.sum(c * x).alias("__s"), F.sum(c * x * x).alias("__q"))
+    quarters = exact_quantiles(df, by, value, [0.25, 0.75], weight).select(*[F.col(b).alias(f"__{b}") for b in by], F.col("quantiles").alias("__p"))
+    same = F.lit(True)
+    for b in by:
+        same &= F.col(b).eqNullSafe(F.col(f"__{b}"))
+    sums = sums.join(quarters, same, "left")
     variance = (F.col("__q") - F.col("__s") * F.col("__s") / F.col("n")) / (F.col("n") - 1)
     return sums.select(*by, "n", (F.col("__s") / F.col("n")).alias("mean"), F.when(F.col("n") > 1, F.sqrt(F.greatest(variance, F.lit(0.0)))).alias("sd"), (F.col("__p")[1] - F.col("__p")[0]).alias("iqr"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewave.operators.windows import hash_order
+from tidewave.storage import materialize
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -101,16 +102,19 @@ def similarity_edges(items: DataFrame, by: list[str], id_col: str, time: str, ve
     """Pairs of items of one group, close in time, whose dot product reaches the group's threshold: by, source < target (in order of time, id), sim.
 
     Two items are close if they lie in one window of `span` * `window` that starts at a multiple of `window`. Items go to the block of their own
-    start and, as partners, to the blocks before that can share a window with it; where blocks have more than
-    `cell_rows` items, both sides are cut into tiles and the tiles paired, so every matrix product is bounded, and each pair is made once, in the block of its earlier item."""
+    start and, as partners, to the blocks before that can share a window with it; a block with more than
+    `cell_rows` items on a side has that side cut into tiles and the tiles paired, each block by its own size, so every matrix product is bounded, and each pair is made once, in the block of its earlier item."""
     items = items.select(*by, id_col, time, vec, F.floor(F.col(time) / window).cast("bigint").alias("block"))
-    tiles = items.groupBy(*by, "block").agg(F.count("*").alias("n")).groupBy(*by).agg(F.ceil(F.max("n") / cell_rows).cast("int").alias("tiles"))
-    items = items.join(tiles, by).withColumn("tile", F.pmod(hash_order(F.col(id_col)), F.col("tiles")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("tiles") - 1)
-    first = items.select(*by, "block", "tile", F.explode(every).alias("part"), id_col, time, vec, F.lit(0).alias("side"))
     # A partner `span` blocks later counts only if it lies exactly on the window's closing edge.
     back = F.filter(F.sequence(F.lit(0), F.lit(span)), lambda i: (i < span) | (F.col(time) == F.col("block") * window))
-    second = items.withColumn("back", F.explode(back)).select(*by, (F.col("block") - F.col("back")).alias("block"), F.explode(every).alias("tile"), F.col("tile").alias("part"), id_col, time, vec, F.lit(1).alias("side"))
+    own = items.groupBy(*by, "block").agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("tiles"))
+    partners = items.select(*by, F.explode(F.transform(back, lambda i: F.col("block") - i)).alias("block")).groupBy(*by, "block").agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("parts"))
+    sizes = materialize(own.join(partners, [*by, "block"]), "blocks")  # a row a block
+    cut = lambda n: F.pmod(hash_order(F.col(id_col)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    first = items.join(sizes, [*by, "block"]).select(*by, "block", cut("tiles").alias("tile"), each("parts").alias("part"), id_col, time, vec, F.lit(0).alias("side"))
+    second = items.withColumn("block", F.explode(F.transform(back, lambda i: F.col("block") - i))).join(sizes, [*by, "block"])
+    second = second.select(*by, "block", each("tiles").alias("tile"), cut("parts").alias("part"), id_col, time, vec, F.lit(1).alias("side"))
     work = first.unionByName(second)
     limits = thresholds.select(*by, "threshold")
     schema = ", ".join([f"{b} {dict(items.dtypes)[b]}" for b in by] + ["source bigint", "target bigint", "sim double"])

@@ -54,8 +54,10 @@ def syndication(snippets: DataFrame, time: str) -> DataFrame:
     shows = multi_station_shows(snippets).withColumn("hit", F.lit(True))
     hashes = multi_station_hashes(snippets, time).withColumn("hit", F.lit(True))
     by_show = snippets.where(F.col("show_id").isNotNull()).join(shows, "show_id", "left").select("snippet_id", F.lit("show").alias("syndication_method"), F.col("hit").isNotNull().alias("syndicated"))
-    by_hash = snippets.join(hashes, "approxhash", "left").select("snippet_id", F.lit("approxhash").alias("syndication_method"), F.col("hit").isNotNull().alias("syndicated"))
-    return by_show.unionByName(by_hash)
+    # Rows without a hash match nothing; in the join they would all be one task.
+    unhashed = snippets.where(F.col("approxhash").isNull()).select("snippet_id", F.lit("approxhash").alias("syndication_method"), F.lit(False).alias("syndicated"))
+    by_hash = snippets.where(F.col("approxhash").isNotNull()).join(hashes, "approxhash", "left").select("snippet_id", F.lit("approxhash").alias("syndication_method"), F.col("hit").isNotNull().alias("syndicated"))
+    return by_show.unionByName(by_hash).unionByName(unhashed)
 
 
 def snippet_data(snippets: DataFrame, stations: DataFrame, states: DataFrame, shows: DataFrame, syndicated: DataFrame) -> DataFrame:
