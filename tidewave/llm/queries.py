@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -179,6 +181,42 @@ def p10_words(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.confusable_words(table(spark, d, "documents"))
 
 
+def _look_sql(text: str) -> str:
+    """The look of a text in SQL: every character beyond ASCII that has a plainer twin replaced by it, look-alikes by their Latin letters. Two texts have one form if they have one look.
+
+    The pairs of characters follow from the rules of Looks for single characters, over the basic plane."""
+    one, many, gone = {}, {}, []
+    for i in range(0x80, 0xFFFE):
+        c = chr(i)
+        if 0xD800 <= i < 0xE000:
+            continue
+        if c in lookalikes.INVISIBLE:
+            gone.append(c)
+            continue
+        plain = "".join(lookalikes.LOOKS.to_latin.get(x, x) for x in unicodedata.normalize("NFD", lookalikes.LOOKS.plain_form(c)))
+        plain = unicodedata.normalize("NFC", plain)
+        if plain != unicodedata.normalize("NFC", c):
+            (one if len(plain) == 1 else many)[c] = plain
+    joined = f"regexp_replace(regexp_replace({text}, '([\\x{{1F300}}-\\x{{1FAFF}}\\x{{2600}}-\\x{{27BF}}\\x{{FE0F}}])\u200d([\\x{{1F300}}-\\x{{1FAFF}}\\x{{2600}}-\\x{{27BF}}])', '\\1\ue000\\2', 'g'), '[{''.join(gone)}]', '', 'g')"
+    for c, plain in many.items():
+        if not unicodedata.category(c).startswith("L") or 0xFB00 <= ord(c) <= 0xFB06 or ord(c) < 0x250:  # ligatures and digraphs of the scripts at hand; the rest are Arabic forms and the like
+            joined = f"replace({joined}, '{c}', '{plain}')" if "'" not in plain else joined
+    quoted = lambda chars: "".join(chars).replace("'", "''")
+    return f"nfc_normalize(translate(nfc_normalize({joined}), '{quoted(one)}', '{quoted(one.values())}'))"
+
+
+_LOOKS = f"looks as (select doc_id, any_value(text) as text, any_value({_look_sql('text')}) as look from documents where text is not null and doc_id is not null group by doc_id)"
+P10_FOUND_SQL = f"with {_LOOKS} select a.doc_id, b.doc_id as other_doc_id from looks a join looks b on a.look = b.look and a.doc_id < b.doc_id and a.text <> b.text"
+P10_CLASSES_SQL = f"with {_LOOKS} select doc_id, min(doc_id) over (partition by look) as class_id, count(*) over (partition by look) as n_members, n_spellings from looks join (select look, count(distinct text) as n_spellings from looks group by look) using (look)"
+_P9 = rf"""with {_LOOKS}, d as (select doc_id as id, regexp_extract_all(lower(look), '[\p{{L}}\p{{N}}]+') as w from looks),
+i as (select item_id as id, regexp_extract_all(lower({_look_sql('passage')}), '[\p{{L}}\p{{N}}]+') as w from (select distinct item_id, passage from eval_passage)),
+dw as (select id, array_to_string(w[k:k + 15], ' ') as run from (select id, w, unnest(range(1, len(w) - 14)) as k from d where len(w) >= 16)),
+iw as (select distinct id, array_to_string(w[k:k + 15], ' ') as run from (select id, w, unnest(range(1, len(w) - 14)) as k from i where len(w) >= 16)),
+hits as (select distinct dw.id as doc_id, iw.id as item_id from dw join iw using (run))"""
+P9_FOUND_SQL = _P9 + " select doc_id, item_id from hits"
+P9_ITEMS_SQL = _P9 + " select item_id, suite, count(doc_id) as n_documents from (select distinct item_id, suite from eval_passage) left join hits using (item_id) group by 1, 2"
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found, "p1_counts": p1_counts, "p1_after_deletion": p1_after_deletion,
     "p5_found": p5_found, "p5_collapsed": p5_collapsed,
@@ -188,4 +226,4 @@ QUERIES: dict[str, Query] = {
     "p9_found": p9_found, "p9_items": p9_items,
     "p10_found": p10_found, "p10_forms": p10_forms, "p10_classes": p10_classes, "p10_words": p10_words,
 }
-SQL = {"p1_found": P1_FOUND_SQL, "p1_counts": P1_COUNTS_SQL, "p1_after_deletion": P1_AFTER_SQL, "p5_found": P5_FOUND_SQL, "p5_collapsed": P5_COLLAPSED_SQL, "p8_kept": P8_KEPT_SQL}
+SQL = {"p1_found": P1_FOUND_SQL, "p1_counts": P1_COUNTS_SQL, "p1_after_deletion": P1_AFTER_SQL, "p5_found": P5_FOUND_SQL, "p5_collapsed": P5_COLLAPSED_SQL, "p8_kept": P8_KEPT_SQL, "p9_found": P9_FOUND_SQL, "p9_items": P9_ITEMS_SQL, "p10_found": P10_FOUND_SQL, "p10_classes": P10_CLASSES_SQL}
