@@ -90,7 +90,8 @@ def f26_phrases(spark: SparkSession, d: str) -> DataFrame:
     return tx.phrases(sn, "content").withColumn("score", _r("score"))
 
 
-@query()
+@query(r"""with s as (select snippet_id, ' ' || array_to_string(list_filter(regexp_split_to_array(trim(lower(content), ' '), '\s+'), lambda w: w <> ''), '  ') || ' ' as t from (select distinct snippet_id, content from radio_snippet))
+select snippet_id, trim(replace(replace(replace(replace(t, ' radio  group ', ' radio_group '), ' health  board ', ' health_board '), ' farm  union ', ' farm_union '), '  ', ' '), ' ') as content from s""")
 def f27_joined_phrases(spark: SparkSession, d: str) -> DataFrame:
     sn = table(spark, d, "radio_snippet").select("snippet_id", "content").dropDuplicates(["snippet_id"])
     return sn.select("snippet_id", tx.join_phrases(F.lower("content"), [("radio", "group"), ("health", "board"), ("farm", "union")]).alias("content"))
@@ -584,12 +585,6 @@ def _hourly(spark: SparkSession, d: str) -> DataFrame:
     return ticks.ticks(table(spark, d, "events"), "ts", [], ["6 hours"], ["event_type"]).where("event_type is not null")
 
 
-@query()
-def m9_tf_idf(spark: SparkSession, d: str) -> DataFrame:
-    t = docs(spark, d).where("text is not null")
-    return models.tf_idf(t, "doc_id", "text", models.vocabulary(t, "text", 5, 0.5, size=2000)).select("doc_id", "index", _r("weight", 9).alias("weight"))
-
-
 @query()
 def m10_classifier(spark: SparkSession, d: str) -> DataFrame:
     """Held-out quality of a bag-of-terms classifier of the documents' kind."""
