@@ -245,32 +245,46 @@ def least_squares(df: DataFrame, x: list[str], y: str, cluster: str | None = Non
     return df.sparkSession.createDataFrame(out, "term string, coef double, se double, t double, p double, n bigint")
 
 
-def bootstrap_curves(curves: DataFrame, by: str, n_sims: int, seed: int = 0, tasks: int = 64) -> DataFrame:
-    """Mean curves of resampled stories: by, point, sim, value. curves: by, story, point, value with the same points everywhere.
+def resampled_means(curves: DataFrame, by: str, n_sims: int, seed: int = 0, part_rows: int = 2000, sims_at_once: int = 250) -> DataFrame:
+    """Mean curves of resampled stories: by, sim (from 0), curve (an array over the points). curves: by, story, point, value with the same points everywhere.
 
-    Resamples are split over tasks; each adds up weighted rows of one matrix a group, which holds stories x points numbers."""
+    A group's stories are cut into parts of about `part_rows`. How many of a resample's draws fall into each part is drawn once for the resample and group, from a seed all parts share, and
+    each part then draws its own, so the parts together are an ordinary resample with replacement. A part holds its matrix (stories x points) and sends
+    one sum for each resample; the sums of the parts are added up."""
     matrix = curves.groupBy(by, "story").agg(F.transform(F.sort_array(F.collect_list(F.struct("point", "value"))), lambda x: x.value).alias("curve"))
-    sims = matrix.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(min(tasks, n_sims) - 1))))
+    parts = matrix.groupBy(by).agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts"))
+    placed = materialize(matrix.join(parts, by).withColumn("part", F.pmod(F.xxhash64("story"), F.col("parts")).cast("int")).drop("parts"), "curves")
+    # For each group the number of stories in each part, in order: stories / part_rows numbers.
+    sizes = placed.groupBy(by, "part").agg(F.count("*").alias("n")).groupBy(by).agg(F.sort_array(F.collect_list(F.struct("part", "n"))).alias("sizes"))
+    kind = dict(curves.dtypes)[by]
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("story")
         x = np.array(pdf["curve"].tolist(), float)
-        mine = range(int(key[1]), n_sims, min(tasks, n_sims))
+        order, counts = zip(*[(p["part"], p["n"]) for p in pdf["sizes"].iloc[0]])
+        mine, total = order.index(int(key[1])), sum(counts)
+        shares = np.array(counts) / total
         out = []
-        for s in mine:
-            rng = np.random.default_rng([seed, s])
-            mean = np.bincount(rng.integers(0, len(x), len(x)), minlength=len(x)) @ x / len(x)
-            out.append(pd.DataFrame({by: key[0], "point": np.arange(x.shape[1]), "sim": s, "value": mean}))
-        return pd.concat(out) if out else pd.DataFrame({by: [], "point": [], "sim": [], "value": []})
+        for start in range(0, n_sims, sims_at_once):
+            sims = range(start, min(start + sims_at_once, n_sims))
+            weights = np.empty((len(sims), len(x)))
+            for i, s in enumerate(sims):
+                drawn = np.random.default_rng([seed, s]).multinomial(total, shares)[mine]
+                weights[i] = np.bincount(np.random.default_rng([seed, s, mine + 1]).integers(0, len(x), drawn), minlength=len(x))
+            out.append(pd.DataFrame({by: key[0], "sim": list(sims), "sums": list(weights @ x / total)}))
+        return pd.concat(out)
 
-    return sims.groupBy(by, "task").applyInPandas(run, f"{by} {dict(curves.dtypes)[by]}, point int, sim int, value double")
+    sums = placed.join(sizes, by).groupBy(by, "part").applyInPandas(run, f"{by} {kind}, sim int, sums array<double>")
+    added = F.aggregate(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(1))), F.get("all", F.lit(0)), lambda a, c: F.zip_with(a, c, lambda p, q: p + q))
+    return sums.groupBy(by, "sim").agg(F.collect_list("sums").alias("all")).select(by, "sim", added.alias("curve"))
 
 
 def bootstrap_p(sims: DataFrame, by: str, a, b) -> DataFrame:
     """Per point, two-sided p of the difference between two groups' resampled curves: 2 min(p, 1 - p)."""
-    x = sims.where(F.col(by) == a).select("point", "sim", F.col("value").alias("va"))
-    y = sims.where(F.col(by) == b).select("point", "sim", F.col("value").alias("vb"))
-    share = x.join(y, ["point", "sim"]).groupBy("point").agg(F.avg((F.col("va") > F.col("vb")).cast("int")).alias("q"))
+    x = sims.where(F.col(by) == a).select("sim", F.col("curve").alias("ca"))
+    y = sims.where(F.col(by) == b).select("sim", F.col("curve").alias("cb"))
+    above = x.join(y, "sim").select(F.posexplode(F.zip_with("ca", "cb", lambda p, q: (p > q).cast("int"))).alias("point", "above"))
+    share = above.groupBy("point").agg(F.avg("above").alias("q"))
     return share.select("point", (2 * F.least(F.col("q"), 1 - F.col("q"))).alias("p"))
 
 
