@@ -155,18 +155,22 @@ def s16_key_parts(spark: SparkSession, d: str) -> DataFrame:
 
 # -- time --------------------------------------------------------------------------------------------------------------
 
-@query("""with e as (select ts, event_type, cast(value > 50 as int) as v from events),
-spine as (select 'x' as x, unnest(generate_series(time_bucket(interval 6 hours, (select min(ts) from e)), time_bucket(interval 6 hours, (select max(ts) from e)), interval 6 hours)) as bucket),
-six as (select time_bucket(interval 6 hours, ts) as bucket, count(*) as n, cast(sum(v) as bigint) as v from e group by 1),
-dspine as (select unnest(generate_series(time_bucket(interval 1 day, (select min(ts) from e)), time_bucket(interval 1 day, (select max(ts) from e)), interval 1 day)) as bucket),
-one as (select time_bucket(interval 1 day, ts) as bucket, count(*) as n, cast(sum(v) as bigint) as v from e group by 1)
-select '6 hours' as width, bucket, null as event_type, coalesce(n, 0) as n, coalesce(v, 0) as big from spine left join six using (bucket)
-union all select '6 hours', time_bucket(interval 6 hours, ts), event_type, count(*), cast(sum(v) as bigint) from e group by 2, 3
-union all select '1 day', bucket, null, coalesce(n, 0), coalesce(v, 0) from dspine left join one using (bucket)
-union all select '1 day', time_bucket(interval 1 day, ts), event_type, count(*), cast(sum(v) as bigint) from e group by 2, 3""")
+WIDTHS = ["15 minutes", "6 hours", "1 day"]
+
+
+def _ticks_sql(width: str) -> str:
+    b = f"time_bucket(interval {width}, ts)"
+    spine = f"(select unnest(generate_series((select min({b}) from e), (select max({b}) from e), interval {width})) as bucket)"
+    return (
+        f"select '{width}' as width, bucket, null as event_type, coalesce(n, 0) as n, coalesce(v, 0) as big from {spine} left join (select {b} as bucket, count(*) as n, cast(sum(v) as bigint) as v from e group by 1) using (bucket) "
+        f"union all select '{width}', {b}, event_type, count(*), cast(sum(v) as bigint) from e group by 2, 3"
+    )
+
+
+@query("with e as (select ts, event_type, cast(value > 50 as int) as v from events) " + " union all ".join(map(_ticks_sql, WIDTHS)))
 def t2_ticks(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").withColumn("big", (F.col("value") > 50).cast("int"))
-    return ticks.ticks(e, "ts", ["big"], ["6 hours", "1 day"], ["event_type"])
+    return ticks.ticks(e, "ts", ["big"], list(WIDTHS), ["event_type"])
 
 
 @query("""select e.event_id, v.event, round(epoch_us(e.ts) / 1e6 - epoch_us(v.moment) / 1e6, 3) as rel_s from events e, (values ('a', timestamp '2024-01-05 12:00:00'), ('b', timestamp '2024-01-20 00:00:00')) v(event, moment)
@@ -579,7 +583,7 @@ def t9_correlograms(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def t11_causality(spark: SparkSession, d: str) -> DataFrame:
     e = _hourly(spark, d).groupBy("bucket").pivot("event_type", ["view", "click", "error"]).agg(F.max("n")).na.fill(0).withColumn("all", F.lit("all"))
-    return series.causality(e, "all", "bucket", ["view", "click", "error"], 6)
+    return series.causality(e, "all", "bucket", ["view", "click", "error"])
 
 
 def _hourly(spark: SparkSession, d: str) -> DataFrame:
