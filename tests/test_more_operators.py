@@ -47,3 +47,30 @@ def test_scaling_keeps_plane_distances():
 def test_rank_helpers(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (2.0,), (None,)], "v double")
     assert sorted((r.v, r.rank) for r in stats.average_ranks(df, [], "v").where(F.col("v").isNotNull()).collect()) == [(1.0, 1.0), (2.0, 2.5), (2.0, 2.5)]
+
+
+def test_mean_intervals(spark):
+    """Half widths by Student's t: 2.776 standard errors for five values, 12.706 for two."""
+    df = spark.createDataFrame([("a", float(v)) for v in (1, 2, 3, 4, 5)] + [("b", 1.0), ("b", 3.0), ("c", 7.0), ("c", None)], "g string, v double")
+    got = {r.g: (r.n, r.mean, r.half) for r in stats.mean_intervals(df, ["g"], "v").collect()}
+    assert got["a"] == (5, 3.0, pytest.approx(2.776 * np.sqrt(0.5), abs=1e-3)) and got["b"][2] == pytest.approx(12.706, abs=1e-2) and got["c"] == (1, 7.0, None)
+
+
+def test_matrices_and_batches(spark, tmp_path):
+    np.save(tmp_path / "m.npy", np.arange(6, dtype=np.float32).reshape(3, 2))
+    assert files.read_matrix(str(tmp_path / "m.npy")).to_pylist() == [{"id": i, "embedding": [2.0 * i, 2.0 * i + 1]} for i in range(3)]
+    batches = list(files.sampled_batches(spark.range(1000), "id", 0.3, 64))
+    ids = [r.id for b in batches for r in b]
+    assert all(len(b) == 64 for b in batches[:-1]) and 200 < len(ids) == len(set(ids)) < 400
+    assert ids == [r.id for b in files.sampled_batches(spark.range(1000), "id", 0.3, 64) for r in b]
+
+
+def test_exact_quantiles(spark):
+    rnd = np.random.default_rng(2)
+    rows = [("a", float(v), int(w)) for v, w in zip(rnd.integers(0, 50, 400), rnd.integers(0, 4, 400))] + [("b", 1.0, 1), ("c", None, 1), (None, 3.0, 2), (None, 5.0, 1)]
+    df = spark.createDataFrame(rows, "g string, v double, w int")
+    for weight in (None, "w"):
+        got = {r.g: r.quantiles for r in stats.exact_quantiles(df, ["g"], "v", [0.0, 0.25, 0.5, 0.9, 1.0], weight).collect()}
+        values = [v for g, v, w in rows if g == "a" for _ in range(w if weight else 1)]
+        assert got["a"] == pytest.approx(list(np.quantile(values, [0.0, 0.25, 0.5, 0.9, 1.0]))) and got["b"] == [1.0] * 5 and "c" not in got
+        assert got[None] == pytest.approx([3, 3, 3, 4.6, 5] if weight else [3, 3.5, 4, 4.8, 5])
