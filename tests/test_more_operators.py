@@ -74,3 +74,22 @@ def test_exact_quantiles(spark):
         values = [v for g, v, w in rows if g == "a" for _ in range(w if weight else 1)]
         assert got["a"] == pytest.approx(list(np.quantile(values, [0.0, 0.25, 0.5, 0.9, 1.0]))) and got["b"] == [1.0] * 5 and "c" not in got
         assert got[None] == pytest.approx([3, 3, 3, 4.6, 5] if weight else [3, 3.5, 4, 4.8, 5])
+
+
+def test_streams_and_tables(spark, tmp_path, capsys):
+    for name in ("a.txt", "a.txt.gz"):
+        with files.text_stream(str(tmp_path / name), write=True) as f:
+            f.write("é\n")
+        with files.text_stream(str(tmp_path / name)) as f:
+            assert f.read() == "é\n"
+    with files.text_stream("-", write=True) as f:
+        f.write("out")
+    assert capsys.readouterr().out == "out"
+    spark.sql("drop table if exists tidewave_t")
+    df = spark.range(5).withColumn("k", F.col("id") % 2)
+    assert files.create_table_as(df, "tidewave_t", ["k"]).count() == 5
+    with pytest.raises(Exception, match="already exists"):
+        files.create_table_as(df, "tidewave_t")
+    files.truncate_table(spark, "tidewave_t")
+    assert spark.table("tidewave_t").count() == 0 and set(spark.table("tidewave_t").columns) == {"id", "k"}
+    spark.sql("drop table tidewave_t")

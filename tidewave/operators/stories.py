@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewave.operators import graphs, ticks, vectors
 from tidewave.operators.joins import overlapping
 from tidewave.operators.stats import exact_quantiles
+from tidewave.storage import materialize, release
 
 
 def numbered(members: DataFrame, kind: list[str]) -> DataFrame:
@@ -82,7 +83,6 @@ def merged(stories: DataFrame, by: list[str], story: str, vec: str, quantile: fl
         return pd.DataFrame(out, columns=[*names, "source", "target", "sim"])
 
     top = work.join(low.select(*by, "bin"), by).groupBy(*by, "ti", "tj").applyInPandas(close, f"{head}, source bigint, target bigint, sim double")
-    from tidewave.storage import materialize
 
     top = materialize(top, "close")
     ranked = top.withColumn("no", F.row_number().over(Window.partitionBy(*by).orderBy("sim")) - 1).withColumn("m", F.count("*").over(Window.partitionBy(*by)))
@@ -147,7 +147,7 @@ def assignment(weights: np.ndarray) -> list[tuple[int, int]]:
 def best_matching(pairs: DataFrame, most_nodes: int = 5000) -> DataFrame:
     """The matching of greatest total weight of a bipartite graph (left, right, weight): left, right, weight. Nodes may stay single.
 
-    Components are independent and solved one a group; a component above `most_nodes` nodes on its larger side raises an error."""
+    Components are independent and solved one a group; a component above `most_nodes` nodes on its larger side raises an error: auction_matching has no such limit."""
     ids = pairs.select((F.col("left") * 2).alias("source"), (F.col("right") * 2 + 1).alias("target"), "left", "right", "weight").where("weight > 0")
     labels = graphs.components(ids.select("source", "target"))
     grouped = ids.join(labels.select(F.col("node").alias("source"), "component"), "source")
@@ -166,6 +166,34 @@ def best_matching(pairs: DataFrame, most_nodes: int = 5000) -> DataFrame:
     return grouped.select("component", "left", "right", "weight").groupBy("component").applyInPandas(solve, "left bigint, right bigint, weight double")
 
 
+def auction_matching(pairs: DataFrame, slack: float = 1e-3) -> DataFrame:
+    """A matching of a bipartite graph (left, right, weight) of any size, by an auction on tables: left, right, weight. Its total is at most `slack` below the greatest for each matched
+    left node; weights that are multiples of d give the greatest itself with a `slack` below d / nodes.
+
+    In every round each left node without a partner bids for its best right node at the going prices, up to what its second best (or staying single) leaves; each right node goes to the
+    highest bid, whose price rises by `slack` at least. Nodes that no price leaves a gain stay single. Ties go to smaller ids. Weights of 0 or less and nulls are never paired; repeated pairs count by their greatest weight."""
+    w = materialize(pairs.where("weight > 0 and left is not null and right is not null").groupBy("left", "right").agg(F.max("weight").cast("double").alias("weight")), "pairs")
+    spark = w.sparkSession
+    held = spark.createDataFrame([], f"right {dict(w.dtypes)['right']}, price double, left {dict(w.dtypes)['left']}")
+    waiting = materialize(w.select("left").distinct(), "waiting")
+    while not waiting.isEmpty():
+        value = F.col("weight") - F.coalesce("price", F.lit(0.0))
+        offers = materialize(w.join(waiting, "left").join(held.select("right", "price"), "right", "left").select("left", "right", F.coalesce("price", F.lit(0.0)).alias("price"), value.alias("value")), "offers")
+        best = offers.groupBy("left").agg(F.max(F.struct("value", (-F.col("right")).alias("r"), "price")).alias("b")).where("b.value > 0")
+        second = offers.join(best.select("left", (-F.col("b.r")).alias("first")), "left").where("right <> first").groupBy("left").agg(F.max("value").alias("second"))
+        bids = best.join(second, "left", "left").select("left", (-F.col("b.r")).alias("right"), (F.col("b.price") + F.col("b.value") - F.greatest(F.coalesce("second", F.lit(0.0)), F.lit(0.0)) + slack).alias("price"))
+        bids = materialize(bids, "bids")
+        won = bids.groupBy("right").agg(F.max(F.struct("price", (-F.col("left")).alias("l"))).alias("b")).select("right", F.col("b.price").alias("price"), (-F.col("b.l")).alias("left"))
+        won = materialize(won, "won")
+        lost = bids.select("left").join(won.select("left"), "left", "left_anti").union(held.join(won.select("right"), "right", "left_semi").select("left"))
+        before = (held, waiting, offers)
+        new = materialize(held.join(won.select("right"), "right", "left_anti").unionByName(won), "held")
+        waiting = materialize(lost, "waiting")
+        release(*before, bids, won)
+        held = new
+    return held.join(w, ["left", "right"]).select("left", "right", "weight")
+
+
 def story_stats(items: DataFrame, story: str, time: str, side: Column, text: str, topic: Column) -> DataFrame:
     """Per story and side ('all' and each value of `side`): count, start, end, dur, mean, sd, iqr of the time since the side's first item, mean
     time since the story's first (avg_abs), share of items on the topic, mean and deviation of words and characters.
@@ -207,3 +235,15 @@ def ideology(items: DataFrame, communities: DataFrame, conservative: int) -> Dat
     known = communities.select("user_id", "community")
     side = F.when(F.col("kind") == "radio", ~F.col("is_public")).otherwise(F.coalesce(F.col("community") == conservative, F.lit(False)))
     return items.join(known, "user_id", "left").withColumn("side", F.when(side, "conservative").otherwise("liberal")).drop("community")
+
+
+def example(items: DataFrame, story: str, members: list, time: str, key: str, n: int = 10, step: float = 60.0, points: int = 2880) -> tuple[DataFrame, DataFrame]:
+    """A look at one story (or several read as one): its first `n` items and as many by a fixed hash of their key, with `which` ('first' or 'sample') and `reltime`, the time since
+    its first item; and the curve of its items in time: point, value (share of items so far), density (its gradient)."""
+    from tidewave.operators.windows import gradient, hash_order
+
+    mine = items.where(F.col(story).isin(members))
+    mine = mine.withColumn("reltime", F.col(time) - mine.agg(F.min(time)).scalar())
+    shown = mine.orderBy("reltime", key).limit(n).withColumn("which", F.lit("first")).unionByName(mine.orderBy(hash_order(F.col(key)), key).limit(n).withColumn("which", F.lit("sample")))
+    curve = ticks.ecdf(mine.withColumn("__all", F.lit(0)), ["__all"], "reltime", step, points)
+    return shown, gradient(curve, ["__all"], "point", "value", "density").drop("__all")

@@ -345,3 +345,22 @@ def s4_json_lines(spark: SparkSession, d: str) -> DataFrame:
     l = table(spark, d, "snippet_line")
     l.select(F.to_json(F.struct("line_id", F.get_json_object("line_json", "$.callsign").alias("callsign"), F.get_json_object("line_json", "$.segment_idx").cast("int").alias("segment_idx")), {"ignoreNullFields": "false"})).write.text(path)
     return files.read_json_lines(spark, path, "line_id bigint, callsign string, segment_idx int").where("_corrupt is null").select("line_id", "callsign", "segment_idx")
+
+
+_MINE = "mine as (select event_id, (epoch_us(ts) - min(epoch_us(ts)) over ()) / 1e6 as reltime from events where user_id in (3, 7))"
+
+
+@query(f"with {_MINE} select * from (select event_id, round(reltime, 6) as reltime, 'first' as which from mine order by mine.reltime, event_id limit 10) union all select * from (select event_id, round(reltime, 6), 'sample' from mine order by {_LCG.format(k='event_id', seed=12345)}, event_id limit 10)")
+def n20_example_items(spark: SparkSession, d: str) -> DataFrame:
+    """What one shows of a story: its first items and a sample."""
+    return _example(spark, d)[0].select("event_id", _r("reltime").alias("reltime"), "which")
+
+
+def _example(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = events(spark, d).withColumn("sec", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    return stories.example(e, "user_id", [3, 7], "sec", "event_id", 10, 3600.0, 200)
+
+
+@query(f"with {_MINE}, g as (select unnest(range(200)) as point), c as (select point, (select count(*) from mine where reltime <= point * 3600.0) / (select count(*) from mine) as value from g), n as (select *, lag(value) over (order by point) as b, lead(value) over (order by point) as a from c) select cast(point as int) as point, round(value, 9) as value, round(case when b is null then a - value when a is null then value - b else (a - b) / 2 end, 9) as density from n")
+def n20_example_curve(spark: SparkSession, d: str) -> DataFrame:
+    return _example(spark, d)[1].select("point", _r("value", 9).alias("value"), _r("density", 9).alias("density"))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import gzip
+import sys
 from collections.abc import Iterator
+from contextlib import contextmanager
+from typing import IO
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -203,3 +207,25 @@ def sampled_batches(df: DataFrame, key: str, fraction: float, size: int, seed: i
     rows = iter(rows_of(bernoulli(df, key, fraction, seed)))
     while batch := list(islice(rows, size)):
         yield batch
+
+
+@contextmanager
+def text_stream(path: str = "-", write: bool = False) -> Iterator[IO[str]]:
+    """A small text file for the driver's own use: plain, gzip by its name, or '-' for the standard streams, which stay open. Tables are read by Spark, compressed or not."""
+    if path == "-":
+        yield sys.stdout if write else sys.stdin
+        return
+    with (gzip.open if path.lower().endswith(".gz") else open)(path, "wt" if write else "rt", encoding="utf-8") as f:
+        yield f
+
+
+def create_table_as(df: DataFrame, name: str, partition_by: list[str] | None = None, replace: bool = False) -> DataFrame:
+    """A managed parquet table from a frame, read back; with `replace` instead of one of that name, else its presence is an error."""
+    writer = df.write.format("parquet").mode("overwrite" if replace else "error")
+    (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def truncate_table(spark: SparkSession, name: str) -> None:
+    """All rows of a managed table away, its schema kept."""
+    spark.sql(f"truncate table {name}")
