@@ -15,6 +15,8 @@ from tidewave.operators.skew import salted_join
 from tidewave.storage import materialize
 
 EARTH_KM = 6371.0088
+# Side of a cell in widths of the search for neighbours: wider cells mean fewer copies of a slab and more points beside it.
+CELL = 3
 EDGE = "struct<x1:double,y1:double,x2:double,y2:double>"
 SLAB = f"region_id bigint, owner bigint, x0 double, x1 double, ylow double, yhigh double, edges array<{EDGE}>, walls array<struct<low:double,high:double>>"
 
@@ -38,21 +40,21 @@ def near_pairs(points: DataFrame, km: float, other_owner: bool = False, hot_rows
     """Pairs of points at most `km` apart by great circle: point_id < other_id, km_apart; with `other_owner`, of differing owners.
 
     Each point's circle is decomposed like a region (see points_in_regions): its eastern half lies in one slab with two level edges, from the point's own longitude as far as
-    the circle can reach, so every pair is met once, from its western point. Slabs are spread over the cells of rows of latitude as high as `km`, each cell at least as wide as the reach
-    there (about five), and points meet the slabs of the one cell they lie in; the edges, then the exact distance, decide. The work thus follows the
+    the circle can reach, so every pair is met once, from its western point. Slabs are spread over the cells they touch (two or three), in rows of latitude CELL times as high as `km`, each cell at least CELL times
+    as wide as the reach there, and points meet the slabs of the one cell they lie in; the edges, then the exact distance, decide. The work thus follows the
     number of neighbours. Cells wrap at the antimeridian and grow towards the poles. A cell with more than `hot_rows` points or slabs is
     cut into parts. Points: point_id (distinct), owner, lat, lon as from clean_points; nulls and empty tables give no pair."""
     high = float(np.degrees(km / EARTH_KM)) * 1.0000001
-    row = lambda lat: F.floor(lat / high)
+    row = lambda lat: F.floor(lat / (CELL * high))
     # The widest angle of longitude that km can span around the row's pole-ward edge.
-    edge = lambda s: F.least(F.greatest(F.abs(s * high), F.abs((s + 1) * high)) + high, F.lit(90.0))
+    edge = lambda s: F.least(F.greatest(F.abs(s * CELL * high), F.abs((s + 1) * CELL * high)) + high, F.lit(90.0))
     reach = lambda s: F.when(edge(s) >= 89.5, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(F.sin(F.lit(radians(high))) / F.cos(F.radians(edge(s))), F.lit(1.0)))) * 1.000001)
-    cells = lambda s: F.greatest(F.floor(360.0 / reach(s)), F.lit(1)).cast("bigint")
+    cells = lambda s: F.greatest(F.floor(360.0 / (CELL * reach(s))), F.lit(1)).cast("bigint")
     cell = lambda s, lon: F.floor((lon + 180.0) / (360.0 / cells(s)))
     at = points.select("point_id", "owner", "lat", "lon", row(F.col("lat")).alias("row"))
     at = at.withColumn("cell", F.pmod(cell(F.col("row"), F.col("lon")), cells(F.col("row"))))
     slabs = points.select(F.col("point_id").alias("west_id"), F.col("owner").alias("west_owner"), F.col("lat").alias("west_lat"), F.col("lon").alias("x0"))
-    slabs = slabs.withColumn("row", F.explode(F.array(*[row(F.col("west_lat")) + i for i in (-1, 0, 1)])))
+    slabs = slabs.withColumn("row", F.explode(F.sequence(row(F.col("west_lat") - high), row(F.col("west_lat") + high))))
     spread = F.sequence(cell(F.col("row"), F.col("x0")), cell(F.col("row"), F.col("x0") + reach(F.col("row"))))
     slabs = slabs.withColumn("cell", F.explode(F.array_distinct(F.transform(spread, lambda c: F.pmod(c, cells(F.col("row")))))))
     # East of the slab's left side, the short way round; exactly opposite or equal longitudes are met from both sides and kept from the smaller id.
