@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewave.operators import places, skew, timestamps
 from tidewave.plans.tables import Query, table
+from tidewave.storage import materialize
 
 
 # -- problem 3 ---------------------------------------------------------------------------------------------------------
@@ -91,7 +92,7 @@ def _areas(spark: SparkSession, d: str, strength: str = "strong") -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    points = places.clean_points(_located(spark, d))
+    points = materialize(places.clean_points(_located(spark, d)), "points")
     near = places.near_pairs(points, 1.0, other_owner=True).select(F.lit("near").alias("relation"), F.col("point_id").alias("coordinate_id"), F.col("other_id").alias("target_id"))
     within = places.points_in_regions(points, _areas(spark, d), other_owner=True)
     return near.unionByName(within.select(F.lit("within").alias("relation"), F.col("point_id").alias("coordinate_id"), F.col("region_id").alias("target_id")))
