@@ -25,14 +25,14 @@ endings as (
           contains(substring_index(whole, ' ', -1), '://') or contains(substring_index(whole, ' ', -1), '#') or contains(whole, '—') or contains(whole, '–') or substring(whole, -1, 1) rlike '[^\p{{L}}\p{{N}}.!?…,:;]' or whole rlike '\s#\S+$' as tailed
         from (select *, rtrim(body) as whole from records))),
 cores as (
-  select *, regexp_replace(trimmed, '{DOTS}', '') as core,
-    case when trimmed rlike '{DOTS}' and length(unlinked) < length(whole) and trimmed = unlinked then 'dots and link'
-         when trimmed rlike '{DOTS}' and trimmed = whole then 'dots'
+  select *, if(dotted, regexp_replace(trimmed, '{DOTS}', ''), trimmed) as core,
+    case when dotted and length(unlinked) < length(whole) and trimmed = unlinked then 'dots and link'
+         when dotted and trimmed = whole then 'dots'
          when trimmed <> unlinked then 'tail'
          when length(unlinked) < length(whole) then 'link'
-         when whole rlike '[.!?]$' then 'stop' else 'word' end as ending,
+         when right(whole, 1) in ('.', '!', '?') then 'stop' else 'word' end as ending,
     coalesce(long_body, concat(regexp_extract(body, '{REPOST}', 0), object_body)) as companion
-  from endings),
+  from (select *, endswith(rtrim(trimmed), '…') or endswith(rtrim(trimmed), '...') as dotted from endings)),
 tokens as (
   select id, source, ending, length(body) as n_chars, whole rlike '{BROKEN}' as broken,
     regexp_extract_all(regexp_replace(core, '{REPOST}', ''), '{TOKENS}', 0) as words,
@@ -63,10 +63,8 @@ from {{tokens}}
 # Every trigram: a word after the marks of the two before it, how often it occurs, and how often a sentence or a whole text ends with it.
 TRIGRAMS_SQL = r"""
 select m1, m2, word, mark, count(*) as n, count_if(stops) as n_stops, count_if(last) as n_last from (
-  select inline(transform(sequence(1, size(words)), j -> struct(
-    if(j > 1, get(marks, j - 2), '|') as m1, get(marks, j - 1) as m2, get(words, j - 1) as word, get(marks, j) as mark,
-    coalesce(get(marks, j + 1), '|') = '|' as stops, j = size(words) as last)))
-  from {{shapes}} where size(words) > 0)
+  select if(pos > 0, get(marks, pos - 1), '|') as m1, get(marks, pos) as m2, word, get(marks, pos + 1) as mark, coalesce(get(marks, pos + 2), '|') = '|' as stops, pos + 1 = size(words) as last
+  from {{shapes}} lateral view posexplode(words) w as pos, word)
 where mark <> '|' group by m1, m2, word, mark
 """
 
