@@ -52,10 +52,10 @@ select word from (select explode(array_distinct(words)) as word from {{tokens}})
 having count(*) >= {frequent_share} * (select count(*) from {{tokens}}) and not word rlike '^[.!?…]'
 """
 
-# Frequent words stay themselves in trigrams, others become their shape. Marks begin with the text's start.
+# Frequent words stay themselves in trigrams, others become their shape: mostly told by the code of their first character (46 33 63 8230: . ! ? …). Marks begin with the text's start.
 SHAPES_SQL = r"""
 select *, concat(array('|'), transform(words, w ->
-    case when substring(w, 1, 1) in ('.', '!', '?', '…') then '|' when w in ({frequent}) then w when substring(w, 1, 1) between '0' and '9' then '9'
+    case when ascii(w) in (46, 33, 63, 8230) then '|' when w in ({frequent}) then w when ascii(w) between 97 and 122 then 'a' when ascii(w) between 65 and 90 then 'A' when ascii(w) between 48 and 57 then '9'
          when upper(substring(w, 1, 1)) = lower(substring(w, 1, 1)) and w rlike '^\\p{{N}}' then '9' when substring(w, 1, 1) <> lower(substring(w, 1, 1)) then 'A' else 'a' end)) as marks
 from {{tokens}}
 """
