@@ -365,7 +365,7 @@ _STOP = "', '".join(files.STOP_LINES)
 
 
 @query(f"select distinct snippet_id from radio_snippet where content not in ('{_STOP}')")
-def p9_spoken_lines(spark: SparkSession, d: str) -> DataFrame:
+def stop_lines_p9(spark: SparkSession, d: str) -> DataFrame:
     """Snippets that are more than a filler line."""
     return files.without_stop_lines(table(spark, d, "radio_snippet"), "content").select("snippet_id").distinct()
 

@@ -170,7 +170,7 @@ def j18_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("select distinct station_id, case band when 'AM' then 'amplitude' when 'FM' then 'frequency' else 'other' end as band, substring(station_format, 1, 1) as letter from radio_station")
-def p12_mapped(spark: SparkSession, d: str) -> DataFrame:
+def mapped_p12(spark: SparkSession, d: str) -> DataFrame:
     s = joins.map_values(table(spark, d, "radio_station"), "band", {"AM": "amplitude", "FM": "frequency"}, "other")
     return s.select("station_id", "band", F.substring("station_format", 1, 1).alias("letter")).distinct()
 
