@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -220,7 +221,7 @@ def _shipped(docs: DataFrame, confusables: str | None) -> str | None:
 
 FORMS = "doc_id bigint, form string"
 DIGESTS = "doc_id bigint, form_key binary, text_key binary"
-WORDS = "doc_id bigint, word string, spelled string, kind string"
+WORDS = "doc_id bigint, word string, spelled string, kind string, n bigint"
 
 
 def _forms(table: str | None):
@@ -252,9 +253,9 @@ def _words(table: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         looks = _looks_of(table)
         for batch in batches:
-            rows = [(i, *w) for i, t in zip(*(c.to_pylist() for c in batch.columns)) for w in looks.confusable_words(t)]
-            columns = list(zip(*rows)) if rows else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *[pa.array(c, pa.string()) for c in columns[1:]]], names=["doc_id", "word", "spelled", "kind"])
+            rows = [(i, *w, n) for i, t in zip(*(c.to_pylist() for c in batch.columns)) for w, n in Counter(looks.confusable_words(t)).items()]
+            columns = list(zip(*rows)) if rows else [[], [], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *[pa.array(c, pa.string()) for c in columns[1:4]], pa.array(columns[4], pa.int64())], names=["doc_id", "word", "spelled", "kind", "n"])
 
     return run
 
@@ -266,10 +267,11 @@ def to_consistent_form(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def confusable_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", confusables: str | None = None) -> DataFrame:
-    """The words written with look-alikes: word (as written), spelled (in one script), kind ('mixed' or 'whole', see Looks), n (occurrences), n_docs. Null texts and ids hold none."""
-    rows = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string")).dropDuplicates([id_col])
+    """The words written with look-alikes: word (as written), spelled (in one script), kind ('mixed' or 'whole', see Looks), n (occurrences), n_docs. Null texts and ids hold none;
+    a repeated id counts once (the greatest n, should copies differ). Only the words travel, never the texts."""
+    rows = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint"), F.col(text_col).cast("string"))
     found = rows.mapInArrow(_words(_shipped(docs, confusables)), WORDS)
-    return found.groupBy("word", "spelled", "kind", "doc_id").agg(F.count("*").alias("n")).groupBy("word", "spelled", "kind").agg(F.sum("n").alias("n"), F.count("*").alias("n_docs"))
+    return found.groupBy("word", "spelled", "kind", "doc_id").agg(F.max("n").alias("n")).groupBy("word", "spelled", "kind").agg(F.sum("n").alias("n"), F.count("*").alias("n_docs"))
 
 
 def _keys(docs: DataFrame, id_col: str, text_col: str, confusables: str | None) -> DataFrame:
