@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewave.operators.windows import with_group
 from tidewave.storage import materialize
 
 
@@ -316,8 +317,9 @@ def rescaled(df: DataFrame, value: str, out: str) -> DataFrame:
 
 
 def standardized(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
-    w = Window.partitionBy(*by)
-    return df.withColumn(out, F.try_divide(F.col(value) - F.avg(value).over(w), F.stddev_samp(value).over(w)))
+    """Distance from the group's mean in its standard deviations; null where these are 0 or unknown."""
+    df = with_group(df, by, __mean=F.avg(value), __sd=F.stddev_samp(value))
+    return df.withColumn(out, F.try_divide(F.col(value) - F.col("__mean"), F.col("__sd"))).drop("__mean", "__sd")
 
 
 def classical_scaling(similarity: np.ndarray, rounds: int = 300, starts: int = 8, seed: int = 0) -> np.ndarray:

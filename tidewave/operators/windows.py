@@ -13,6 +13,15 @@ def top_per_group(df: DataFrame, by: list[str], order: list[Column], n: int = 1,
     return out if rank else out.drop(rn)
 
 
+def with_group(df: DataFrame, by: list[str], **totals: Column) -> DataFrame:
+    """Every row with totals of its group (nulls are a group), summed up before they are joined back: unlike a window, no group is one task."""
+    t = df.groupBy(*by).agg(*[c.alias(name) for name, c in totals.items()]).select(*[F.col(b).alias(f"__of_{b}") for b in by], *totals)
+    same = F.lit(True)
+    for b in by:
+        same &= F.col(b).eqNullSafe(F.col(f"__of_{b}"))
+    return df.join(t, same).drop(*[f"__of_{b}" for b in by])
+
+
 def latest(df: DataFrame, by: list[str], time: str, *tie: str) -> DataFrame:
     """The newest row of each key (nulls oldest)."""
     return top_per_group(df, by, [F.col(time).desc_nulls_last(), *[F.col(t).desc_nulls_last() for t in tie]])
@@ -23,7 +32,7 @@ def drop_duplicates_keep_first(df: DataFrame, by: list[str], order: list[Column]
 
 
 def share_of_group(df: DataFrame, value: str, by: list[str], out: str) -> DataFrame:
-    return df.withColumn(out, F.try_divide(F.col(value), F.sum(value).over(Window.partitionBy(*by))))
+    return with_group(df, by, __sum=F.sum(value)).withColumn(out, F.try_divide(F.col(value), F.col("__sum"))).drop("__sum")
 
 
 def position(df: DataFrame, by: list[str], order: list[Column], out: str = "position") -> DataFrame:
@@ -39,8 +48,8 @@ def days_since_last(df: DataFrame, by: list[str], day: str, happened: Column, de
 
 def relative_to_group(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Add from_start, span, part (of the span; null if it is 0) and n_items of the group."""
-    w = Window.partitionBy(*by)
-    df = df.withColumn("from_start", F.col(value) - F.min(value).over(w)).withColumn("span", F.max(value).over(w) - F.min(value).over(w)).withColumn("n_items", F.count("*").over(w))
+    df = with_group(df, by, __low=F.min(value), __high=F.max(value), n_items=F.count("*"))
+    df = df.withColumn("from_start", F.col(value) - F.col("__low")).withColumn("span", F.col("__high") - F.col("__low")).drop("__low", "__high")
     return df.withColumn("part", F.try_divide(F.col("from_start").cast("double"), F.col("span").cast("double")))
 
 
