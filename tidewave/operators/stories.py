@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewave.operators import graphs, ticks, vectors
 from tidewave.operators.joins import overlapping
 from tidewave.operators.stats import exact_quantiles
+from tidewave.operators.windows import with_group
 from tidewave.storage import materialize, release
 
 
@@ -199,9 +200,8 @@ def story_stats(items: DataFrame, story: str, time: str, side: Column, text: str
     time since the story's first (avg_abs), share of items on the topic, mean and deviation of words and characters.
 
     Every story has a row for every side; empty sides have nulls."""
-    first = F.min(time).over(Window.partitionBy(story))
-    rows = items.withColumn("side", F.explode(F.array(F.lit("all"), side))).where("side is not null").withColumn("abs", F.col(time) - first)
-    rows = rows.withColumn("rel", F.col(time) - F.min(time).over(Window.partitionBy(story, "side"))).withColumn("words", F.size(F.filter(F.split(F.trim(F.replace(F.col(text), F.lit("_"), F.lit(""))), r"\s+"), lambda w: w != ""))).withColumn("chars", F.length(text))
+    rows = with_group(items.withColumn("side", F.explode(F.array(F.lit("all"), side))).where("side is not null"), [story], __first=F.min(time))
+    rows = with_group(rows.withColumn("abs", F.col(time) - F.col("__first")), [story, "side"], __own=F.min(time)).withColumn("rel", F.col(time) - F.col("__own")).withColumn("words", F.size(F.filter(F.split(F.trim(F.replace(F.col(text), F.lit("_"), F.lit(""))), r"\s+"), lambda w: w != ""))).withColumn("chars", F.length(text))
     stats = rows.groupBy(story, "side").agg(
         F.count("*").alias("count"), F.min(time).alias("start"), F.max(time).alias("end"), (F.max(time) - F.min(time)).alias("dur"), F.avg("rel").alias("avg"), F.stddev_samp("rel").alias("std"),
         F.avg("abs").alias("avg_abs"), F.avg(topic.cast("int")).alias("topic_share"),
@@ -215,7 +215,7 @@ def story_stats(items: DataFrame, story: str, time: str, side: Column, text: str
 
 def story_curves(items: DataFrame, story: str, side: str, time: str, step: float = 60.0, points: int = 10080) -> DataFrame:
     """Cumulative distributions of each story and side, from the side's own first item."""
-    rel = items.withColumn("rel", F.col(time) - F.min(time).over(Window.partitionBy(story, side)))
+    rel = with_group(items, [story, side], __own=F.min(time)).withColumn("rel", F.col(time) - F.col("__own"))
     return ticks.ecdf(rel, [story, side], "rel", step, points)
 
 
