@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -37,7 +39,9 @@ def ship_package(spark: SparkSession) -> None:
     if app in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="tidewave-code-")) / "tidewave.zip"
+    folder = Path(tempfile.mkdtemp(prefix="tidewave-code-"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = folder / "tidewave.zip"
     with zipfile.ZipFile(archive, "w") as z:
         for source in sorted(root.rglob("*.py")):
             z.write(source, Path("tidewave") / source.relative_to(root))
