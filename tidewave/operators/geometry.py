@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewave.operators.places import crossings, rings_of
+from tidewave.storage import materialize
 
 Point = tuple[float, float]
 
@@ -119,54 +120,99 @@ def area(wkt: pd.Series) -> pd.Series:
     return pd.Series([None if w is None else area_of(rings_of(w)) for w in wkt], dtype=float)
 
 
-BOX = T.StructType([T.StructField(c, T.DoubleType()) for c in ("x0", "y0", "x1", "y1")])
+BOX = T.StructType([*[T.StructField(c, T.DoubleType()) for c in ("x0", "y0", "x1", "y1")], T.StructField("upright", T.BooleanType())])
 
 
 @F.pandas_udf(BOX)
 def box(wkt: pd.Series) -> pd.DataFrame:
+    """The bounds of a region's text, and whether it is one rectangle with upright sides, so that the bounds are the region."""
     rows = []
     for w in wkt:
-        pts = [p for r in rings_of(w) for p in r]
-        rows.append((min(p[0] for p in pts), min(p[1] for p in pts), max(p[0] for p in pts), max(p[1] for p in pts)) if pts else (None,) * 4)
-    return pd.DataFrame(rows, columns=["x0", "y0", "x1", "y1"]).astype(float)
+        rings = rings_of(w)
+        xs, ys = [p[0] for r in rings for p in r], [p[1] for r in rings for p in r]
+        if not xs:
+            rows.append((None,) * 5)
+            continue
+        x0, y0, x1, y1 = min(xs), min(ys), max(xs), max(ys)
+        turns = [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+        first = rings[0].index((x0, y0)) if (x0, y0) in rings[0] else 0
+        turned = rings[0][first:] + rings[0][:first]
+        rows.append((x0, y0, x1, y1, len(rings) == 1 and turned in (turns, turns[:1] + turns[:0:-1])))
+    out = pd.DataFrame(rows, columns=["x0", "y0", "x1", "y1", "upright"])
+    return out.astype({c: float for c in ("x0", "y0", "x1", "y1")}).assign(upright=out["upright"].astype(object))
+
+
+AREAS = "contained boolean, map_area double, region_area double, overlap_area double, fraction double"
 
 
 def _overlaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
+        maps: dict[str, list[list[Point]]] = {}
         regions: dict[str, list[list[Point]]] = {}
         out = []
         for m, r, mw, rw in b.itertuples(index=False):
             if rw not in regions:
                 rings = rings_of(rw)
                 regions[rw] = rings if areas_of([], rings)[3] else [hull_of([p for ring in rings for p in ring])]
-            map_area, whole, share, _ = areas_of(rings_of(mw), regions[rw])
+            if mw not in maps:
+                maps[mw] = rings_of(mw)
+            map_area, whole, share, _ = areas_of(maps[mw], regions[rw])
             contained = whole > 0 and share >= whole * (1 - 1e-12)
             if share > whole * 1e-12:
                 out.append((m, r, contained, map_area, whole, whole if contained else share, 1.0 if contained else share / whole))
-        yield pd.DataFrame(out, columns=["map_id", "region_id", "contained", "map_area", "region_area", "overlap_area", "fraction"])
+        yield pd.DataFrame(out, columns=["map_shape", "region_shape", "contained", "map_area", "region_area", "overlap_area", "fraction"])
 
 
-def crosswalk(maps: DataFrame, regions: DataFrame, cell: float = 0.5) -> DataFrame:
-    """Which part of each region (region_id, wkt) each map (map_id, wkt) covers: map_id, region_id, contained, map_area, region_area,
-    overlap_area, fraction. Areas of any shape are cut as they are, with holes and parts; a region whose edges cross is taken as its convex hull. Boxes meet in grid cells of `cell` degrees, each pair in the one cell of its overlap's lower corner; the exact cut is one
-    Python function on the pairs whose boxes overlap."""
+def shape() -> Column:
+    """A key of the shape of a row: equal texts (wkt) have the same, null has none."""
+    return F.sha2("wkt", 256)
+
+
+def shape_crosswalk(maps: DataFrame, regions: DataFrame, cell: float = 0.5) -> DataFrame:
+    """The crosswalk of shapes: map_shape, region_shape, contained, map_area, region_area, overlap_area, fraction, each pair of different texts once however many maps and regions share them.
+
+    Shapes meet in grid cells of `cell` degrees by their bounds, each pair in the one cell of its overlap's lower corner. Two upright rectangles overlap by their bounds, compared as they are;
+    other pairs are cut by one Python function, in which shares of less than 1e-12 of the region count as rounding."""
     def boxed(df: DataFrame, name: str) -> DataFrame:
-        b = df.withColumn("__box", box("wkt")).where("__box.x0 is not null")
-        return b.select(F.col(name), F.col("wkt").alias(f"{name}_wkt"), F.col("__box").alias(f"{name}_box"))
+        shapes = df.where("wkt is not null").groupBy(shape().alias(name)).agg(F.first("wkt").alias(f"{name}_wkt"))
+        return shapes.withColumn(f"{name}_box", box(f"{name}_wkt")).where(f"{name}_box.x0 is not null")
 
     span = lambda b, a, z: F.sequence(F.floor(F.col(f"{b}.{a}") / cell), F.floor(F.col(f"{b}.{z}") / cell))
-    m, r = boxed(maps, "map_id"), boxed(regions, "region_id")
+    m, r = materialize(boxed(maps, "map_shape"), "shapes"), materialize(boxed(regions, "region_shape"), "shapes")
     spread = lambda d, b: d.withColumn("cx", F.explode(span(b, "x0", "x1"))).withColumn("cy", F.explode(span(b, "y0", "y1")))
-    pairs = spread(m, "map_id_box").join(spread(r, "region_id_box"), ["cx", "cy"])
-    a, b = F.col("map_id_box"), F.col("region_id_box")
-    meet = (a.x0 <= b.x1) & (b.x0 <= a.x1) & (a.y0 <= b.y1) & (b.y0 <= a.y1)
+    a, b = F.col("map_shape_box"), F.col("region_shape_box")
     once = (F.col("cx") == F.floor(F.greatest(a.x0, b.x0) / cell)) & (F.col("cy") == F.floor(F.greatest(a.y0, b.y0) / cell))
-    return pairs.where(meet & once).select("map_id", "region_id", "map_id_wkt", "region_id_wkt").mapInPandas(_overlaps, "map_id bigint, region_id bigint, contained boolean, map_area double, region_area double, overlap_area double, fraction double")
 
+    def pairs(m: DataFrame, r: DataFrame) -> DataFrame:
+        met = spread(m, "map_shape_box").join(spread(r, "region_shape_box"), ["cx", "cy"])
+        return met.where(once & (a.x0 < b.x1) & (b.x0 < a.x1) & (a.y0 < b.y1) & (b.y0 < a.y1))
+
+    whole = lambda c: (c.x1 - c.x0) * (c.y1 - c.y0)
+    share = (F.least(a.x1, b.x1) - F.greatest(a.x0, b.x0)) * (F.least(a.y1, b.y1) - F.greatest(a.y0, b.y0))
+    contained = (b.x0 >= a.x0) & (b.x1 <= a.x1) & (b.y0 >= a.y0) & (b.y1 <= a.y1)
+    level, others = F.col("map_shape_box.upright"), F.col("region_shape_box.upright")
+    boxes = pairs(m.where(level).drop("map_shape_wkt"), r.where(others).drop("region_shape_wkt")).select(
+        "map_shape", "region_shape", contained.alias("contained"), whole(a).alias("map_area"), whole(b).alias("region_area"), F.when(contained, whole(b)).otherwise(share).alias("overlap_area"), F.when(contained, 1.0).otherwise(share / whole(b)).alias("fraction")
+    )
+    rest = pairs(m.where(~level), r).unionByName(pairs(m.where(level), r.where(~others))).select("map_shape", "region_shape", "map_shape_wkt", "region_shape_wkt")
+    return boxes.unionByName(rest.mapInPandas(_overlaps, f"map_shape string, region_shape string, {AREAS}"))
+
+
+def crosswalk(maps: DataFrame, regions: DataFrame, cell: float = 0.5) -> DataFrame:
+    """Which part of each region (region_id, wkt) each map (map_id, wkt) covers: map_id, region_id, contained, map_area, region_area,
+    overlap_area, fraction. Areas of any shape are cut as they are, with holes and parts; a region whose edges cross is taken as its convex hull. Each pair of shapes is cut once (see shape_crosswalk)."""
+    walk = shape_crosswalk(maps, regions, cell)
+    m, r = maps.select("map_id", shape().alias("map_shape")), regions.select("region_id", shape().alias("region_shape"))
+    return walk.join(m, "map_shape").join(r, "region_shape").select("map_id", "region_id", "contained", "map_area", "region_area", "overlap_area", "fraction")
+
+
+def weighted_by_overlap(maps: DataFrame, regions: DataFrame, values: list[str]) -> DataFrame:
+    """Sums of region values by map, each weighted by the covered fraction: map_id, n_regions and the values, for the maps that cover any region.
 
-def weighted_by_overlap(walk: DataFrame, regions: DataFrame, values: list[str]) -> DataFrame:
-    """Sums of region values by map, each weighted by the covered fraction."""
-    return walk.join(regions.select("region_id", *values), "region_id").groupBy("map_id").agg(F.countDistinct("region_id").alias("n_regions"), *[F.sum(F.col("fraction") * F.col(v)).alias(v) for v in values])
+    maps: map_id, wkt; regions: region_id (distinct), wkt and the values. Regions of one shape are summed up before they meet the maps, and maps of one shape are worked out once."""
+    totals = regions.groupBy(shape().alias("region_shape")).agg(F.count("region_id").alias("n_regions"), *[F.sum(v).alias(v) for v in values])
+    by_shape = shape_crosswalk(maps, regions).join(totals, "region_shape").groupBy("map_shape").agg(F.sum("n_regions").alias("n_regions"), *[F.sum(F.col("fraction") * F.col(v)).alias(v) for v in values])
+    return maps.select("map_id", shape().alias("map_shape")).join(by_shape, "map_shape").drop("map_shape")
 
 
 def by_station(by_map: DataFrame, maps: DataFrame, values: list[str], strength: str = "moderate", times: tuple[str, ...] = ("A", "D", "N")) -> DataFrame:

@@ -134,7 +134,7 @@ def d9_precinct_crosswalk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def map_votes(spark: SparkSession, d: str) -> DataFrame:
-    return geometry.weighted_by_overlap(precinct_walk(spark, d), precinct_results(spark, d).select(F.col("precinct_id").alias("region_id"), *VOTES), VOTES)
+    return geometry.weighted_by_overlap(maps(spark, d).select("map_id", "wkt"), precinct_results(spark, d).select(F.col("precinct_id").alias("region_id"), "wkt", *VOTES), VOTES)
 
 
 @query(_VOTES + " select map_id, n_regions, " + ", ".join(f"round({v}, 4) as {v}" for v in VOTES) + " from votes")
