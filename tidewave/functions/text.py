@@ -262,14 +262,20 @@ def match_window(text: Column, query: Column, around: int = 2) -> Column:
     Both are read in lower case without anything but letters, digits, blanks and ' _ . @ %. Where nothing follows, the window is that of
     the first word; an empty or null query gives the text as it is."""
     clean = lambda c: F.lower(F.regexp_replace(c, r"[^0-9A-Za-z'_.@% ]", ""))
-    w, q = F.filter(F.split(clean(text), " +"), lambda x: x != ""), clean(query)
-    # No more words than the query has characters can matter.
-    suffix = lambda i: F.array_join(F.slice(w, i + 1, F.greatest(F.length(q), F.lit(1))), " ")
-    follows = lambda s: F.size(F.filter(F.sequence(F.lit(0), F.length(q)), lambda k: F.substring(s, F.lit(1), k) == F.substring(q, F.lit(1), k)))
-    spots = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0))), lambda i: F.struct(follows(suffix(i)).alias("n"), (-i).alias("at")))
-    at = -F.array_max(spots)["at"]
-    begin = F.greatest(at - around, F.lit(0))
-    return F.when(F.coalesce(query, F.lit("")) == "", text).otherwise(F.array_join(F.slice(w, begin + 1, at - begin + around + 1), " "))
+    q = clean(query)
+    # A blank before every word: the text follows where it has a blank and a beginning of the query. Values used in lambdas are bound to names by transform, else each use works them out again.
+    spaced = F.concat(F.lit(" "), F.trim(F.regexp_replace(clean(text), " +", " ")))
+    begin = lambda b, k: F.concat(F.lit(" "), F.substring(b["q"], F.lit(1), k))
+    longest = lambda b: F.aggregate(F.sequence(F.lit(0), F.length(b["q"])), F.lit(0), lambda n, k: F.when((k == n + 1) & F.contains(b["s"], begin(b, k)), k).otherwise(n))
+    spot = lambda b: F.substring(b["s"], F.lit(1), F.position(begin(b, longest(b)), b["s"]))
+    at = lambda b: F.transform(F.array(spot(b)), lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "))) - 1)[0]
+
+    def window(b: Column) -> Column:
+        w = F.split(F.substring(b["s"], F.lit(2), F.length(b["s"])), " ")
+        return F.transform(F.array(at(b)), lambda i: F.array_join(F.slice(w, F.greatest(i - around, F.lit(0)) + 1, F.least(i, F.lit(around)) + around + 1), " "))[0]
+
+    bound = F.transform(F.array(F.struct(spaced.alias("s"), q.alias("q"))), window)[0]
+    return F.when(F.coalesce(query, F.lit("")) == "", text).otherwise(bound)
 
 
 def search_score(band: Column, syndication: Column, start: Column) -> Column:
