@@ -20,3 +20,18 @@ def test_shared_shapes_are_summed_up_first(spark):
     got = {r.map_id: (r.n_regions, round(r.votes, 6)) for r in geometry.weighted_by_overlap(maps, regions, ["votes"]).collect()}
     want = [(3000, sum(f * t for f, t in zip(fs, totals))) for fs in ((0.5, 1.0, 1.0), (0.25, 1.0, 1.0))]
     assert got == {i: want[i % 2] for i in range(3000)}
+
+
+def test_census_of_shared_shapes(spark):
+    maps = spark.createDataFrame([(i, [boxed(0, 0, 2, 2), TRIANGLE][i % 2]) for i in range(2000)], "map_id bigint, wkt string")
+    kinds = [boxed(1, 0, 3, 1), boxed(0, 0, 1, 1)]
+    geographies = spark.createDataFrame([(i, kinds[i % 2]) for i in range(2000)] + [(5000, boxed(0, 0, 1, 1))], "geography_id bigint, wkt string")
+    rows = [(i, i % 3 > 0, float(i % 4), float(i % 7), float(i % 9)) for i in range(2000)]
+    wide = spark.createDataFrame(rows, "geography_id bigint, is_group boolean, population double, n double, m double")
+    got = {r.map_id: tuple(round(x, 6) for x in (r.n_geos, r.population, r.n, r.m)) for r in geometry.census_by_map(maps, geographies, wide, ["n"], ["m"]).collect()}
+    want = []
+    for fs in ((0.5, 1.0), (0.25, 1.0)):
+        part = [(fs[r[0] % 2], r) for r in rows]
+        weight = sum(f * r[2] for f, r in part)
+        want.append((2000, round(sum(f * r[2] for f, r in part if r[1]), 6), round(sum(f * r[3] for f, r in part), 6), round(sum(f * r[2] * r[4] for f, r in part) / weight, 6)))
+    assert got == {i: want[i % 2] for i in range(2000)}

@@ -238,15 +238,20 @@ def census_wide(data: DataFrame, geographies: DataFrame, counts: dict[str, list[
     return wide.join(kinds, "geography_id").select("geography_id", "is_group", "population", *[kept(k) for k in [*counts, *medians]])
 
 
-def census_by_map(walk: DataFrame, wide: DataFrame, counts: list[str], medians: list[str]) -> DataFrame:
-    """The census of each map: n_geos, population (of block groups), sums of counts by covered fraction and means of medians weighted by covered population.
-
-    walk: map_id, region_id (a geography), fraction. A geography without a measure weighs in its mean with 0, as in the source."""
-    j = walk.join(wide.withColumnRenamed("geography_id", "region_id"), "region_id").withColumn("__w", F.col("fraction") * F.col("population"))
-    return j.groupBy("map_id").agg(
-        F.countDistinct("region_id").alias("n_geos"), F.sum(F.when(F.col("is_group"), F.col("__w")).otherwise(0.0)).alias("population"),
-        *[F.sum(F.col("fraction") * F.col(c)).alias(c) for c in counts], *[F.try_divide(F.sum(F.col("__w") * F.col(m)), F.sum("__w")).alias(m) for m in medians],
+def census_by_map(maps: DataFrame, geographies: DataFrame, wide: DataFrame, counts: list[str], medians: list[str]) -> DataFrame:
+    """The census of each map (map_id, wkt): n_geos, population (of block groups), sums of counts by covered fraction and means of medians weighted by covered population.
+
+    geographies: geography_id (distinct), wkt; wide as from census_wide. A geography without a measure weighs in its mean with 0, as in the source. Geographies of one shape are summed up
+    before they meet the maps, maps of one shape are worked out once; shares of less than 1e-12 do not count."""
+    of_group = F.when(F.col("is_group"), F.col("population")).otherwise(0.0)
+    totals = geographies.select("geography_id", shape().alias("region_shape")).join(wide, "geography_id").groupBy("region_shape").agg(
+        F.count("geography_id").alias("n_geos"), F.sum(of_group).alias("of_groups"), F.sum("population").alias("population"), *[F.sum(c).alias(c) for c in counts], *[F.sum(F.col("population") * F.col(m)).alias(m) for m in medians]
     )
+    covered = lambda c: F.sum(F.col("fraction") * F.col(c))
+    by_shape = shape_crosswalk(maps, geographies).where("fraction > 1e-12").join(totals, "region_shape").groupBy("map_shape").agg(
+        F.sum("n_geos").alias("n_geos"), covered("of_groups").alias("population"), *[covered(c).alias(c) for c in counts], *[F.try_divide(covered(m), covered("population")).alias(m) for m in medians]
+    )
+    return maps.select("map_id", shape().alias("map_shape")).join(by_shape, "map_shape").drop("map_shape")
 
 
 def census_by_show(station_values: DataFrame, fractions: DataFrame, counts: list[str], medians: list[str]) -> DataFrame:

@@ -190,9 +190,8 @@ OF_TRACTS = ("n_children", "mean_hours_worked")
 
 def map_census(spark: SparkSession, d: str) -> DataFrame:
     geographies, _, data = census_tables(spark, d)
-    walk = geometry.crosswalk(maps(spark, d).select("map_id", "wkt"), geographies.select(F.col("geography_id").alias("region_id"), "wkt"))
     wide = geometry.census_wide(data, geographies, COUNTS, MEDIANS, "B01003e1", OF_TRACTS)
-    return geometry.census_by_map(walk, wide, list(COUNTS), list(MEDIANS))
+    return geometry.census_by_map(maps(spark, d).select("map_id", "wkt"), geographies.select("geography_id", "wkt"), wide, list(COUNTS), list(MEDIANS))
 
 
 def _wide_sql() -> str:
