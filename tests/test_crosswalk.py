@@ -35,3 +35,12 @@ def test_census_of_shared_shapes(spark):
         weight = sum(f * r[2] for f, r in part)
         want.append((2000, round(sum(f * r[2] for f, r in part if r[1]), 6), round(sum(f * r[3] for f, r in part), 6), round(sum(f * r[2] * r[4] for f, r in part) / weight, 6)))
     assert got == {i: want[i % 2] for i in range(2000)}
+
+
+def test_boxes_are_compared_as_they_are(spark):
+    """As in SQL: a side beyond another by one unit in the last place is beyond it."""
+    x = 0.1 + 0.2
+    maps = spark.createDataFrame([(1, boxed(x, 0, 2, 2)), (2, boxed(-1, 0, 0.3, 2))], "map_id bigint, wkt string")
+    regions = spark.createDataFrame([(7, boxed(0.3, 0, 1, 1)), (8, boxed(x, 0, 1, 1))], "region_id bigint, wkt string")
+    got = {(r.map_id, r.region_id): r.contained for r in geometry.crosswalk(maps, regions).collect()}
+    assert got == {(1, 7): False, (1, 8): True}
