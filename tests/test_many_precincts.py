@@ -30,7 +30,7 @@ def folder(tmp_path_factory):
     return d, c
 
 
-@pytest.mark.parametrize("name", ["d10_votes_by_map", "d16_election_stations"])
+@pytest.mark.parametrize("name", ["d10_votes_by_map", "d16_election_stations", "d10_votes_by_show", "d16_election_shows"])
 def test_query_and_sql_agree_on_shared_boxes(spark, folder, name):
     d, c = folder
     began = time.time()
