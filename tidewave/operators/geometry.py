@@ -215,9 +215,14 @@ def weighted_by_overlap(maps: DataFrame, regions: DataFrame, values: list[str])
     return maps.select("map_id", shape().alias("map_shape")).join(by_shape, "map_shape").drop("map_shape")
 
 
+def maps_of(maps: DataFrame, strength: str = "moderate", times: tuple[str, ...] = ("A", "D", "N")) -> DataFrame:
+    """The maps of one strength and the given times of day, those that count for their stations."""
+    return maps.where((F.col("strength") == strength) & F.col("time_of_day").isin(*times))
+
+
 def by_station(by_map: DataFrame, maps: DataFrame, values: list[str], strength: str = "moderate", times: tuple[str, ...] = ("A", "D", "N")) -> DataFrame:
     """Means of map values over a station's maps of one strength and the given times of day."""
-    m = maps.where((F.col("strength") == strength) & F.col("time_of_day").isin(*times)).select("map_id", "station_id")
+    m = maps_of(maps, strength, times).select("map_id", "station_id")
     return by_map.join(m, "map_id").groupBy("station_id").agg(*[F.avg(v).alias(v) for v in values])
 
 

@@ -133,8 +133,13 @@ def d9_precinct_crosswalk(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(precinct_walk(spark, d).where("fraction > 1e-9").select("map_id", "region_id", "contained", "fraction"), ["fraction"])
 
 
+def votes_of(spark: SparkSession, d: str, of: DataFrame) -> DataFrame:
+    """Votes of the given maps."""
+    return geometry.weighted_by_overlap(of.select("map_id", "wkt"), precinct_results(spark, d).select(F.col("precinct_id").alias("region_id"), "wkt", *VOTES), VOTES)
+
+
 def map_votes(spark: SparkSession, d: str) -> DataFrame:
-    return geometry.weighted_by_overlap(maps(spark, d).select("map_id", "wkt"), precinct_results(spark, d).select(F.col("precinct_id").alias("region_id"), "wkt", *VOTES), VOTES)
+    return votes_of(spark, d, maps(spark, d))
 
 
 @query(_VOTES + " select map_id, n_regions, " + ", ".join(f"round({v}, 4) as {v}" for v in VOTES) + " from votes")
@@ -167,8 +172,9 @@ _BY_SHOW = _VOTES + f", f as ({warehouse.SQL['d8_show_station_fractions']}), st
 
 
 def show_votes(spark: SparkSession, d: str) -> DataFrame:
-    """Votes of each show, as sums of its stations' votes by their share of it."""
-    return geometry.by_show(geometry.by_station(map_votes(spark, d), maps(spark, d), VOTES), _fractions(spark, d), VOTES)
+    """Votes of each show, as sums of its stations' votes by their share of it. Only the maps that count for a station meet the precincts."""
+    m = geometry.maps_of(maps(spark, d))
+    return geometry.by_show(geometry.by_station(votes_of(spark, d, m), m, VOTES), _fractions(spark, d), VOTES)
 
 
 @query(_BY_SHOW + f" select show_id, {', '.join(f'round({v}, 4) as {v}' for v in VOTES)} from sv")
