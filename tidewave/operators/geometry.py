@@ -174,11 +174,12 @@ def shape_crosswalk(maps: DataFrame, regions: DataFrame, cell: float = 0.5) -> D
     Shapes meet in grid cells of `cell` degrees by their bounds, each pair in the one cell of its overlap's lower corner. Two upright rectangles overlap by their bounds, compared as they are;
     other pairs are cut by one Python function, in which shares of less than 1e-12 of the region count as rounding."""
     def boxed(df: DataFrame, name: str) -> DataFrame:
-        shapes = df.where("wkt is not null").groupBy(shape().alias(name)).agg(F.first("wkt").alias(f"{name}_wkt"))
-        return shapes.withColumn(f"{name}_box", box(f"{name}_wkt")).where(f"{name}_box.x0 is not null")
+        shapes = df.where("wkt is not null").select("wkt").distinct().select(shape().alias(name), F.col("wkt").alias(f"{name}_wkt"))
+        # What has no bounds is left out only once all are written: the planner would move the condition, and with it the Python function, to the rows before distinct.
+        return materialize(shapes.withColumn(f"{name}_box", box(f"{name}_wkt")), "shapes").where(f"{name}_box.x0 is not null")
 
     span = lambda b, a, z: F.sequence(F.floor(F.col(f"{b}.{a}") / cell), F.floor(F.col(f"{b}.{z}") / cell))
-    m, r = materialize(boxed(maps, "map_shape"), "shapes"), materialize(boxed(regions, "region_shape"), "shapes")
+    m, r = boxed(maps, "map_shape"), boxed(regions, "region_shape")
     spread = lambda d, b: d.withColumn("cx", F.explode(span(b, "x0", "x1"))).withColumn("cy", F.explode(span(b, "y0", "y1")))
     a, b = F.col("map_shape_box"), F.col("region_shape_box")
     once = (F.col("cx") == F.floor(F.greatest(a.x0, b.x0) / cell)) & (F.col("cy") == F.floor(F.greatest(a.y0, b.y0) / cell))
@@ -209,9 +210,9 @@ def crosswalk(maps: DataFrame, regions: DataFrame, cell: float = 0.5) -> DataFra
 def weighted_by_overlap(maps: DataFrame, regions: DataFrame, values: list[str]) -> DataFrame:
     """Sums of region values by map, each weighted by the covered fraction: map_id, n_regions and the values, for the maps that cover any region.
 
-    maps: map_id, wkt; regions: region_id (distinct), wkt and the values. Regions of one shape are summed up before they meet the maps, and maps of one shape are worked out once."""
-    totals = regions.groupBy(shape().alias("region_shape")).agg(F.count("region_id").alias("n_regions"), *[F.sum(v).alias(v) for v in values])
-    by_shape = shape_crosswalk(maps, regions).join(totals, "region_shape").groupBy("map_shape").agg(F.sum("n_regions").alias("n_regions"), *[F.sum(F.col("fraction") * F.col(v)).alias(v) for v in values])
+    maps: map_id, wkt; regions: region_id (distinct), wkt and the values. Regions are read once: those of one shape are summed up before they meet the maps, and maps of one shape are worked out once."""
+    totals = materialize(regions.where("wkt is not null").groupBy("wkt").agg(F.count("region_id").alias("n_regions"), *[F.sum(v).alias(v) for v in values]), "totals")
+    by_shape = shape_crosswalk(maps, totals).join(totals.withColumn("region_shape", shape()).drop("wkt"), "region_shape").groupBy("map_shape").agg(F.sum("n_regions").alias("n_regions"), *[F.sum(F.col("fraction") * F.col(v)).alias(v) for v in values])
     return maps.select("map_id", shape().alias("map_shape")).join(by_shape, "map_shape").drop("map_shape")
 
 
