@@ -208,12 +208,12 @@ def crosswalk(maps: DataFrame, regions: DataFrame, cell: float = 0.5) -> DataFra
 
 
 def weighted_by_overlap(maps: DataFrame, regions: DataFrame, values: list[str]) -> DataFrame:
-    """Sums of region values by map, each weighted by the covered fraction: map_id, n_regions and the values, for the maps that cover any region.
+    """Sums of region values by map, each weighted by the covered fraction: the maps' columns but wkt, n_regions and the values, for the maps that cover any region.
 
-    maps: map_id, wkt; regions: region_id (distinct), wkt and the values. Regions are read once: those of one shape are summed up before they meet the maps, and maps of one shape are worked out once."""
+    maps: map_id, wkt and what else is to stay; regions: region_id (distinct), wkt and the values. Regions are read once: those of one shape are summed up before they meet the maps, and maps of one shape are worked out once."""
     totals = materialize(regions.where("wkt is not null").groupBy("wkt").agg(F.count("region_id").alias("n_regions"), *[F.sum(v).alias(v) for v in values]), "totals")
     by_shape = shape_crosswalk(maps, totals).join(totals.withColumn("region_shape", shape()).drop("wkt"), "region_shape").groupBy("map_shape").agg(F.sum("n_regions").alias("n_regions"), *[F.sum(F.col("fraction") * F.col(v)).alias(v) for v in values])
-    return maps.select("map_id", shape().alias("map_shape")).join(by_shape, "map_shape").drop("map_shape")
+    return maps.withColumn("map_shape", shape()).drop("wkt").join(by_shape, "map_shape").drop("map_shape")
 
 
 def maps_of(maps: DataFrame, strength: str = "moderate", times: tuple[str, ...] = ("A", "D", "N")) -> DataFrame:

@@ -134,12 +134,12 @@ def d9_precinct_crosswalk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def votes_of(spark: SparkSession, d: str, of: DataFrame) -> DataFrame:
-    """Votes of the given maps."""
-    return geometry.weighted_by_overlap(of.select("map_id", "wkt"), precinct_results(spark, d).select(F.col("precinct_id").alias("region_id"), "wkt", *VOTES), VOTES)
+    """Votes of the given maps, whose other columns stay."""
+    return geometry.weighted_by_overlap(of, precinct_results(spark, d).select(F.col("precinct_id").alias("region_id"), "wkt", *VOTES), VOTES)
 
 
 def map_votes(spark: SparkSession, d: str) -> DataFrame:
-    return votes_of(spark, d, maps(spark, d))
+    return votes_of(spark, d, maps(spark, d).select("map_id", "wkt"))
 
 
 @query(_VOTES + " select map_id, n_regions, " + ", ".join(f"round({v}, 4) as {v}" for v in VOTES) + " from votes")
@@ -160,7 +160,7 @@ _MAP_SHARES = "map_id, station_id, time_of_day, strength, " + ", ".join(f"round(
 
 @query(_VOTES + f" select {_MAP_SHARES} from map join votes using (map_id)")
 def d16_election_stations(spark: SparkSession, d: str) -> DataFrame:
-    out = _shares(maps(spark, d).drop("wkt").join(map_votes(spark, d).drop("n_regions"), "map_id"))
+    out = _shares(votes_of(spark, d, maps(spark, d)).drop("n_regions"))
     return _rounded(_rounded(out, VOTES, 4), ["d_share", "d_share_2way"])
 
 
@@ -174,7 +174,7 @@ _BY_SHOW = _VOTES + f", f as ({warehouse.SQL['d8_show_station_fractions']}), st
 def show_votes(spark: SparkSession, d: str) -> DataFrame:
     """Votes of each show, as sums of its stations' votes by their share of it. Only the maps that count for a station meet the precincts."""
     m = geometry.maps_of(maps(spark, d))
-    return geometry.by_show(geometry.by_station(votes_of(spark, d, m), m, VOTES), _fractions(spark, d), VOTES)
+    return geometry.by_show(geometry.by_station(votes_of(spark, d, m.select("map_id", "wkt")), m, VOTES), _fractions(spark, d), VOTES)
 
 
 @query(_BY_SHOW + f" select show_id, {', '.join(f'round({v}, 4) as {v}' for v in VOTES)} from sv")
