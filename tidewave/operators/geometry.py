@@ -199,12 +199,16 @@ def shape_crosswalk(maps: DataFrame, regions: DataFrame, cell: float = 0.5) -> D
     return boxes.unionByName(rest.mapInPandas(_overlaps, f"map_shape string, region_shape string, {AREAS}"))
 
 
+def of_rows(walk: DataFrame, maps: DataFrame, regions: DataFrame) -> DataFrame:
+    """A crosswalk of shapes for each map (map_id, wkt) and region (region_id, wkt) of theirs: map_id, region_id and what else the walk has."""
+    m, r = maps.select("map_id", shape().alias("map_shape")), regions.select("region_id", shape().alias("region_shape"))
+    return walk.join(m, "map_shape").join(r, "region_shape").select("map_id", "region_id", *[c for c in walk.columns if c not in ("map_shape", "region_shape")])
+
+
 def crosswalk(maps: DataFrame, regions: DataFrame, cell: float = 0.5) -> DataFrame:
     """Which part of each region (region_id, wkt) each map (map_id, wkt) covers: map_id, region_id, contained, map_area, region_area,
     overlap_area, fraction. Areas of any shape are cut as they are, with holes and parts; a region whose edges cross is taken as its convex hull. Each pair of shapes is cut once (see shape_crosswalk)."""
-    walk = shape_crosswalk(maps, regions, cell)
-    m, r = maps.select("map_id", shape().alias("map_shape")), regions.select("region_id", shape().alias("region_shape"))
-    return walk.join(m, "map_shape").join(r, "region_shape").select("map_id", "region_id", "contained", "map_area", "region_area", "overlap_area", "fraction")
+    return of_rows(shape_crosswalk(maps, regions, cell), maps, regions)
 
 
 def weighted_by_overlap(maps: DataFrame, regions: DataFrame, values: list[str]) -> DataFrame:

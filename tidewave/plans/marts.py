@@ -115,10 +115,6 @@ def d2_census(spark: SparkSession, d: str) -> DataFrame:
 
 # -- crosswalks and votes ----------------------------------------------------------------------------------------------
 
-def precinct_walk(spark: SparkSession, d: str) -> DataFrame:
-    return geometry.crosswalk(maps(spark, d).select("map_id", "wkt"), precinct_results(spark, d).select(F.col("precinct_id").alias("region_id"), "wkt"))
-
-
 VOTES = ["dem", "rep", "total"]
 _SUMS = ", ".join(f"round(sum(fraction * {v}), 6) as {v}" for v in VOTES)
 _VOTES = STAGED + f"walk as {_walk_sql('precinct', 'precinct_id')}, votes as (select map_id, count(distinct precinct_id) as n_regions, {', '.join(f'sum(fraction * {v}) as {v}' for v in VOTES)} from walk join precinct using (precinct_id) group by 1)"
@@ -130,7 +126,10 @@ def _rounded(df: DataFrame, columns: list[str], n: int = 6) -> DataFrame:
 
 @query(STAGED + f"walk as {_walk_sql('precinct', 'precinct_id')} select map_id, precinct_id as region_id, contained, round(fraction, 6) as fraction from walk where fraction > 1e-9")
 def d9_precinct_crosswalk(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(precinct_walk(spark, d).where("fraction > 1e-9").select("map_id", "region_id", "contained", "fraction"), ["fraction"])
+    """Fractions are rounded once a pair of shapes; rows can be many times as many."""
+    m, r = maps(spark, d).select("map_id", "wkt"), precinct_results(spark, d).select(F.col("precinct_id").alias("region_id"), "wkt")
+    walk = geometry.shape_crosswalk(m, r).where("fraction > 1e-9").select("map_shape", "region_shape", "contained", "fraction")
+    return geometry.of_rows(_rounded(walk, ["fraction"]), m, r)
 
 
 def votes_of(spark: SparkSession, d: str, of: DataFrame) -> DataFrame:
